@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm import secret_trigrams, warc_index
+from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
 
@@ -14,7 +16,65 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op8_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_trigrams.scan(table(spark, sf_dir, "documents"))
+    base = len(secret_trigrams.BASE)
+    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(r.kind) for r in secret_trigrams.BASE],
+        F.sha2(secret_trigrams.span_text(F.filter("found", lambda s: s.order < base)), 256).alias("base_sha256"),
+        secret_trigrams.span_text(F.col("found")).alias("spans"),
+    )
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = warc_index.mark_revisits(table(spark, sf_dir, "pages"))
+    index = warc_index.write_archives(marked, work_dir(spark, "warc"))
+    return warc_index.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op8_secret_trigrams": op8_secret_trigrams,
+    "op10_warc_index": op10_warc_index,
+}
+
+def _ascii_either_case(regex: str) -> str:
+    """The regex with its words spelled for both cases: some engines fold more than A-Z under (?i)."""
+    head, rest = regex.removeprefix("(?i)").split(")", 1)
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in head) + ")" + rest
+
+
+def _secret_sql() -> str:
+    kinds = []
+    for k, r in enumerate(secret_trigrams.RULES):
+        regex = (_ascii_either_case(r.regex) if r.regex.startswith("(?i)") else r.regex).replace("'", "''")
+        kinds.append(f"""select rid, {k} as ord, '{r.kind}' as kind, {r.least} as least, string_split_regex(t, '{regex}') as gaps,
+            regexp_extract_all(t, '{regex}', 0) as hits, regexp_extract_all(t, '{regex}', {r.group}) as parts from docs where regexp_matches(t, '{regex}')""")
+    return f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+found as ({" union all ".join(kinds)}),
+each as (select rid, ord, kind, least, unnest(range(1, len(hits) + 1)) as i, gaps, hits, parts from found),
+spans as (
+    select rid, ord, kind, cast(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) as bigint) as s, length(hits[i]) as n
+    from each where length(parts[i]) >= least),
+per as (
+    select rid, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+        coalesce(string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, ord) filter (ord < {len(secret_trigrams.BASE)}), '') as base,
+        string_agg(kind || ':' || s || ':' || (s + n), ',' order by s, ord) as spans
+    from spans group by rid)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join per using (rid)"""
+
+
+ORACLES: dict[str, str] = {
+    "op8_secret_trigrams": _secret_sql(),
+    "op10_warc_index": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, cast(octet_length(b) as bigint) as payload_bytes, sha1(b) as payload_digest from p),
+m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end as t from d)
+select page_id, payload_bytes, payload_digest, case when t <> page_id then 'revisit' when t is not null and page_id is null then 'revisit' else 'response' end as record_type,
+    case when page_id is null or t <> page_id then t end as refers_to
+from m""",
 }
-ORACLES: dict[str, str] = {}

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import secret_trigrams, warc_index
+from tidemark.llm import bloom_lookup, secret_trigrams, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
 
+def op1_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -35,6 +39,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bloom_lookup": op1_bloom_lookup,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op8_secret_trigrams": op8_secret_trigrams,
     "op10_warc_index": op10_warc_index,

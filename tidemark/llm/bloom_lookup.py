@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import map_batches
+
 PIECE_WORDS = 6
 #: Cells of each of the three subtables of a fingerprint.
 BASE = 8
@@ -207,7 +209,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     text = [T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")]
     near = [T.StructField(c, T.DoubleType()) for c in ("near_edited", "near_next")]
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_chars", T.LongType()), *text, *near])
-    return with_following(docs, id_col, text_col).mapInArrow(run, schema)
+    return map_batches(with_following(docs, id_col, text_col), run, schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import connected_components, materialise
+from tidemark.llm.common import connected_components, map_batches, materialise
 
 SEED = 42
 #: Members of one block that are compared pair by pair; larger blocks go by centres.
@@ -73,7 +73,7 @@ def with_fingerprint(docs: DataFrame, words: int = 3, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps.view("i8"))], names=[id_col, "fp"])
 
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 def pivot_table(fps: DataFrame, n: int = PIVOTS) -> DataFrame:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import map_batches, materialise
 
 INDEX = "page_id long, url string, archive string, offset long, length long, record_type string, payload_bytes long, payload_digest string, refers_to long"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
@@ -94,7 +94,7 @@ def write_archives(marked: DataFrame, path: str, archive_bytes: int = 128 << 20,
             if out is not None:
                 out.close()
 
-    return materialise(marked.select("page_id", "url", "html", "refers_to").mapInArrow(run, INDEX), "warc-index")
+    return materialise(map_batches(marked.select("page_id", "url", "html", "refers_to"), run, INDEX), "warc-index")
 
 
 def ranges(selected: DataFrame, max_gap: int = 64 << 10, max_read: int = 8 << 20) -> DataFrame:
@@ -138,4 +138,4 @@ def read_records(selected: DataFrame, with_payload: bool = True, max_gap: int =
                     rows = [(*r[:-1], None) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return ranges(selected, max_gap, max_read).mapInArrow(run, RECORD)
+    return map_batches(ranges(selected, max_gap, max_read), run, RECORD)

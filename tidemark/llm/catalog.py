@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, secret_trigrams, warc_index
+from tidemark.llm import bloom_lookup, packing, secret_trigrams, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -16,6 +17,10 @@ def op1_bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lookup.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -40,6 +45,7 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lookup": op1_bloom_lookup,
+    "op2_packing": op2_packing,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op8_secret_trigrams": op8_secret_trigrams,
     "op10_warc_index": op10_warc_index,

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, decontamination, packing, secret_trigrams, warc_index
+from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -25,6 +25,10 @@ def op3_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lookup": op1_bloom_lookup,
     "op2_packing": op2_packing,
     "op3_simhash_windows": op3_simhash_windows,
+    "op4_line_blocks": op4_line_blocks,
     "op5_simhash_pivots": op5_simhash_pivots,
     "op8_secret_trigrams": op8_secret_trigrams,
     "op10_warc_index": op10_warc_index,

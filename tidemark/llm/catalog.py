@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, warc_index
+from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, toxicity, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -33,6 +33,18 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """crc32 of the id as text has this remainder; false for a row without id."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
+
+
+def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, ["doc_id"])
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_trigrams.scan(table(spark, sf_dir, "documents"))
     base = len(secret_trigrams.BASE)
@@ -57,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_windows": op3_simhash_windows,
     "op4_line_blocks": op4_line_blocks,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op7_boosted_trees": op7_boosted_trees,
     "op8_secret_trigrams": op8_secret_trigrams,
     "op10_warc_index": op10_warc_index,
 }

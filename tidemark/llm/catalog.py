@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, toxicity, warc_index
+from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -33,6 +33,15 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), work_dir(spark, "shards")
+    sharding.append(docs, path)
+    sharding.compact(spark, path)
+    runs = sharding.manifest(spark, path).select(F.explode("folders").alias("__shard_folder"), F.col("first.arrival").alias("shard"), F.col("tier").cast("long"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
+    rows = sharding.read(spark, path, schema=docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "__shard_folder")
+    return rows.join(runs, "__shard_folder").select("doc_id", "bytes", "shard", "tier", "shard_bytes", "shard_rows")
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """crc32 of the id as text has this remainder; false for a row without id."""
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % modulus == remainder, F.lit(False))
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_windows": op3_simhash_windows,
     "op4_line_blocks": op4_line_blocks,
     "op5_simhash_pivots": op5_simhash_pivots,
+    "op6_size_tiers": op6_size_tiers,
     "op7_boosted_trees": op7_boosted_trees,
     "op8_secret_trigrams": op8_secret_trigrams,
     "op10_warc_index": op10_warc_index,
@@ -102,7 +112,28 @@ select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_acc
 from docs left join per using (rid)"""
 
 
+def _shard_sql() -> str:
+    """Arrivals of SPAN ids merge FANOUT at a time by tier; a table without oversized arrivals, which alone have pieces."""
+    s = sharding
+    tier = " + ".join(f"cast(bytes >= {s.LOWEST * s.FANOUT**k} as bigint)" for k in range(s.TIERS))
+    steps = [f"""r0 as (
+    select floor(arrival / {s.STREAM}.0) as stream, arrival as f, bytes, n, [arrival] as members, {tier} as tier
+    from (select coalesce(cast(floor(doc_id / {s.SPAN}.0) as bigint), -{1 << 62}) as arrival, cast(sum(octet_length(encode(coalesce(text, '')))) as bigint) as bytes, count(*) as n from documents group by 1))"""]
+    for k in range(s.ROUNDS):
+        steps.append(f"""g{k} as (select *, (row_number() over (partition by stream, tier order by f) - 1) // {s.FANOUT} as grp from r{k}),
+c{k} as (select *, count(*) over (partition by stream, tier, grp) = {s.FANOUT} and tier < {s.TIERS} as full_group from g{k}),
+r{k + 1} as (
+    select stream, f, bytes, n, members, {tier} as tier from (
+        select stream, min(f) as f, cast(sum(bytes) as bigint) as bytes, cast(sum(n) as bigint) as n, flatten(list(members)) as members
+        from c{k} group by stream, full_group, case when full_group then tier end, case when full_group then grp else f end))""")
+    return "with " + ",\n".join(steps) + f""",
+m as (select unnest(members) as arrival, f, tier, bytes as shard_bytes, n as shard_rows from r{s.ROUNDS})
+select d.doc_id, cast(octet_length(encode(d.text)) as bigint) as bytes, m.f as shard, m.tier, m.shard_bytes, m.shard_rows
+from documents d join m on coalesce(cast(floor(d.doc_id / {s.SPAN}.0) as bigint), -{1 << 62}) = m.arrival"""
+
+
 ORACLES: dict[str, str] = {
+    "op6_size_tiers": _shard_sql(),
     "op8_secret_trigrams": _secret_sql(),
     "op10_warc_index": """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),

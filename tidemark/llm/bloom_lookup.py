@@ -144,7 +144,7 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = sorted(set(ids.approxQuantile(id_col, [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts))))
     count_up_to = lambda bounds: F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b <= F.col(id_col)))
     at = count_up_to(cuts) if cuts else F.lit(0)
-    least = sorted(r[0] for r in ids.where(F.col(id_col).isNotNull()).groupBy(at.alias("at")).agg(F.min(id_col)).collect())
+    least = sorted(r[1] for r in ids.where(F.col(id_col).isNotNull()).groupBy(at.alias("at")).agg(F.min(id_col)).collect())
     nulls = ids.where(F.col(id_col).isNull()).limit(1).count()
     n = max(1, len(least))
     bucket = F.greatest(F.lit(0), count_up_to(least) - 1) if least else F.lit(0)

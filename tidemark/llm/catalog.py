@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, decontamination, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
+from tidemark.llm import bloom_lookup, decontamination, gru_lm, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -66,6 +66,11 @@ def op8_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = gru_lm.score_documents(table(spark, sf_dir, "documents"), ~held_out(7, 2))
+    return scored.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = warc_index.mark_revisits(table(spark, sf_dir, "pages"))
     index = warc_index.write_archives(marked, work_dir(spark, "warc"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_size_tiers": op6_size_tiers,
     "op7_boosted_trees": op7_boosted_trees,
     "op8_secret_trigrams": op8_secret_trigrams,
+    "op9_gru": op9_gru,
     "op10_warc_index": op10_warc_index,
 }
 

@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.plans import asof_plans, table_plans
+
+MODULES = (asof_plans, table_plans)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for module in MODULES:
+    QUERIES |= module.query.queries
+    ORACLES |= module.query.oracles

@@ -10,6 +10,11 @@ def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def let(values: dict[str, Column], body) -> Column:
+    """body(row) with the named values computed once a row; a lambda would compute what it names for each element."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in values.items()])), body), 0)
+
+
 def implied(prices: Column) -> Column:
     """1 / price of each outcome."""
     return F.transform(prices, lambda p: F.lit(1.0) / p)
@@ -21,29 +26,30 @@ def overround(prices: Column) -> Column:
 
 def remove_margin(prices: Column, method: str = "normalization", steps: int = 60) -> Column:
     """Probabilities that sum to one. power: the exponent k with sum(q ** k) = 1; shin: Shin's share of informed money z; both by bisection."""
+    if method not in ("normalization", "power", "shin"):
+        raise ValueError(f"unknown method {method}")
+    scaled = lambda a: let({"a": a, "s": total(a)}, lambda v: F.transform(v.a, lambda x: x / v.s))
     q = implied(prices)
-    booksum = total(q)
     if method == "normalization":
-        return F.transform(q, lambda x: x / booksum)
-    if method == "power":
-        value = lambda k: total(F.transform(q, lambda x: F.pow(x, k)))
-        low, high, at = 0.01, 20.0, lambda k: F.transform(q, lambda x: F.pow(x, k))
-    elif method == "shin":
-        share = lambda z: F.transform(q, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x * x / booksum) - z) / (2 * (1 - z)))
-        value, low, high, at = lambda z: total(share(z)), 0.0, 0.9, share
-    else:
-        raise ValueError(f"unknown method {method}")
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+        return scaled(q)
+
+    def solve(v: Column) -> Column:
+        if method == "power":
+            low, high, at = 0.01, 20.0, lambda k: F.transform(v.q, lambda x: F.pow(x, k))
+        else:
+            low, high, at = 0.0, 0.9, lambda z: F.transform(v.q, lambda x: (F.sqrt(z * z + 4 * (1 - z) * x * x / v.s) - z) / (2 * (1 - z)))
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = (s.lo + s.hi) / 2
+            step = {"mid": mid, "above": total(at(mid)) > 1}
+            return let(step | {"lo": s.lo, "hi": s.hi}, lambda w: F.struct(F.when(w.above, w.mid).otherwise(w.lo).alias("lo"), F.when(w.above, w.hi).otherwise(w.mid).alias("hi")))
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s.lo + s.hi) / 2
-        above = value(mid) > 1
-        return F.struct(F.when(above, mid).otherwise(s.lo).alias("lo"), F.when(above, s.hi).otherwise(mid).alias("hi"))
+        start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s.lo + s.hi) / 2)
+        fair = let({"k": found}, lambda w: scaled(at(w.k)))
+        return fair if method == "power" else F.when(v.s <= 1, scaled(v.q)).otherwise(fair)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s.lo + s.hi) / 2)
-    raw = at(found)
-    fair = F.transform(raw, lambda x: x / total(raw))
-    return fair if method == "power" else F.when(booksum <= 1, F.transform(q, lambda x: x / booksum)).otherwise(fair)
+    return let({"q": q, "s": total(q)}, solve)
 
 
 def triples_at(quotes: DataFrame, asks: DataFrame, max_age: int, max_spread: int) -> DataFrame:

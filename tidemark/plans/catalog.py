@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import asof_plans, score_plans, table_plans
+from tidemark.plans import asof_plans, report_plans, score_plans, table_plans
 
-MODULES = (asof_plans, table_plans, score_plans)
+MODULES = (asof_plans, table_plans, score_plans, report_plans)
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for module in MODULES:

@@ -122,16 +122,16 @@ def coefficients(spark, sf):
     return c.select("pool", "entity_id", "coef", ((F.col("coef") - F.avg("coef").over(w)) / F.stddev_pop("coef").over(w)).alias("z"), mid.alias("mid_rank"))
 
 
-@query(f"""{_M}, b as (select contest_id, y, avg(p0) as p0, avg(p1) as p1, avg(p2) as p2, count(distinct case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end) as voices from models group by 1, 2)
-select contest_id, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as pick, greatest(p0, p1, p2) as p, voices = 1 as agreed, least(0.05, greatest(0, (greatest(p0, p1, p2) * 2.6 - 1) / 1.6 / 4)) as stake from b where round(greatest(p0, p1, p2) * 2.6, 9) > 1.05""")
+@query(f"""{_M}, b as (select contest_id, y, round(avg(p0), 9) as p0, round(avg(p1), 9) as p1, round(avg(p2), 9) as p2, count(distinct case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end) as voices from models group by 1, 2)
+select contest_id, case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end as pick, greatest(p0, p1, p2) as p, voices = 1 as agreed, round(least(0.05, greatest(0, (greatest(p0, p1, p2) * 2.6 - 1) / 1.6 / 4)), 4) as stake from b where round(greatest(p0, p1, p2) * 2.6, 9) > 1.05""")
 def picks(spark, sf):
     """AGG13: voting models to picks with agreement and a capped fractional Kelly stake."""
     best = lambda a, b, c: F.when((a >= b) & (a >= c), 0).when(b >= c, 1).otherwise(2)
     cols = [F.col(f"p{i}") for i in range(3)]
     m = models(forecasts(contests(spark, sf))).withColumn("voice", best(*cols))
-    b = m.groupBy("contest_id", "y").agg(*[F.avg(c).alias(f"p{i}") for i, c in enumerate(cols)], F.countDistinct("voice").alias("voices")).withColumn("p", F.greatest(*cols)).where("round(p * 2.6, 9) > 1.05")
+    b = m.groupBy("contest_id", "y").agg(*[F.round(F.avg(c), 9).alias(f"p{i}") for i, c in enumerate(cols)], F.countDistinct("voice").alias("voices")).withColumn("p", F.greatest(*cols)).where("round(p * 2.6, 9) > 1.05")
     stake = F.least(F.lit(0.05), F.greatest(F.lit(0.0), (F.col("p") * 2.6 - 1) / 1.6 / 4))
-    return b.select("contest_id", best(*cols).alias("pick"), "p", (F.col("voices") == 1).alias("agreed"), stake.alias("stake"))
+    return b.select("contest_id", best(*cols).alias("pick"), "p", (F.col("voices") == 1).alias("agreed"), F.round(stake, 4).alias("stake"))
 
 
 @query(f"""{_M}, h as (select pool, count(*) as n, sum(cast(case when p0 >= p1 and p0 >= p2 then 0 when p1 >= p2 then 1 else 2 end = y as int)) as hits, avg({_LOSS}) as loss from models where model_id = 1 group by 1)

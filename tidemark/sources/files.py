@@ -11,7 +11,7 @@ from tidemark.operators.tables import table_hash
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """SRC1: path, content, sha256, size and text of each file; UTF-8, else Latin-1."""
+    """SRC1: path, sha256, size and text of each file; UTF-8, else Latin-1. Spark passes over files of no bytes: `manifest` has them as MISSING."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     utf8 = F.try_validate_utf8(F.col("content").cast("string"))
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("text"))

@@ -57,12 +57,12 @@ def op7_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_trigrams.scan(table(spark, sf_dir, "documents"))
     base = len(secret_trigrams.BASE)
-    count = lambda kind: F.size(F.filter("found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    count = lambda kind: F.size(F.filter("__found", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
         "doc_id",
         *[count(r.kind) for r in secret_trigrams.BASE],
-        F.sha2(secret_trigrams.span_text(F.filter("found", lambda s: s.order < base)), 256).alias("base_sha256"),
-        secret_trigrams.span_text(F.col("found")).alias("spans"),
+        F.sha2(secret_trigrams.span_text(F.filter("__found", lambda s: s.order < base)), 256).alias("base_sha256"),
+        secret_trigrams.span_text(F.col("__found")).alias("spans"),
     )
 
 

@@ -147,8 +147,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x) for x in batch.column("_html").to_pylist()]
+            texts = [main_text(x) for x in batch.column("__html").to_pylist()]
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return map_batches(pages.select(*[f.name for f in kept], F.col(html_col).alias("_html")), run, schema)
+    return map_batches(pages.select(*[f.name for f in kept], F.col(html_col).alias("__html")), run, schema)

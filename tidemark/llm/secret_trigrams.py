@@ -154,24 +154,24 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with `found`: the spans (start, order, end, kind) of all rules in order of start, then of the rules."""
+    """The rows of docs with `__found`: the spans (start, order, end, kind) of all rules in order of start, then of the rules."""
     rules = RULES if rules is None else rules
     indexed = [r for r in rules if trigram_query(r.regex)]
     wanted = sorted({t for r in indexed for run in trigram_query(r.regex) for alternative in run for t in alternative})
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
     if indexed:
-        found = candidates(postings(docs, wanted, id_col, text_col), indexed).select(F.col("id").alias("_id"), F.col("kinds").alias("_kinds"))
-        rows = rows.join(found, F.col(id_col) == F.col("_id"), "left").drop("_id")
+        found = candidates(postings(docs, wanted, id_col, text_col), indexed).select(F.col("id").alias("__id"), F.col("kinds").alias("__kinds"))
+        rows = rows.join(found, F.col(id_col) == F.col("__id"), "left").drop("__id")
     else:
-        rows = rows.withColumn("_kinds", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("__kinds", F.lit(None).cast("array<string>"))
     each = []
     for order, rule in enumerate(rules):
-        may = F.col("_text").rlike(rule.regex)
+        may = F.col("__text").rlike(rule.regex)
         if rule in indexed:
-            may = (F.array_contains("_kinds", rule.kind) | F.col(id_col).isNull()) & may
-        each.append(F.when(may, _spans(rule, order, F.col("_text"))).otherwise(none))
-    return rows.withColumn("found", F.array_sort(F.concat(*each))).drop("_text", "_kinds")
+            may = (F.array_contains("__kinds", rule.kind) | F.col(id_col).isNull()) & may
+        each.append(F.when(may, _spans(rule, order, F.col("__text"))).otherwise(none))
+    return rows.withColumn("__found", F.array_sort(F.concat(*each))).drop("__text", "__kinds")
 
 
 def span_text(found: Column) -> Column:
@@ -189,5 +189,5 @@ def redact(docs: DataFrame, mask: str = "[secret]", rules: list[Rule] | None = N
         fresh = F.struct(s.end.alias("at"), F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), F.lit(mask)).alias("out"))
         return F.when(s.start < acc.at, past).otherwise(fresh)
 
-    clean = F.aggregate("found", start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text) - acc.at)))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text) - acc.at)))
+    return found.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(text)).select(*docs.columns)

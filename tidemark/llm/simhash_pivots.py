@@ -209,10 +209,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, words).view("i8")).tolist() for t in _texts(batch, "_text")]
+            sets = [np.unique(shingle_hashes(t, words).view("i8")).tolist() for t in _texts(batch, "__text")]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
 
-    texts = rows.select("__uid", F.col(text_col).alias("_text")).join(wanted, "__uid").select("content", "_text")
+    texts = rows.select("__uid", F.col(text_col).alias("__text")).join(wanted, "__uid").select("content", "__text")
     sets = materialise(map_batches(texts, shingle_sets, "content long, shingles array<long>"), "shingle-sets")
     x, y = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
     both = F.size(F.array_intersect("sa", "sb"))

@@ -190,10 +190,10 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pa.array([features(t, lexicon) for t in batch.column("_text").to_pylist()], pa.list_(pa.float32()))
+            x = pa.array([features(t, lexicon) for t in batch.column("__text").to_pylist()], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), x], names=schema.names)
 
-    return map_batches(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)
+    return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)
 
 
 def _fit(rows: list[tuple], lexicon: dict[str, float]) -> Model:
@@ -222,16 +222,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "doc_
     return _fit([tuple(r) for r in rows], lexicon)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns (all by default) with `score`: the calibrated probability that a row is toxic."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The kept columns (all by default) with `score_col`: the calibrated probability that a row is toxic."""
     keep = docs.columns if keep is None else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            x = np.array([features(t, m.lexicon) for t in batch.column("_text").to_pylist()], "f4").reshape(-1, len(FEATURES))
+            x = np.array([features(t, m.lexicon) for t in batch.column("__text").to_pylist()], "f4").reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(m.score(x), pa.float64())], names=schema.names)
 
-    return map_batches(docs.select(*keep, F.col(text_col).alias("_text")), run, schema)
+    return map_batches(docs.select(*keep, F.col(text_col).alias("__text")), run, schema)

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.operators.prices import let, total
 
 
+def _folded(head: Column) -> Column:
+    """The probabilities with what they lack to one as a last entry."""
+    return let({"p": head}, lambda v: F.concat(v.p, F.array(F.greatest(F.lit(0.0), 1 - total(v.p)))))
+
+
 def poisson_pmf(rate: Column, most: int) -> Column:
-    """P(0..most), the tail folded into the last entry, by the ratio of successive terms."""
-    start = F.struct(F.array(F.exp(-rate)).alias("p"), F.exp(-rate).alias("last"))
-    steps = F.sequence(F.lit(1), F.lit(most - 1))
-    grown = F.aggregate(steps, start, lambda s, k: F.struct(F.concat(s.p, F.array(s.last * rate / k)).alias("p"), (s.last * rate / k).alias("last")), lambda s: s.p)
-    return F.concat(grown, F.array(F.greatest(F.lit(0.0), 1 - total(grown))))
+    """P(0..most), the tail folded into the last entry."""
+    first = F.exp(-rate)
+    return _folded(F.array(*[first * F.pow(rate, F.lit(float(k))) / float(math.factorial(k)) for k in range(most)]))
 
 
 def negative_binomial_pmf(mean: Column, shape: Column, most: int) -> Column:
-    """As `poisson_pmf`, with variance mean + mean^2 / shape."""
-    q = mean / (mean + shape)
-    first = F.pow(shape / (mean + shape), shape)
-    start = F.struct(F.array(first).alias("p"), first.alias("last"))
-    step = lambda s, k: F.struct(F.concat(s.p, F.array(s.last * q * (shape + k - 1) / k)).alias("p"), (s.last * q * (shape + k - 1) / k).alias("last"))
-    grown = F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), start, step, lambda s: s.p)
-    return F.concat(grown, F.array(F.greatest(F.lit(0.0), 1 - total(grown))))
+    """As `poisson_pmf`, with variance mean + mean^2 / shape; by the ratio of successive terms."""
+    q, term, terms = mean / (mean + shape), F.pow(shape / (mean + shape), shape), []
+    for k in range(most):
+        terms.append(term)
+        term = term * q * (shape + k) / (k + 1)
+    return _folded(F.array(*terms))
 
 
 def score_grid(left: Column, right: Column, rho: Column | None = None, rates: tuple[Column, Column] | None = None) -> Column:
@@ -37,7 +41,8 @@ def score_grid(left: Column, right: Column, rho: Column | None = None, rates: tu
             F.when((h == 0) & (a == 0), 1 - x * y * rho).when((h == 0) & (a == 1), 1 + x * rho).when((h == 1) & (a == 0), 1 + y * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(1.0)
         )
 
-    cells = F.flatten(F.transform(left, lambda p, h: F.transform(right, lambda q, a: F.struct(h.alias("h"), a.alias("a"), (p * q * tau(h, a)).alias("p")))))
+    cross = lambda v: F.flatten(F.transform(v.l, lambda p, h: F.transform(v.r, lambda q, a: F.struct(h.alias("h"), a.alias("a"), (p * q * tau(h, a)).alias("p")))))
+    cells = let({"l": left, "r": right}, cross)
     mass = lambda g: total(F.transform(g, lambda c: c.p))
     return let({"g": cells}, lambda v: let({"g": v.g, "m": mass(v.g)}, lambda w: F.transform(w.g, lambda c: F.struct(c.h.alias("h"), c.a.alias("a"), (c.p / w.m).alias("p")))))
 
@@ -47,15 +52,21 @@ def region(grid: Column, condition) -> Column:
     return total(F.transform(F.filter(grid, lambda c: condition(c.h, c.a)), lambda c: c.p))
 
 
-def markets(grid: Column, lines: tuple[float, ...] = (1.5, 2.5, 3.5)) -> dict[str, Column]:
-    out = {
-        "p_left": region(grid, lambda h, a: h > a), "p_draw": region(grid, lambda h, a: h == a), "p_right": region(grid, lambda h, a: h < a),
-        "both_score": region(grid, lambda h, a: (h > 0) & (a > 0)), "left_clean": region(grid, lambda h, a: a == 0), "handicap_left": region(grid, lambda h, a: h - a > 1),
-        "mean_left": total(F.transform(grid, lambda c: c.h * c.p)), "mean_right": total(F.transform(grid, lambda c: c.a * c.p)),
+def markets(grid: Column, lines: tuple[float, ...] = (1.5, 2.5, 3.5)) -> Column:
+    """A struct of the probabilities and means that a grid gives, all added up in one pass over its cells."""
+    rules = {
+        "p_left": lambda h, a: h > a, "p_draw": lambda h, a: h == a, "p_right": lambda h, a: h < a, "both_score": lambda h, a: (h > 0) & (a > 0),
+        "left_clean": lambda h, a: a == 0, "handicap_left": lambda h, a: h - a > 1,
     }
     for line in lines:
-        out[f"over_{str(line).replace('.', '_')}"] = region(grid, lambda h, a, line=line: h + a > line)
-    return out
+        rules[f"over_{str(line).replace('.', '_')}"] = lambda h, a, line=line: h + a > line
+    names = [*rules, "mean_left", "mean_right"]
+
+    def add(s: Column, c: Column) -> Column:
+        sums = [s[n] + F.when(f(c.h, c.a), c.p).otherwise(0.0) for n, f in rules.items()] + [s["mean_left"] + c.h * c.p, s["mean_right"] + c.a * c.p]
+        return F.struct(*[x.alias(n) for n, x in zip(names, sums)])
+
+    return F.aggregate(grid, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
 
 
 def rescale(grid: Column, target: Column) -> Column:

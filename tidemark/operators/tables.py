@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,4 +76,7 @@ def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-Rule = Callable[[DataFrame], DataFrame]
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before costly row-wise maths, if its files give fewer partitions than there are cores; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grids, scores
 from tidemark.operators import prices
 from tidemark.operators.resampling import block_bootstrap, holm
+from tidemark.operators.tables import spread
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import CONTESTS, FORECASTS, MODELS, QUOTES, contests, forecasts, models, quotes
 
@@ -64,7 +65,7 @@ cells as (select contest_id, left_n, right_n, h, a, p / sum(p) over (partition b
 
 
 def _grid(spark, sf) -> DataFrame:
-    r, x, y = _rates(spark, sf), F.col("x"), F.col("y")
+    r, x, y = spread(_rates(spark, sf)), F.col("x"), F.col("y")
     r = r.withColumns({"px": grids.poisson_pmf(x, 8), "py": grids.poisson_pmf(y, 8)})
     return r.withColumn("grid", grids.score_grid(F.col("px"), F.col("py"), F.lit(-0.05), (x, y)))
 
@@ -73,7 +74,7 @@ def _grid(spark, sf) -> DataFrame:
 sum(p) filter (h - a > 1) as handicap_left, sum(h * p) as mean_left, sum(a * p) as mean_right, sum(p) filter (h + a > 1.5) as over_1_5, sum(p) filter (h + a > 2.5) as over_2_5, sum(p) filter (h + a > 3.5) as over_3_5 from cells group by 1""")
 def grid_markets(spark, sf):
     """PRB3 to PRB5: Poisson pmfs, corrected score grid and the probabilities read off it, without a UDF."""
-    return _grid(spark, sf).select("contest_id", *[c.alias(n) for n, c in grids.markets(F.col("grid")).items()])
+    return _grid(spark, sf).select("contest_id", grids.markets(F.col("grid")).alias("m")).select("contest_id", "m.*")
 
 
 @query(f"""with {_GRID}, o as (select *, row_number() over (partition by contest_id order by -round(p, 12), h, a) as k from cells),

@@ -14,7 +14,6 @@ documents, in order of text.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,18 +34,18 @@ RANGE_BYTES = 8 << 20
 TOGETHER = 256
 
 
-#: A run of ASCII marks between an ASCII letter or digit and a blank is a token group of its own, so words and marks are kept apart.
-MARKS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:-@\[-`{-~]+) ")
+#: ASCII marks that no contraction starts with. Behind an ASCII letter or digit and up to the word's end they are a token group of their own.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 class WordTokens:
     """Token ids by a cache of the words between blanks and line ends, which a tokenizer that drops white space never joins.
 
-    Words are kept in two generations of at most about `most` each. New words of letters only are encoded together, for each ends in a
-    token that closes a word; others one by one. A text with the opening of a special token's name is encoded whole.
+    Words are kept in two generations of at most about `most` each. A new word that ends in marks is put together from its parts. New words
+    of letters only are encoded together, for each ends in a token that closes a word; others one by one. A text with the opening of a special token's name is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -73,21 +72,47 @@ class WordTokens:
             if len(ends) != len(plain) or not t.isalpha():
                 self.young[t.encode()] = self._whole(t)
 
+    def _meet(self, words: set[bytes]) -> None:
+        """Make all these words, none of them young, known."""
+        young, old = self.young, self.old
+        fresh, joined = set(), []
+        for w in words:
+            if w in old:
+                young[w] = old[w]
+                continue
+            core = w.rstrip(MARKS)
+            if core != w and core and core[-1] < 128 and core[-1:].isalnum():
+                joined.append((w, core))
+                need = (core, w[len(core) :])
+            else:
+                need = (w,)
+            for x in need:
+                if x not in young:
+                    if x in old:
+                        young[x] = old[x]
+                    else:
+                        fresh.add(x)
+        self._learn(sorted(fresh))
+        for w, core in joined:
+            young[w] = young[core] + young[w[len(core) :]]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        words = [None if b"<|" in t else MARKS.sub(rb" \1 ", t.lower().replace(b"\n", b" ")).split(b" ") for t in texts]
+        words = [None if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
         if len(self.young) > self.most:
             self.young, self.old = {b"": b""}, self.young
-        young, old = self.young, self.old
-        fresh = []
-        for w in set().union(*(x for x in words if x is not None)):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    fresh.append(w)
-        self._learn(fresh)
-        return [self._whole(t.decode()) if x is None else b"".join(map(young.__getitem__, x)) for t, x in zip(texts, words)]
+        young, gaps, new = self.young, [], set()
+        found = [None if x is None else list(map(young.get, x)) for x in words]
+        for k, x in enumerate(found):
+            i = -1
+            for _ in range(x.count(None) if x else 0):
+                i = x.index(None, i + 1)
+                gaps.append((k, i))
+                new.add(words[k][i])
+        self._meet(new)
+        for k, i in gaps:
+            found[k][i] = young[words[k][i]]
+        return [self._whole(t.decode()) if x is None else b"".join(x) for t, x in zip(texts, found)]
 
 
 _TOKENS: dict[str, WordTokens] = {}

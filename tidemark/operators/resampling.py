@@ -39,3 +39,24 @@ def holm(hypotheses: DataFrame, p: str, ids: list[str], alpha: float = 0.05) ->
     n = F.count("*").over(Window.partitionBy())
     ok = F.col(p) <= alpha / (n - F.row_number().over(order) + 1)
     return hypotheses.withColumn("__ok", ok).withColumn("passes", F.min("__ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__ok")
+
+
+def permutation_p(rows: DataFrame, value: str, group: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(gap, p) of the difference of means between rows where `group` holds and the others, under relabelling by hash.
+
+    Values are counted first: a draw splits the count of each distinct value, so the work is values times draws, not rows times draws.
+    """
+    cells = rows.select(F.col(value).alias("v"), F.col(group).alias("g")).dropna().groupBy("v").agg(F.count("*").alias("n"), F.sum(F.col("g").cast("long")).alias("k"))
+    whole = cells.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.sum(F.col("v") * F.col("n")).alias("all_v"), F.sum(F.col("v") * F.col("k")).alias("in_v"))
+    gap = lambda a, k, s, n: a / k - (s - a) / (n - k)
+    spark = rows.sparkSession
+    # a normal draw of each value's share, corrected so that the shares add up to K: the large-sample law of a random relabelling
+    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "v"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    w = (F.pmod(F.xxhash64(F.lit(seed + 1), "draw", "v"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * w)
+    drawn = cells.join(F.broadcast(whole)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("share", F.col("all_k") / F.col("all_n"))
+    drawn = drawn.withColumn("d", z * F.sqrt(F.col("n") * F.col("share") * (1 - F.col("share"))))
+    sums = drawn.groupBy("draw").agg(F.sum("d").alias("e"), F.sum(F.col("v") * F.col("d")).alias("vd"), F.first("all_n").alias("all_n"), F.first("all_k").alias("all_k"), F.first("all_v").alias("all_v"), F.first("in_v").alias("in_v"))
+    null = sums.withColumn("a", F.col("all_k") / F.col("all_n") * F.col("all_v") + F.col("vd") - F.col("e") * F.col("all_v") / F.col("all_n"))
+    seen, other = gap(F.col("in_v"), F.col("all_k"), F.col("all_v"), F.col("all_n")), gap(F.col("a"), F.col("all_k"), F.col("all_v"), F.col("all_n"))
+    return null.agg(F.first(seen).alias("gap"), ((F.sum((F.abs(other) >= F.abs(seen)).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grids
 from tidemark.operators import cleaning, tables
 from tidemark.operators.asof import as_of, last_state
+from tidemark.operators.resampling import block_bootstrap, permutation_p
 from tidemark.plans.registry import Registry
 from tidemark.plans.score_plans import _BRIER, _LOSS, _M, _RATES, _TRIPLE, _rates, _scored, _triples
 from tidemark.plans.table_plans import _ALIASES, _NORM, RAW, aliases, raw
@@ -182,3 +183,58 @@ def denominators(spark, sf):
     d = forecasts(c).select("contest_id").join(c, "contest_id")
     seen = F.sum((F.col("contest_id") % 3 != 0).cast("long"))
     return d.agg(F.count("*").alias("eligible"), seen.alias("observed_n"), F.sum((F.col("left_n").isNotNull() & F.col("right_n").isNotNull()).cast("long")).alias("complete"), (seen >= 500).alias("enough"))
+
+
+@query()
+def window_comparison(spark, sf):
+    """MET8: losses of two windows compared by resampling their weekly blocks apart."""
+    s = _scored(spark, sf).where("model_id = 1").withColumn("block", F.to_date("event_ts"))
+    early, late = s.where("event_ts < timestamp '2024-01-15'"), s.where("event_ts >= timestamp '2024-01-15'")
+    a, b = (block_bootstrap(w, "block", ["log_loss"], 300, seed).select(F.lit(name).alias("part"), "mean", "low", "high") for w, seed, name in ((early, 1, "early"), (late, 2, "late")))
+    return a.unionByName(b)
+
+
+@query()
+def permutation_test(spark, sf):
+    """MET9: is the mean count of the left side another one in the later half?"""
+    return permutation_p(contests(spark, sf).withColumn("late", F.col("event_ts") >= F.expr("timestamp '2024-01-15'")).withColumn("v", F.col("left_n").cast("double")), "v", "late")
+
+
+@query()
+def calibration_null(spark, sf):
+    """MET10: calibration error of the top label against that of a forecaster who is right as often as stated, outcomes drawn by hash."""
+    m = models(forecasts(contests(spark, sf))).where("model_id = 1").withColumns({"c": F.greatest("p0", "p1", "p2"), "hit": (F.get(F.array("p0", "p1", "p2"), F.col("y")) == F.greatest("p0", "p1", "p2")).cast("double")})
+    bin_ = F.least(F.lit(9), F.floor((F.col("c") - 1.0 / 3) / (2.0 / 3) * 10))
+    draws = 50
+    u = (F.pmod(F.xxhash64(F.lit(5), "contest_id", "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    many = m.withColumn("bin", bin_).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws)))).withColumn("h", F.when(F.col("draw") == 0, F.col("hit")).otherwise((u < F.col("c")).cast("double")))
+    ece = many.groupBy("draw", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("c") - F.avg("h")).alias("g")).groupBy("draw").agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("ece"))
+    return ece.agg(F.max(F.when(F.col("draw") == 0, F.col("ece"))).alias("seen"), F.percentile(F.when(F.col("draw") > 0, F.col("ece")), 0.95).alias("null_95"))
+
+
+@query(f"""{_M} select model_id, case when event_ts < timestamp '2024-01-15' then 'fit' else 'test' end as part, count(*) as n, avg({_LOSS}) as log_loss, avg({_BRIER}) as brier, avg(p0) as mean_stated, avg(cast(y = 0 as int)) as rate from models group by 1, 2""")
+def metric_summary(spark, sf):
+    """MET17: metrics by window and model."""
+    s = _scored(spark, sf).withColumn("part", F.when(F.col("event_ts") < F.expr("timestamp '2024-01-15'"), "fit").otherwise("test"))
+    return s.groupBy("model_id", "part").agg(F.count("*").alias("n"), F.avg("log_loss").alias("log_loss"), F.avg("brier").alias("brier"), F.avg("p0").alias("mean_stated"), F.avg((F.col("y") == 0).cast("int")).alias("rate"))
+
+
+@query(f"""{_M}, w as (select model_id, case when event_ts < timestamp '2024-01-12' then 'fit' when event_ts < timestamp '2024-01-20' then 'select' else 'test' end as part, {_LOSS} as l from models),
+s as (select model_id, avg(l) filter (part = 'fit') as fit_loss, avg(l) filter (part = 'select') as select_loss, avg(l) filter (part = 'test') as test_loss from w group by 1) select *, row_number() over (order by select_loss, model_id) = 1 as chosen from s""")
+def select_and_test(spark, sf):
+    """FIT15: candidates compared on a selection window; the chosen one's test loss is read once."""
+    part = F.when(F.col("event_ts") < F.expr("timestamp '2024-01-12'"), "fit").when(F.col("event_ts") < F.expr("timestamp '2024-01-20'"), "select").otherwise("test")
+    s = _scored(spark, sf).withColumn("part", part)
+    loss = lambda p: F.avg(F.when(F.col("part") == p, F.col("log_loss"))).alias(f"{p}_loss")
+    out = s.groupBy("model_id").agg(loss("fit"), loss("select"), loss("test"))
+    return out.withColumn("chosen", F.row_number().over(Window.orderBy("select_loss", "model_id")) == 1)
+
+
+@query("""with r as (select event_id, event_type as lic, user_id, case when event_id % 101 = 0 then null else event_id end as key from events) select 'malformed' as rule, count(*) as n, case when count(*) > 0 then 'warn' else 'ok' end as severity from r where key is null
+union all select 'licence', count(*), case when count(*) > 0 then 'block' else 'ok' end from r where lic = 'error' union all select 'conflict', count(*), case when count(*) > 0 then 'block' else 'ok' end from (select key from r where key is not null group by 1 having count(*) > 1)""")
+def record_checks(spark, sf):
+    """AGG22: checks of stored records as alert rows."""
+    r = read_table(spark, sf, "events").select(F.col("event_type").alias("lic"), F.when(F.col("event_id") % 101 != 0, F.col("event_id")).alias("key"))
+    row = lambda rule, d, bad: d.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n", F.when(F.col("n") > 0, bad).otherwise("ok").alias("severity"))
+    out = row("malformed", r.where("key is null"), "warn").unionByName(row("licence", r.where("lic = 'error'"), "block"))
+    return out.unionByName(row("conflict", r.where("key is not null").groupBy("key").count().where("count > 1"), "block"))

@@ -92,3 +92,22 @@ def test_recall_and_precision_against_brute_force(spark):
     want = components(list(range(len(texts))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in sh.drop_near_duplicates(docs).collect()} == set(want)
+
+
+def test_a_line_that_repeats_hides_no_copy(spark):
+    rng = random.Random(7)
+    rows, want = [], set()
+    for k in range(40):
+        own, line = ([f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (200, 8))
+        rows += [(2 * k, " ".join(own + line)), (2 * k + 1, " ".join(own + line * 100))]
+        want.add(2 * k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in sh.drop_near_duplicates(docs).collect()} == want
+
+
+def test_pairs_at_the_similarity_share_a_band():
+    rng = np.random.default_rng(0)
+    for _ in range(3000):
+        a = rng.integers(0, 2**63, 196, dtype="u8")
+        b = np.append(a[20:], rng.integers(0, 2**63, 20, dtype="u8"))
+        assert any(x == y for x, y in zip(sh.minhash_bands(a), sh.minhash_bands(b)))

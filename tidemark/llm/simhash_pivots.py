@@ -1,17 +1,20 @@
 """Near duplicates by SimHash and pivot distance tables.
 
-Two modes share the fingerprints:
+Two modes share the shingle hashes:
 
 * `link_fingerprints`: every pair of fingerprints within `radius` (at most 2) bits, exactly.
 * `drop_near_duplicates`: documents whose five-word shingle sets have a Jaccard similarity of at least 0.8.
 
 Pivot distances alone discard pairs but do not find them without trying all, so pairs first share a key: for the exact radius two of
-four 16-bit blocks (two differing bits leave at least two blocks untouched), for the similarity a band of shingle minima. The pivot table
-then discards pairs by their largest coordinate difference (by the triangle inequality no pair within the radius is lost), and the
-survivors are verified. For the exact radius that leaves few; for the similarity, whose radius is 22 bits, the distances to pivots hardly
-differ and the Hamming distance and the shingle sets decide. Blocks with more than `SMALL` members are not paired at all: each member joins the 65 centres within one bit of
-it; members that meet at a centre are within two bits of each other, and any two within two bits meet at one. A centre has at most 65
-members, so a group of copies of any size costs a fixed number of rows per member.
+four 16-bit blocks (two differing bits leave at least two blocks untouched), for the similarity a band of shingle minima. For the exact
+radius the pivot table then discards pairs by their largest coordinate difference (by the triangle inequality no pair within the radius is
+lost), and the survivors are verified. Blocks with more than `SMALL` members are not paired at all: each member joins the 65 centres within
+one bit of it; members that meet at a centre are within two bits of each other, and any two within two bits meet at one. A centre has at
+most 65 members, so a group of copies of any size costs a fixed number of rows per member.
+
+For the similarity neither pivots nor SimHashes discard anything: a distance of fingerprints bounds no Jaccard similarity. The sizes and
+parity vectors of the shingle sets do bound it, and what they leave is verified on the sets. In bands with more than `SMALL` members a few
+leaders stand for the rest.
 
 Null texts count as empty. A text without words has fingerprint zero and links like any other. Equal rows stay separate rows.
 """
@@ -130,18 +133,22 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
 
 
 BANDS, ROWS = 16, 3
-#: Members of a large band that all others of it are compared with.
+#: Members of a large band that all others of it are compared with first, besides its most central one.
 LEADERS = 4
-#: Differing bits of 64 within which the SimHashes of shingle sets with a similarity of 0.8 lie: 10 expected, and four deviations of 3.
-NEAR_BITS = 22
+#: Bits of the parity vectors that bound how far two shingle sets differ.
+PARITY = 512
 
 
 def minhash_bands(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One signed key for each band of minima over a set of shingle hashes."""
-    k = np.arange(1, bands * rows + 1, dtype="u8")
-    a, b = k * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), k * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = hashes ^ (hashes >> np.uint64(33))
-    least = np.array([((x * p + q) >> np.uint64(17)).min() for p, q in zip(a, b)] if len(x) else np.zeros(bands * rows), "u8")
+    """One signed key for each band of minima over a set of shingle hashes; each minimum is of its own mixed hash, as minima of linear ones go together."""
+    least = np.zeros(bands * rows, "u8")
+    if len(hashes):
+        for k in range(bands * rows):
+            x = hashes ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            x *= np.uint64(0xFF51AFD7ED558CCD)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xC4CEB9FE1A85EC53)
+            least[k] = x.min() >> np.uint64(17)
     h = xxhash.xxh3_64_intdigest
     return np.array([h(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)], "u8").view("i8").tolist()
 
@@ -151,48 +158,76 @@ def content_key(text: bytes) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())), "u8").view("i8"))
 
 
+def parity(hashes: np.ndarray) -> list[int]:
+    """PARITY bits as signed longs: bit i is one if an odd number of the hashes falls on it. Two sets differ in at least as many hashes as their vectors in bits."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype("i8"), minlength=PARITY) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").view("i8").tolist()
+
+
 def signed_documents(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """docs with __uid, __content, __fp and __bands, written once so that later steps agree about the rows."""
+    """docs with __uid, __content, __size and __bits of the shingle set and __bands, written once so that later steps agree about the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, fps, bands = [], [], []
+            content, size, bits, bands = [], [], [], []
             for t in _texts(batch, text_col):
-                h = shingle_hashes(t, words)
+                h = np.unique(shingle_hashes(t, words))
                 content.append(content_key(t))
-                fps.append(fingerprint(h))
-                bands.append(minhash_bands(np.unique(h)))
-            more = [pa.array(content, pa.int64()), pa.array(np.array(fps, "u8").view("i8")), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__content", "__fp", "__bands"])
+                size.append(len(h))
+                bits.append(parity(h))
+                bands.append(minhash_bands(h))
+            more = [pa.array(content, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__content", "__size", "__bits", "__bands"])
 
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    schema = T.StructType([*rows.schema.fields, T.StructField("__content", T.LongType()), T.StructField("__fp", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    return materialise(map_batches(rows, run, schema), "signed")
+    added = [T.StructField("__content", T.LongType()), T.StructField("__size", T.IntegerType()), T.StructField("__bits", T.ArrayType(T.LongType())), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    return materialise(map_batches(rows, run, T.StructType([*rows.schema.fields, *added])), "signed")
 
 
-def candidate_pairs(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """(a, b) of classes (content, fp, bands) that share a band and are not discarded by pivot distances or Hamming distance.
+def _may_reach(similarity: float, a: str = "x", b: str = "y") -> Column:
+    """Bounds that no pair of the similarity breaks: the sizes of its sets, and the hashes in which the sets differ, of which the parity bits count no more than there are."""
+    p, q = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return (F.least(p, q) >= similarity * F.greatest(p, q)) & (apart <= (1 - similarity) / (1 + similarity) * (p + q) + 1e-6)
 
-    Bands of up to `small` members are paired whole. In larger ones every member meets LEADERS others, drawn by hash anew in each band, so the
-    pairs grow with the members, not with their square.
-    """
-    table = pivot_table(classes.select("content", "fp", "bands"))
-    keyed = table.select("*", F.posexplode("bands").alias("band", "key")).drop("bands")
+
+def _ends() -> list[Column]:
+    return [F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")]
+
+
+def band_members(classes: DataFrame) -> DataFrame:
+    """(content, size, bits, band, key, n) of the classes (content, size, bits, bands) that share a band with others; n counts the band's members."""
+    keyed = classes.select("content", "size", "bits", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialise(keyed.join(sizes, ["band", "key"]), "bands")
+    return materialise(keyed.join(sizes, ["band", "key"]), "bands")
+
+
+def candidate_pairs(members: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
+    """(a, b) of members that share a band of up to `small` members; in larger bands, each member with a few leaders only.
+
+    The leaders are the member that meets most others over all its bands, and LEADERS drawn by hash. They join most of a group at a cost in
+    proportion to its members.
+    """
     few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small)
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.content") < F.col("y.content")) & _may_link("x", "y", NEAR_BITS))
-    leaders = None
-    for k in range(LEADERS):
-        drawn = many.groupBy("band", "key").agg(F.min_by(F.struct("content", "fp", *[f"p{i}" for i in range(PIVOTS)]), F.xxhash64(F.lit(k), "content")).alias("leader")).select("band", "key", "leader.*")
-        leaders = drawn if leaders is None else leaders.unionByName(drawn)
-    stars = many.alias("x").join(leaders.distinct().alias("y"), same & (F.col("x.content") != F.col("y.content")) & _may_link("x", "y", NEAR_BITS))
-    ends = [F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")]
-    return pairs.select(*ends).unionByName(stars.select(*ends)).distinct()
+    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.content") < F.col("y.content")) & _may_reach(similarity))
+    met = many.join(many.groupBy("content").agg(F.sum("n").alias("met")), "content")
+    who = F.struct("content", "size", "bits")
+    drawn = [F.max_by(who, F.struct("met", "content")), *[F.min_by(who, F.xxhash64(F.lit(k), "content")) for k in range(LEADERS)]]
+    leaders = met.groupBy("band", "key").agg(F.array(*drawn).alias("drawn")).select("band", "key", F.explode(F.array_distinct("drawn")).alias("leader")).select("band", "key", "leader.*")
+    stars = many.alias("x").join(leaders.alias("y"), same & (F.col("x.content") != F.col("y.content")) & _may_reach(similarity))
+    return pairs.select(*_ends()).unionByName(stars.select(*_ends())).distinct()
+
 
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (content, shingles) have the similarity."""
+    x, y = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    sized = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
+    return pairs.join(x, "a").join(y, "b").where(sized & (both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """The rows of docs without near duplicates: of each group of linked texts the row with the smallest id stays (rows without id last).
 
     Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`, verified exactly on every pair that shares
@@ -201,9 +236,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     names = docs.columns
     rows = signed_documents(docs, words, text_col)
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid"))
-    classes = rows.groupBy(F.col("__content").alias("content")).agg(F.min(rank).alias("best"), F.first("__fp").alias("fp"), F.first("__bands").alias("bands"))
+    classes = rows.groupBy(F.col("__content").alias("content")).agg(F.min(rank).alias("best"), *[F.first(f"__{c}").alias(c) for c in ("size", "bits", "bands")])
     classes = materialise(classes, "contents")
-    pairs = materialise(candidate_pairs(classes), "pairs")
+    members = band_members(classes)
+    pairs = materialise(candidate_pairs(members, similarity, small), "pairs")
     wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
     wanted = classes.join(wanted, "content").select("content", F.col("best.uid").alias("__uid"))
 
@@ -214,10 +250,7 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
 
     texts = rows.select("__uid", F.col(text_col).alias("__text")).join(wanted, "__uid").select("content", "__text")
     sets = materialise(map_batches(texts, shingle_sets, "content long, shingles array<long>"), "shingle-sets")
-    x, y = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sized = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
-    edges = pairs.join(x, "a").join(y, "b").where(sized & (both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))).select("a", "b")
+    edges = materialise(verified(pairs, sets, similarity), "edges")
     groups = connected_components(edges, "near").withColumnRenamed("node", "content")
     best = classes.join(groups, "content", "left").groupBy(F.coalesce("component", "content").alias("group")).agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.uid").alias("__uid"))

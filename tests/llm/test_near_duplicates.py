@@ -94,6 +94,39 @@ def test_recall_and_precision_against_brute_force(spark):
     assert {r.doc_id for r in sh.drop_near_duplicates(docs).collect()} == set(want)
 
 
+def test_edited_copies_that_only_meet_at_their_original(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        t = base[:]
+        for i in rng.sample(range(200), 4):
+            t[i] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(t))
+    texts.append(" ".join(base))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in sh.drop_near_duplicates(docs).collect()] == [0]
+
+
+def test_large_bands_lose_no_pair(spark):
+    rng = random.Random(6)
+    form = [f"f{i}" for i in range(110)]
+    texts = []
+    for _ in range(90):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(60)]
+        texts += [" ".join(form + own), " ".join(form + own[:-3] + [f"p{rng.randrange(10**9)}" for _ in range(3)])]
+    for t in range(30):
+        own = [f"q{rng.randrange(10**9)}" for _ in range(60)]
+        for k in range(4):  # a chain: each is near the next, the ends are not
+            texts.append(" ".join(form + own[k * 8 :] + [f"c{t}x{i}" for i in range(k * 8)]))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    want = components(list(range(len(texts))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert len(set(want)) == 120
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for small in (8, 64):
+        assert {r.doc_id for r in sh.drop_near_duplicates(docs, small=small).collect()} == set(want)
+
+
 def test_a_line_that_repeats_hides_no_copy(spark):
     rng = random.Random(7)
     rows, want = [], set()

@@ -14,7 +14,7 @@ most 65 members, so a group of copies of any size costs a fixed number of rows p
 
 For the similarity neither pivots nor SimHashes discard anything: a distance of fingerprints bounds no Jaccard similarity. The sizes and
 parity vectors of the shingle sets do bound it, and what they leave is verified on the sets. In bands with more than `SMALL` members a few
-leaders stand for the rest.
+leaders join most of a group, and what is not joined yet is paired by the rarest shingles, which find every pair of the similarity.
 
 Null texts count as empty. A text without words has fingerprint zero and links like any other. Equal rows stay separate rows.
 """
@@ -137,6 +137,8 @@ BANDS, ROWS = 16, 3
 LEADERS = 4
 #: Bits of the parity vectors that bound how far two shingle sets differ.
 PARITY = 512
+#: Members in one slice of a shingle that many texts share; slices meet two by two.
+SLICE = 256
 
 
 def minhash_bands(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
@@ -206,7 +208,7 @@ def candidate_pairs(members: DataFrame, similarity: float, small: int = SMALL) -
     """(a, b) of members that share a band of up to `small` members; in larger bands, each member with a few leaders only.
 
     The leaders are the member that meets most others over all its bands, and LEADERS drawn by hash. They join most of a group at a cost in
-    proportion to its members.
+    proportion to its members; `crowd_pairs` gives the pairs of large bands that are still to be compared.
     """
     few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small)
     same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
@@ -219,6 +221,37 @@ def candidate_pairs(members: DataFrame, similarity: float, small: int = SMALL) -
     return pairs.select(*_ends()).unionByName(stars.select(*_ends())).distinct()
 
 
+def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair of the crowd (content, size, bits) that may reach the similarity and that `groups` (content, component) does not join yet.
+
+    With the shingles of each set in one order, rarest first, two sets of the similarity share one of their first size - similarity * size + 1
+    (rounded up to whole shingles), so a shingle that both have there finds them; shingles of one set only take up places. A shingle's members
+    are cut into slices, and slices meet two by two: first those outside its largest component with each other, then with the largest one.
+    """
+    labelled = crowd.join(groups, "content", "left").select("content", "size", "bits", F.coalesce("component", "content").alias("component"))
+    each = sets.join(crowd.select("content"), "content", "left_semi").select("content", F.explode("shingles").alias("shingle"))
+    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = each.join(held, "shingle").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("ranked"))
+    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
+    own = F.col("size") - F.size("ranked")
+    keys = ranked.join(labelled, "content").withColumn("keys", F.slice("ranked", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int")))
+    keyed = materialise(keys.select("content", "size", "bits", "component", F.explode("keys.shingle").alias("shingle")), "prefixes")
+    parts = keyed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
+    wide = parts.groupBy("shingle").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where(F.col("all") > F.col("top.n"))
+    minor = F.ceil((F.col("all") - F.col("top.n")) / SLICE).cast("int")
+    slices = wide.select("shingle", F.col("top.component").alias("largest"), minor.alias("minor"), F.ceil(F.col("top.n") / SLICE).cast("int").alias("major"))
+    lot = lambda n: F.pmod(F.xxhash64("content"), n).cast("int")
+    at = F.when(F.col("component") == F.col("largest"), F.col("minor") + lot(F.col("major"))).otherwise(lot(F.col("minor")))
+    dealt = keyed.join(slices, "shingle").withColumn("at", at)
+    own = ["shingle", "content", "size", "bits", "component"]
+    x = dealt.where(F.col("at") < F.col("minor")).select(*own, F.col("at").alias("i"), F.explode(F.sequence("at", F.col("minor") + F.col("major") - 1)).alias("j"))
+    y = dealt.select(*own, F.explode(F.sequence(F.lit(0), F.least(F.col("at"), F.col("minor") - 1))).alias("i"), F.col("at").alias("j"))
+    meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "i", "j")]
+    once = (F.col("x.i") < F.col("x.j")) | (F.col("x.content") < F.col("y.content"))
+    apart = F.col("x.component") != F.col("y.component")
+    return x.alias("x").join(y.alias("y"), meet[0] & meet[1] & meet[2] & once & apart & _may_reach(similarity)).select(*_ends()).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (content, shingles) have the similarity."""
     x, y = (sets.select(F.col("content").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
@@ -231,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     """The rows of docs without near duplicates: of each group of linked texts the row with the smallest id stays (rows without id last).
 
     Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`, verified exactly on every pair that shares
-    one of 16 bands of three minima: at 0.8 a pair shares none once in 100,000.
+    one of 16 bands of three minima: at 0.8 a pair shares none once in 100,000. In bands over `small` members pairs that the links found so
+    far join already are not verified again.
     """
     names = docs.columns
     rows = signed_documents(docs, words, text_col)
@@ -240,7 +274,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     classes = materialise(classes, "contents")
     members = band_members(classes)
     pairs = materialise(candidate_pairs(members, similarity, small), "pairs")
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).distinct()
+    crowd = materialise(members.where(F.col("n") > small).select("content", "size", "bits").dropDuplicates(["content"]), "crowd")
+    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).unionByName(crowd.select("content")).distinct()
     wanted = classes.join(wanted, "content").select("content", F.col("best.uid").alias("__uid"))
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +287,10 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     sets = materialise(map_batches(texts, shingle_sets, "content long, shingles array<long>"), "shingle-sets")
     edges = materialise(verified(pairs, sets, similarity), "edges")
     groups = connected_components(edges, "near").withColumnRenamed("node", "content")
+    if crowd.limit(1).count():
+        more = materialise(verified(materialise(crowd_pairs(crowd, sets, groups, similarity), "crowd-pairs"), sets, similarity), "crowd-edges")
+        if more.limit(1).count():
+            groups = connected_components(edges.unionByName(more), "near").withColumnRenamed("node", "content")
     best = classes.join(groups, "content", "left").groupBy(F.coalesce("component", "content").alias("group")).agg(F.min("best").alias("best"))
     kept = best.select(F.col("best.uid").alias("__uid"))
     return rows.join(kept, "__uid", "left_semi").select(*names)

@@ -31,6 +31,18 @@ def test_unclosed_tags_do_not_lose_the_article():
     assert lb.main_text("<article><p>Cut off <b>in the mid") == "Cut off in the mid"
 
 
+def test_page_without_article_keeps_short_first_and_last_lines():
+    ad, para = "<div class='ad'>Buy now.</div>", f"<p>{'A sentence of the main text that is long enough. ' * 3}</p>"
+    top = "<header>Site</header><nav><a href='/'>Home</a></nav>"
+    page = f"<body>{top}<div><h1>Short title</h1><p>By A. Author</p><p>3 May</p>{para}{para}{ad * 3}<p>Thanks for reading.</p></div><div class='comments'><p>Nice one.</p></div><p>Imprint</p></body>"
+    got = lb.main_text(page).split("\n")
+    assert got[:3] == ["Short title", "By A. Author", "3 May"] and len(got) == 6 and got[-1] == "Thanks for reading."
+    between = f"<body>{top}{para}<div class='nav'>More</div><p>Short part</p><div class='nav'>More</div>{para}<footer>foot</footer></body>"
+    assert lb.main_text(between).split("\n")[1] == "Short part" and len(lb.main_text(between).split("\n")) == 3
+    links = "<p>Site name</p>" + "<p><a href='/'>Link</a></p>" * 3
+    assert lb.main_text(f"<body>{links}<h1>Title</h1>{para}<p><a href='/'>See also</a></p><p>End.</p></body>").split("\n")[::2] == ["Title", "End."]
+
+
 def odd_pages(spark):
     big = "<p>" + "text " * 400 + "</p>"
     rows = [(1, "http://a", big, 1), (2, "http://b", big, 2), (3, "http://c", big, 3), (3, "http://c", big, 3), (None, "http://d", big, 4), (5, None, None, None), (6, "u\r\nx y", "", 6), (7, "http://e", "small", 7), (8, "http://f", "small", 8), (9, "z", "é😀" * 5000, 9)]

@@ -3,9 +3,11 @@
 Markup is stripped to lines: one for each block-level element's run of text, in page order, character references decoded and white space
 made one space (a line break inside a block is white space). Scripts, styles, forms, menus, headers, footers, asides, and elements whose
 class, id or role name adverts, notices, side bars or reader comments become lines of length zero, as do lines that are mostly links.
-The lengths are summed over windows of `WINDOW` lines. A surge is the first window of at least `SURGE` characters (one character inside
-an article or main element, and never more than the page's fullest window), a dive the next window that is empty. All lines between a surge
-and its dive are kept and joined by line ends, however short. A page may hold several such stretches.
+The lengths are summed over windows of `WINDOW` lines. Lines of menus, headers, footers, side bars and comment sections, and `WINDOW` or more
+lines of links on end, are boundaries and cut the page into sections. A surge is a window of at least `SURGE` characters (one character
+where the page marks an article or main element, and never more than the page's fullest window). All lines that count between the first
+and the last section with a surge are kept, however short, and joined by line ends: also titles and bylines before the surge, and what
+follows adverts after it.
 
 Null or empty html has an empty text. Unclosed elements end with the page; an article that opens inside a skipped element that is no
 comment section ends the skipping.
@@ -50,6 +52,12 @@ NAMES = re.compile(
     r"|nav|navigation|navbar|menu|breadcrumbs?|pagination|pager|share|sharing|social|related|recommend(?:ed|ations?)?|comments?|respond|disqus|replies|footer|masthead|copyright|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
+#: Names of elements that end a text, unlike adverts and notices, which may stand within it.
+EDGES = re.compile(
+    r"(?:^|[\s_-])(?:sidebar|side-bar|nav|navigation|navbar|menu|breadcrumbs?|pagination|pager|comments?|respond|disqus|replies|footer|masthead|copyright|complementary|contentinfo|search)(?:$|[\s_-])",
+    re.I,
+)
+EDGE_TAGS = frozenset("nav header footer menu".split())
 TALK = re.compile(r"comment|respond|disqus|repl|review|related|recommend", re.I)
 
 
@@ -57,21 +65,31 @@ def _hints(attrs: str) -> str:
     return " ".join(a or b or c for a, b, c in HINT.findall(attrs)) if "=" in attrs else ""
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """The lines (text, whether it counts) in page order, and whether the page marks its article."""
-    out: list[tuple[str, bool]] = []
+#: States of a line: it counts, it is noise, it is mostly links, it is a boundary.
+COUNTS, NOISE, LINKED, EDGE = 1, 0, -1, -2
+
+
+def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """The lines (text, state) in page order, and whether the page marks its article."""
+    out: list[tuple[str, int]] = []
     text: list[str] = []
     linked = total = 0
-    skip, depth, talk = "", 0, False
+    skip, depth, talk, edge = "", 0, False, False
     scope, marked, in_link = 0, False, 0
 
     def end_line() -> None:
         nonlocal text, linked, total
         line = " ".join("".join(text).split())
         if line:
-            out.append((line, not skip and bool(scope or linked < LINKS * total)) if not marked else (line, bool(not skip and scope)))
+            if skip:
+                state = EDGE if edge else NOISE
+            elif marked:
+                state = COUNTS if scope else NOISE
+            else:
+                state = COUNTS if scope or linked < LINKS * total else LINKED
+            out.append((line, state))
         elif text:
-            out.append(("", False))
+            out.append(("", NOISE))
         text, linked, total = [], 0, 0
 
     def put(raw: str) -> None:
@@ -113,10 +131,10 @@ def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
             if (tag in SKIPPED and not (scope and tag == "header" and not named)) or named or talking:
                 if tag not in BLOCKS:
                     text.append(" ")
-                skip, depth, talk = tag, 1, bool(TALK.search(hints))
+                skip, depth, talk, edge = tag, 1, bool(TALK.search(hints)), tag in EDGE_TAGS or bool(EDGES.search(hints))
         if not skip and tag in ("article", "main"):
             if not closing and not marked:
-                out[:] = [(t, False) for t, _ in out]  # what stands before the article is not part of it
+                out[:] = [(t, NOISE) for t, _ in out]  # what stands before the article is not part of it
                 marked = True
             scope = max(0, scope + (-1 if closing else 1))
     put(page[at:])
@@ -124,20 +142,35 @@ def lines(page: str) -> tuple[list[tuple[str, bool]], bool]:
     return out, marked
 
 
+def sections(found: list[tuple[str, int]], window: int = WINDOW) -> list[list[tuple[str, int]]]:
+    """Runs of lines between boundaries; lines of links are one where `window` or more follow each other."""
+    out: list[list[tuple[str, int]]] = [[]]
+    i = 0
+    while i < len(found):
+        j = i
+        while j < len(found) and found[j][1] == LINKED:
+            j += 1
+        if found[i][1] == EDGE or j - i >= window:
+            out.append([])
+            i = max(j, i + 1)
+        else:
+            out[-1].append(found[i])
+            i += 1
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     found, marked = lines(page or "")
-    size = [len(t) if counts else 0 for t, counts in found]
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    least = min(max(sums, default=0), 1 if marked else surge)
-    kept, i = [], 0
-    while least and i < len(sums):
-        if sums[i] < least:
-            i += 1
-            continue
-        dive = next((j for j in range(i, len(sums)) if not sums[j]), len(sums))
-        kept += [t for (t, counts) in found[i:dive] if counts]
-        i = dive
-    return "\n".join(kept)
+    parts = found and ([found] if marked else sections(found, window))
+    fullest = []
+    for part in parts:
+        size = [len(t) if state == COUNTS else 0 for t, state in part]
+        fullest.append(max((sum(size[i : i + window]) for i in range(len(size))), default=0))
+    least = min(max(fullest, default=0), 1 if marked else surge)
+    surges = [k for k, n in enumerate(fullest) if least and n >= least]
+    if not surges:
+        return ""
+    return "\n".join(t for part in parts[surges[0] : surges[-1] + 1] for t, state in part if state == COUNTS)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

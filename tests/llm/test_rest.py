@@ -153,3 +153,15 @@ def test_states_are_carried_over_windows(monkeypatch):
     monkeypatch.setattr(gru_lm, "SCORE_STEPS", 7)
     monkeypatch.setattr(gru_lm, "SCORE_LANES", 2)
     assert np.allclose(a, gru_lm.log_likelihoods(p, docs, v.end), rtol=1e-4)
+
+
+def test_every_window_gives_a_gradient(monkeypatch):
+    v = gru_lm.Vocabulary([(f"w{i}".encode(), 50 - i) for i in range(40)], {k: (1000, 50) for k in range(gru_lm.KINDS)}, 10, 900, 300)
+    p, seen, real = gru_lm.initial(v), [], gru_lm.gradients
+    monkeypatch.setattr(gru_lm, "gradients", lambda *a: seen.append(int(a[5].sum())) or real(*a))
+    short = [np.random.default_rng(i).integers(0, 40, 20).astype("i4") for i in range(30)]
+    new, tokens = gru_lm.train(p, iter(short), v.end)
+    assert tokens == sum(seen) == 600 and not np.array_equal(new["bc"], p["bc"])
+    seen.clear()
+    long = [np.random.default_rng(i).integers(0, 40, 300).astype("i4") for i in range(30)]
+    assert gru_lm.train(p, iter(long), v.end)[1] == sum(seen) == 9000

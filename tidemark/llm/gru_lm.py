@@ -6,7 +6,7 @@ equal size: P(token) = P(class) P(token in class), and for a word outside the vo
 count, N and V the tokens and words of the kind in training, 1 for all unseen words).
 
 The GRU starts at the unigram distribution and is trained on every training document: in each round each task reads its share of the
-documents in lanes by truncated backpropagation, the state being carried through all windows of a document and every third of them updating
+documents in lanes by truncated backpropagation, the state being carried through all windows of a document and each of them updating
 the weights, and the tasks' weights are averaged by tokens. What is counted and trained on grows with the input; only the weights and the most frequent words, both of fixed size, come to the
 driver. Scoring carries the state through the whole document. Counts of rarer words are joined, not broadcast.
 
@@ -31,11 +31,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_batches, materialise
 
 #: Classes and tokens in each; kinds of other words; words whose counts every task holds.
-CLASSES, PER_CLASS, KINDS, KNOWN = 32, 32, 128, 65_536
+CLASSES, PER_CLASS, KINDS, KNOWN = 40, 40, 128, 65_536
 EMBED, HIDDEN = 16, 24
 LANES, STEPS, RATE, ROUNDS = 128, 32, 8e-3, 2
-#: One window in so many updates the weights; the state runs through all of them.
-EVERY = 3
 #: Documents laid into lanes together when scoring, and lanes.
 SCORE_DOCS, SCORE_LANES, SCORE_STEPS = 4096, 192, 16
 END = b"\n"  # no word holds it
@@ -275,11 +273,10 @@ def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE, tog
     """One pass by Adam over the documents in blocks of lanes; returns new weights and the tokens read."""
     p = {k: v.copy() for k, v in p.items()}
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-    step = tokens = blocks = 0
+    step = tokens = 0
 
     def block(some: list[np.ndarray]) -> None:
-        nonlocal step, tokens, blocks, table
-        blocks += 1
+        nonlocal step, tokens, table
         x, y, fresh, length, _ = lanes(some, LANES, end)
         h = np.zeros((x.shape[1], HIDDEN), "f4")
         for t in range(0, len(x), STEPS):
@@ -287,9 +284,6 @@ def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE, tog
             s = slice(t, t + STEPS)
             mask = np.arange(t, min(t + STEPS, len(x)))[:, None] < length[None, :live]
             tokens += int(mask.sum())
-            if (t // STEPS + blocks) % EVERY:
-                h[:live] = recur(p, table, x[s, :live], fresh[s, :live], h[:live])[-1]
-                continue
             g, last, _ = gradients(p, table, x[s, :live], y[s, :live], fresh[s, :live], mask, h[:live])
             h[:live] = last
             n = int(mask.sum())

@@ -9,13 +9,13 @@ of a range is split into powers of two where that costs less than its padding.
 
 The stream is planned in steps of at least `step_tokens`, carrying the last window's documents into the next step, so memory does not
 grow with a range. A null text counts as empty and still has its end token. Rows without an id come first; equal ids stay separate
-documents, in order of text.
+documents, in order of a hash of the text, and may fall into several ranges. A text of any length is tokenized in parts, but its ids are held
+together in one task until they are in windows (4 bytes a token).
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +29,33 @@ from tidemark.llm.common import map_batches
 WINDOW = 4096
 SENTENCE_CUT, INNER_CUT = 8, 64
 STEP_TOKENS = 1 << 20
-#: Bytes of text of one range.
-RANGE_BYTES = 8 << 20
-TOGETHER = 256
+#: Bytes of text of one range, and about how many are tokenized together; a longer text goes in parts of this size.
+RANGE_BYTES, TOGETHER = 8 << 20, 8 << 20
+#: A-Z become a-z, line ends become blanks.
+FOLD = np.arange(256, dtype="u1")
+FOLD[65:91] += 32
+FOLD[10] = 32
 
 
-#: ASCII marks that no contraction starts with. Behind an ASCII letter or digit and up to the word's end they are a token group of their own.
+#: ASCII marks that no contraction starts with. Behind a letter or digit and up to the word's end they are a token group of their own.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
+def _closed(core: bytes) -> bool:
+    """The last character is an ASCII letter or digit or a Latin letter that stays one in lower case, so marks behind it start a group."""
+    if core[-1] < 128:
+        return core[-1:].isalnum()
+    c = core[-4:].decode(errors="ignore")[-1:]
+    return "\u00c0" <= c <= "\u024f" and c.isalpha() and len(c.lower()) == 1
+
+
 class WordTokens:
     """Token ids by a cache of the words between blanks and line ends, which a tokenizer that drops white space never joins.
 
-    Words are kept in two generations of at most about `most` each. A new word that ends in marks is put together from its parts. New words
-    of letters only are encoded together, for each ends in a token that closes a word; others one by one. A text with the opening of a special token's name is encoded whole.
+    Each distinct word of a batch is looked up once. Words are kept in two generations of at most about `most` each. A new word that ends in
+    marks is put together from its parts; new words of a-z go straight to the tokenizer's model, which its other steps would hand them to
+    unchanged; new words of letters are encoded some at a time, for each ends in a token that closes a word; others one by one. A text with
+    the opening of a special token's name is encoded whole.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -57,20 +70,33 @@ class WordTokens:
         self.sentence_ends = np.zeros(len(self.closes), bool)
         self.sentence_ends[[i for t, i in vocab.items() if (w := t.removesuffix("</w>")) != t and w and not w.strip(".!?")]] = True
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        plain = [t for t in texts if t.isalpha()]
-        raw = self._whole(" ".join(plain))
-        ends = (4 * np.nonzero(self.closes[np.frombuffer(raw, "<u4")])[0] + 4).tolist()
-        if len(ends) == len(plain):
-            for t, a, b in zip(plain, [0, *ends], ends):
-                self.young[t.encode()] = raw[a:b]
-        for t in texts:
-            if len(ends) != len(plain) or not t.isalpha():
-                self.young[t.encode()] = self._whole(t)
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        # one call for each some texts; the batch call leaves out character places, which nothing here needs
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes], together: int = 64) -> None:
+        young, tokenize = self.young, self.tokenizer.model.tokenize
+        plain = [w for w in words if w.isalpha()]
+        ids, ends = [], []
+        for w in plain:
+            ids += [t.id for t in tokenize(w.decode())]
+            ends.append(len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        young.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(plain, [0, *ends], ends))
+        letters, others = [], []
+        for w in words:
+            if not w.isalpha():
+                (letters if (t := w.decode()).isalpha() else others).append(t)
+        groups = [letters[i : i + together] for i in range(0, len(letters), together)]
+        for group, raw in zip(groups, self._whole([" ".join(g) for g in groups])):
+            ends = (4 * np.nonzero(self.closes[np.frombuffer(raw, "<u4")])[0] + 4).tolist()
+            if len(ends) == len(group):
+                for t, a, b in zip(group, [0, *ends], ends):
+                    young[t.encode()] = raw[a:b]
+            else:
+                others += group
+        for t, raw in zip(others, self._whole(others)):
+            young[t.encode()] = raw
 
     def _meet(self, words: set[bytes]) -> None:
         """Make all these words, none of them young, known."""
@@ -79,40 +105,79 @@ class WordTokens:
         for w in words:
             if w in old:
                 young[w] = old[w]
-                continue
-            core = w.rstrip(MARKS)
-            if core != w and core and core[-1] < 128 and core[-1:].isalnum():
+            elif 0 < len(core := w.rstrip(MARKS)) < len(w) and _closed(core):
                 joined.append((w, core))
-                need = (core, w[len(core) :])
             else:
-                need = (w,)
-            for x in need:
-                if x not in young:
-                    if x in old:
-                        young[x] = old[x]
-                    else:
-                        fresh.add(x)
-        self._learn(sorted(fresh))
+                fresh.add(w)
+        for x in {x for w, core in joined for x in (core, w[len(core) :])}:
+            if x not in young:
+                if x in old:
+                    young[x] = old[x]
+                else:
+                    fresh.add(x)
+        self._learn(list(fresh))
         for w, core in joined:
             young[w] = young[core] + young[w[len(core) :]]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [None if b"<|" in t else t.lower().replace(b"\n", b" ").split(b" ") for t in texts]
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (binary, no nulls) behind each other, `end_id` after each text, and where each text ends."""
         if len(self.young) > self.most:
             self.young, self.old = {b"": b""}, self.young
-        young, gaps, new = self.young, [], set()
-        found = [None if x is None else list(map(young.get, x)) for x in words]
-        for k, x in enumerate(found):
-            i = -1
-            for _ in range(x.count(None) if x else 0):
-                i = x.index(None, i + 1)
-                gaps.append((k, i))
-                new.add(words[k][i])
-        self._meet(new)
-        for k, i in gaps:
-            found[k][i] = young[words[k][i]]
-        return [self._whole(t.decode()) if x is None else b"".join(x) for t, x in zip(texts, found)]
+        offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        low = FOLD[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        np.equal(low, 32, out=cut[1:])
+        special = np.nonzero((raw[:-1] == 60) & (raw[1:] == 124))[0]
+        for k in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
+            a, b = offsets[k], offsets[k + 1]
+            low[a:b], cut[a + 1 : b] = raw[a:b], False
+        cut[offsets] = True
+        at = np.nonzero(cut)[0].astype("i4")
+        words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(low)]).dictionary_encode()
+        starts = np.frombuffer(words.dictionary.buffers()[1], "<i4")[: len(words.dictionary) + 1]
+        held = words.dictionary.buffers()[2].to_pybytes() if len(words.dictionary) else b""
+        stops = starts[1:] - (np.frombuffer(held, "u1")[starts[1:] - 1] == 32)
+        names = [held[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        found = list(map(self.young.get, names))
+        if len(special):
+            whole = [k for k, w in enumerate(names) if b"<|" in w]
+            for k, ids in zip(whole, self._whole([names[k].decode() for k in whole])):
+                found[k] = ids
+        gaps = [k for k, x in enumerate(found) if x is None]
+        self._meet({names[k] for k in gaps})
+        for k in gaps:
+            found[k] = self.young[names[k]]
+        pool = np.append(np.frombuffer(b"".join(found), "<u4"), np.uint32(end_id))
+        size = np.append(np.fromiter(map(len, found), "i8", len(found)) // 4, 1)
+        ends = np.searchsorted(at, offsets[1:])
+        stream = np.insert(words.indices.to_numpy(), ends, len(found))
+        n = size[stream]
+        after = np.cumsum(n)
+        ids = pool[np.repeat((np.cumsum(size) - size)[stream] - after + n, n) + np.arange(after[-1] if len(after) else 0)]
+        return ids, after[ends + np.arange(len(ends))]
+
+    def encode_in_parts(self, texts: pa.Array, end_id: int, together: int = TOGETHER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, one after the last, ids, ends) for some rows after each other; the ids of a long text are put together from its parts."""
+        offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + together, "right")) - 1)
+            if hi > lo + 1 or offsets[hi] - offsets[lo] <= 2 * together:
+                yield lo, hi, *self.encode(texts.slice(lo, hi - lo), end_id)
+            else:
+                text, parts, a = texts[lo].as_py(), [], 0
+                if b"<|" in text:
+                    parts, a = [np.frombuffer(self._whole([text.decode()])[0], "<u4")], len(text)
+                while a < len(text):
+                    b = max(text.rfind(b" ", a, a + together), text.rfind(b"\n", a, a + together)) + 1 if len(text) - a > together else len(text)
+                    b = b if b > a else (min((x + 1 for x in (text.find(b" ", a), text.find(b"\n", a)) if x >= 0), default=len(text)))
+                    parts.append(self.encode(pa.array([text[a:b]], pa.binary()), end_id)[0][:-1])
+                    a = b
+                ids = np.append(np.concatenate(parts), np.uint32(end_id))
+                yield lo, hi, ids, np.array([len(ids)])
+            lo = hi
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -127,30 +192,41 @@ def word_tokens(path: str) -> WordTokens:
 
 def cuts(ends: np.ndarray, inner: np.ndarray, total: int, window: int = WINDOW) -> list[int]:
     """Ends of the windows over a stream of `total` tokens. ends: ends of documents, inner: ends of sentences."""
-    penalty = dict.fromkeys(inner.tolist(), SENTENCE_CUT) | dict.fromkeys(ends.tolist(), 0) | {total: 0}
-    pos, last = [0], 0
-    for p in sorted(penalty):
-        while p - last > window:
-            last += window
-            pos.append(last)
-        if p > last:
-            pos.append(p)
-            last = p
-    powers = [1 << k for k in range(8, window.bit_length()) if 1 << k < window]
-    cost, before, at, queue = [0] * len(pos), [0] * len(pos), {0: 0}, deque([0])
+    if not total:
+        return []
+    marked, free = np.zeros((2, total + 1), bool)
+    free[ends] = free[total] = True
+    marked[inner] = marked[ends] = marked[total] = True
+    marked[0] = False
+    marks = np.nonzero(marked)[0]
+    gaps = np.diff(marks, prepend=0)
+    fill = (gaps - 1) // window  # where no mark lies within reach, a document is cut every window
+    pos = np.repeat(marks, fill + 1)
+    back = np.repeat(np.cumsum(fill + 1), fill + 1) - 1 - np.arange(len(pos))
+    pos = np.where(back > 0, np.repeat(marks - gaps, fill + 1) + (np.repeat(fill, fill + 1) - back + 1) * window, pos)
+    penalties = np.where(back > 0, INNER_CUT, np.where(free[pos], 0, SENTENCE_CUT)).tolist()
+    pos = np.append(0, pos)
+    exact: dict[int, list[int]] = {}
+    for s in (1 << k for k in range(8, window.bit_length()) if 1 << k < window):
+        k = np.searchsorted(pos, pos - s)
+        for j in np.nonzero(pos[k] == pos - s)[0].tolist():
+            exact.setdefault(j, []).append(int(k[j]))
+    pos = pos.tolist()
+    #: key: the least cost up to a cut plus its place, by which earlier cuts within reach compare.
+    key, before, queue, head = [0], [0], [0], 0
     for j in range(1, len(pos)):
         p = pos[j]
-        while pos[queue[0]] < p - window:
-            queue.popleft()
-        i = queue[0]
-        c = cost[i] + window - p + pos[i]
-        for s in powers:
-            k = at.get(p - s)
-            if k is not None and cost[k] < c:
-                c, i = cost[k], k
-        cost[j] = c = c + penalty.get(p, INNER_CUT)
-        before[j], at[p] = i, j
-        while queue and cost[queue[-1]] + pos[queue[-1]] >= c + p:
+        while pos[queue[head]] < p - window:
+            head += 1
+        i = queue[head]
+        c = key[i] + window - p
+        for k in exact.get(j, ()):
+            if key[k] - pos[k] < c:
+                c, i = key[k] - pos[k], k
+        c += penalties[j - 1] + p
+        before.append(i)
+        key.append(c)
+        while len(queue) > head and key[queue[-1]] >= c:
             queue.pop()
         queue.append(j)
     out, j = [], len(pos) - 1
@@ -170,47 +246,48 @@ def last_cuts(first: int, end: int, window: int = WINDOW) -> list[int]:
 
 
 class _Stream:
-    """The documents of one range that are not yet in windows: (id, tokens before, ids, tokens in all)."""
+    """The documents of one range that are not yet in windows: ids, and for each the tokens before, the tokens here and the tokens in all."""
 
     def __init__(self, is_end: np.ndarray, window: int, first_sequence: int):
         self.is_end, self.window, self.sequence = is_end, window, first_sequence
-        self.docs: list[tuple] = []
+        self.held: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.tokens = 0
 
-    def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, 0, ids, len(ids)))
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        n = np.diff(ends, prepend=0)
+        self.held.append((doc_ids, ids, np.zeros(len(n), "i8"), n, n))
         self.tokens += len(ids)
 
-    def flush(self, final: bool) -> list[tuple]:
-        if not self.docs:
-            return []
-        ids = np.concatenate([d[2] for d in self.docs])
-        ends = np.cumsum([len(d[2]) for d in self.docs])
+    def flush(self, final: bool) -> list[pa.Array]:
+        """Columns of the pieces of all windows but the last, which waits for more documents unless this is final."""
+        if not self.held:
+            return [pa.array([], pa.int64())] * 7
+        parts = list(zip(*self.held))
+        doc_ids = pa.concat_arrays(parts[0])
+        ids, before, here, total = map(np.concatenate, parts[1:])
+        ends = np.cumsum(here)
         at = cuts(ends, np.nonzero(self.is_end[ids])[0] + 1, len(ids), self.window)
-        if final:
-            first = at[-2] if len(at) > 1 else 0
-            at = at[:-1] + last_cuts(first, len(ids), self.window)
-        else:
-            at = at[:-1]
-        rows, k, done, start = [], 0, 0, 0
-        for cut in at:
-            offset = 0
-            while done < cut:
-                doc_id, before, own, total = self.docs[k]
-                n = min(cut, int(ends[k])) - done
-                a = done - start
-                rows.append((doc_id, before + a, n, zlib.crc32(own[a : a + n].tobytes()), total, self.sequence, offset))
-                offset += n
-                done += n
-                if done == ends[k]:
-                    k, start = k + 1, int(ends[k])
-            self.sequence += 1
-        rest = [(d, before, own, total) for d, before, own, total in self.docs[k:]]
-        if rest and done > start:
-            d, before, own, total = rest[0]
-            rest[0] = (d, before + done - start, own[done - start :], total)
-        self.docs, self.tokens = rest, sum(len(d[2]) for d in rest)
-        return rows
+        at = at[:-1] + (last_cuts(at[-2] if len(at) > 1 else 0, len(ids), self.window) if final else [])
+        done = at[-1] if at else 0
+        at = np.array(at, "i8")
+        stop = np.union1d(at, ends[ends <= done])
+        start = np.append(0, stop[:-1]) if len(stop) else stop
+        doc, sequence = np.searchsorted(ends, start, "right"), np.searchsorted(at, start, "right")
+        raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(start.tolist(), stop.tolist())]
+        columns = [doc_ids.take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (
+            before[doc] + start - (ends - here)[doc], stop - start, crc, total[doc], self.sequence + sequence, start - np.append(0, at)[sequence]
+        ))]
+        self.sequence += len(at)
+        k = int(np.searchsorted(ends, done, "right"))
+        self.held, self.tokens = [], len(ids) - done
+        if k < len(ends):
+            cut = done - int(ends[k] - here[k])
+            before, here = before[k:].copy(), here[k:].copy()
+            before[0] += cut
+            here[0] -= cut
+            self.held = [(doc_ids.slice(k), ids[done:].copy(), before, here, total[k:])]
+        return columns
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES, step_tokens: int = STEP_TOKENS) -> DataFrame:
@@ -223,17 +300,15 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 2,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer)
-        end = np.array([end_id], "<u4")
         stream = _Stream(words.sentence_ends, window, TaskContext.get().partitionId() << 32)
-        rows = lambda found: pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*found) if found else [[]] * 7)], names=names)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for i in range(0, len(ids), TOGETHER):
-                for doc_id, raw in zip(ids[i : i + TOGETHER], words.encode(texts[i : i + TOGETHER])):
-                    stream.add(doc_id, np.append(np.frombuffer(raw, "<u4"), end))
-                    if stream.tokens >= step_tokens:
-                        yield rows(stream.flush(False))
-        yield rows(stream.flush(True))
-
-    ordered = docs.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+            doc_ids, texts = batch.column("doc_id"), batch.column("text").cast(pa.binary())
+            for lo, hi, ids, ends in words.encode_in_parts(texts, end_id):
+                stream.add(doc_ids.slice(lo, hi - lo), ids, ends)
+                if stream.tokens >= step_tokens:
+                    yield pa.RecordBatch.from_arrays(stream.flush(False), names=names)
+        yield pa.RecordBatch.from_arrays(stream.flush(True), names=names)
+
+    lot = F.xxhash64("text")  # a repeated id, or many rows without one, may fill several ranges
+    ordered = docs.withColumn("lot", lot).repartitionByRange(max(1, -(-size // range_bytes)), "doc_id", "lot").sortWithinPartitions("doc_id", "lot", "text").drop("lot")
     return map_batches(ordered, run, ", ".join(f"{n} long" for n in names))

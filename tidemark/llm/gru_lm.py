@@ -7,8 +7,10 @@ count, N and V the tokens and words of the kind in training, 1 for all unseen wo
 
 The GRU starts at the unigram distribution and is trained on every training document: in each round each task reads its share of the
 documents in lanes by truncated backpropagation, the state being carried through all windows of a document and each of them updating
-the weights, and the tasks' weights are averaged by tokens. What is counted and trained on grows with the input; only the weights and the most frequent words, both of fixed size, come to the
-driver. Scoring carries the state through the whole document. Counts of rarer words are joined, not broadcast.
+the weights, and the tasks' weights are averaged by tokens, some tasks at a time. What is counted and trained on grows with the input; only
+the weights and the most frequent words, both of fixed size, come to the driver. Scoring carries the state through the whole document. Lanes
+are filled a window at a time, so a text of any length takes its ids (4 bytes a word) and one window of a lane. Counts of rarer words are
+joined, not broadcast.
 
 Null texts count as empty: one end. Rows without an id are learnt from unless the caller says otherwise; repeated rows count repeatedly. With
 no training documents all counts are zero, and the score is that of a model of unseen words.
@@ -16,52 +18,62 @@ no training documents all counts are zero, and the score is that of a model of u
 
 from __future__ import annotations
 
-import heapq
 import pickle
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches, materialise
+from tidemark.llm.words import distinct, fold, in_parts
 
 #: Classes and tokens in each; kinds of other words; words whose counts every task holds.
-CLASSES, PER_CLASS, KINDS, KNOWN = 40, 40, 128, 65_536
-EMBED, HIDDEN = 16, 24
+CLASSES, PER_CLASS, KINDS, KNOWN = 64, 64, 128, 65_536
+EMBED, HIDDEN = 16, 32
 LANES, STEPS, RATE, ROUNDS = 128, 32, 8e-3, 2
-#: Documents laid into lanes together when scoring, and lanes.
-SCORE_DOCS, SCORE_LANES, SCORE_STEPS = 4096, 192, 16
+#: Lanes and steps of a window when scoring.
+SCORE_LANES, SCORE_STEPS = 512, 32
+#: Tasks whose weights are added up together before all are, and weights that travel in one row.
+TASKS_TOGETHER, PIECE = 64, 1 << 13
 END = b"\n"  # no word holds it
-FLUSH = 150_000
-
-
-def words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
+FOLD = fold(BLANKS)
+FLUSH = 300_000
 
 
 def kind(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % KINDS
 
 
+def _texts(batch: pa.RecordBatch, column: str) -> pa.Array:
+    return pc.fill_null(batch.column(column).cast(pa.binary()), b"")
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, kind, c) over all rows; the end of a document is no row here. Tasks add up before the shuffle, a bounded table at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
+            c.pop(b"", None)
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([kind(w) for w in c], pa.int32()), pa.array(list(c.values()), pa.int64())], names=["word", "kind", "c"])
 
-        c: Counter = Counter()
+        c: defaultdict[bytes, int] = defaultdict(int)
         for batch in batches:
-            for text in batch.column(text_col).cast(pa.binary()).to_pylist():
-                c.update(words(text))
-                if len(c) >= FLUSH:
-                    yield out()
-                    c = Counter()
+            for _, _, parts in in_parts(_texts(batch, text_col), BLANKS):
+                for part in parts:
+                    codes, names, _ = distinct(part, FOLD)
+                    for w, n in zip(names, np.bincount(codes, minlength=len(names)).tolist()):
+                        c[w] += n
+                    if len(c) >= FLUSH:
+                        yield out()
+                        c = defaultdict(int)
         yield out()
 
     parts = map_batches(docs.select(text_col), run, "word string, kind int, c long")
@@ -95,19 +107,60 @@ class Vocabulary:
         self.known_log = np.log10(np.array([c for _, c in known], float) + 1)
         self.known_share = np.array([0.0 if w in ids else self.known_log[i] + self.kind_log[kind(w)] for i, (w, _) in enumerate(known)])
 
-    def read(self, text: bytes | None) -> tuple[np.ndarray, float, float, Counter]:
-        """Model ids with the end; log10(c + 1) over the known words; log10 of the shares within kinds, less log10(c + 1) of words not known; those words."""
-        w = words(text)
-        at = np.fromiter(map(self.known.get, w, repeat(-1)), "i4", len(w))
-        new = np.nonzero(at < 0)[0]
-        if not len(new):
-            return np.append(self.known_id[at], self.end), float(self.known_log[at].sum()), float(self.known_share[at].sum()), Counter()
-        rest = [w[i] for i in new.tolist()]
-        kinds = np.fromiter(map(kind, rest), "i4", len(rest))
-        old = at[at >= 0]
-        ids = np.empty(len(w) + 1, "i4")
-        ids[:-1][at >= 0], ids[new], ids[-1] = self.known_id[old], self.kind_id[kinds], self.end
-        return ids, float(self.known_log[old].sum()), float(self.known_share[old].sum() + self.kind_log[kinds].sum()), Counter(rest)
+    def read(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]]:
+        """For rows first to last (binary, no nulls): model ids with the ends, where each text ends, log10(c + 1) over its known words, log10
+        of its shares within kinds (less log10(c + 1) of words not known), and those words with their numbers."""
+        for lo, hi, parts in in_parts(texts, BLANKS):
+            read = [self._read(part) for part in parts]
+            if len(read) > 1:
+                tail: Counter = Counter()
+                for r in read:
+                    tail.update(r[4][0])
+                ids = np.concatenate([*(r[0][:-1] for r in read), read[-1][0][-1:]])
+                read = [(ids, np.array([len(ids)]), sum(r[2] for r in read), sum(r[3] for r in read), [tail])]
+            yield lo, hi, *read[0]
+
+    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+        codes, names, ends = distinct(texts, FOLD)
+        n = len(texts)
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), "i8", len(names))
+        empty = np.fromiter((not w for w in names), bool, len(names))
+        kinds = np.fromiter(map(kind, names), "i4", len(names))
+        new = at < 0
+        ids = np.append(np.where(new, self.kind_id[kinds], self.known_id[at]), self.end).astype("i4")
+        logs = np.where(new, 0.0, self.known_log[at])
+        shares = np.where(new, self.kind_log[kinds], self.known_share[at])
+        doc = np.repeat(np.arange(n), np.diff(ends, prepend=0))
+        if empty.any():
+            kept = ~empty[codes]
+            codes, doc = codes[kept], doc[kept]
+            ends = np.cumsum(np.bincount(doc, minlength=n))
+        tails: list[dict[bytes, int]] = [{} for _ in range(n)]
+        for k, c in zip(doc[new[codes]].tolist(), codes[new[codes]].tolist()):
+            tail, w = tails[k], names[c]
+            tail[w] = tail.get(w, 0) + 1
+        stream = ids[np.insert(codes, ends, len(names))]
+        return stream, ends + np.arange(1, n + 1), np.bincount(doc, logs[codes], n), np.bincount(doc, shares[codes], n), tails
+
+
+def shapes() -> dict[str, tuple[int, ...]]:
+    return {
+        "E": (CLASSES * PER_CLASS, EMBED), "Wx": (EMBED, 3 * HIDDEN), "Wh": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,),
+        "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Wo": (CLASSES, PER_CLASS, HIDDEN), "bo": (CLASSES, PER_CLASS),
+    }
+
+
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights by name, as parts of one array."""
+    out, at = {}, 0
+    for k, shape in shapes().items():
+        n = int(np.prod(shape))
+        out[k], at = flat[at : at + n].reshape(shape), at + n
+    return out
+
+
+def flatten(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in shapes()])
 
 
 def initial(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
@@ -122,56 +175,77 @@ def initial(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
     }
 
 
-def _softsign(x: np.ndarray) -> np.ndarray:
-    return x / (1 + np.abs(x))
-
-
 def inputs(p: dict) -> np.ndarray:
     """What each token adds to the gates."""
     return p["E"] @ p["Wx"] + p["b"]
 
 
 def recur(p: dict, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (steps, lanes, HIDDEN) after each input of x (steps, lanes); fresh marks the first input of a document.
-
-    The gates are softsigns, moved to 0..1 for update and reset: unlike sigmoids they need no exponentials.
-    """
-    n, half = HIDDEN, np.float32(0.5)
+    """States (steps, lanes, HIDDEN) after each input of x (steps, lanes); fresh marks the first input of a document. keep: gets the states before, update and reset gates, candidates, and what the states add to these."""
+    n, half = HIDDEN, table.dtype.type(0.5)
+    scale = np.repeat([half, half, table.dtype.type(1)], n)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+    gx, wh = table.take(x, axis=0), p["Wh"] * scale
+    gx *= scale
+    gates, cand = gx[..., : 2 * n], gx[..., 2 * n :]
     out = np.empty((*x.shape, n), table.dtype)
-    carry = (~fresh).astype(table.dtype)[..., None]
+    before = np.empty_like(out) if keep is not None else None
+    added = np.empty_like(out) if keep is not None else np.empty((1, x.shape[1], n), table.dtype)
+    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(table.dtype)[..., None]
+    gh = np.empty((x.shape[1], 3 * n), table.dtype)
     for t in range(len(x)):
-        h = h * carry[t]
-        gx, gh = table[x[t]], h @ p["Wh"]
-        zr = half + half * _softsign(gx[:, : 2 * n] + gh[:, : 2 * n])
-        z, r, ghc = zr[:, :n], zr[:, n:], gh[:, 2 * n :]
-        c = _softsign(gx[:, 2 * n :] + r * ghc)
-        if keep is not None:
-            keep.append((h, z, r, c, ghc))
-        h = c + z * (h - c)
-        out[t] = h
+        if starts[t]:
+            h = h * carry[t]
+        np.matmul(h, wh, out=gh)
+        zr, c, a = gates[t], cand[t], added[t if keep is not None else 0]
+        zr += gh[:, : 2 * n]
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        a[...] = gh[:, 2 * n :]
+        if before is not None:
+            before[t] = h
+            c += zr[:, n:] * a
+        else:
+            a *= zr[:, n:]
+            c += a
+        np.tanh(c, out=c)
+        o = out[t]
+        np.subtract(h, c, out=o)
+        o *= zr[:, :n]
+        o += c
+        h = o
+    if keep is not None:
+        keep += [before, gates[..., :n], gates[..., n:], cand, added]
     return out
 
 
-def _class_logits(p: dict, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits within the target's class, rows ordered by class; the order; the ends of the classes."""
-    cls = y // PER_CLASS
+def _class_logits(p: dict, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Logits within the target's class and the states, both in order of the class; the order; the ends of the classes."""
+    cls = (y // PER_CLASS).astype("i2")
     order = np.argsort(cls, kind="stable")
-    s, ends = states[order], np.cumsum(np.bincount(cls, minlength=CLASSES))
+    s, ends = states[order], np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()
     logits = np.empty((len(y), PER_CLASS), s.dtype)
     a = 0
     for k, b in enumerate(ends):
         if b > a:
-            np.matmul(s[a:b], p["Wo"][k].T, out=logits[a:b])
-            logits[a:b] += p["bo"][k]
+            part = logits[a:b]
+            np.matmul(s[a:b], p["Wo"][k].T, out=part)
+            part += p["bo"][k]
         a = b
-    return logits, order, ends
+    return logits, s, order, ends
 
 
 def _shares(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits less their largest, in place, and its sums."""
-    logits -= logits.max(axis=1, keepdims=True)
+    """exp of the logits less a constant of their row, in place, and its sums. The constant is the largest of all logits, or of the row's where that is far away."""
+    if not len(logits):
+        return logits, np.zeros(0, logits.dtype)
+    top, one = logits.max(), np.ones(logits.shape[1], logits.dtype)
+    far = np.nonzero(logits[:, 0] < top - 60)[0]
+    far = far[logits[far].max(axis=1) < top - 60]
+    logits -= top
+    logits[far] -= logits[far].max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    return logits, logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, logits @ one
 
 
 def log_output(p: dict, states: np.ndarray, y: np.ndarray, together: int = 4096) -> np.ndarray:
@@ -180,7 +254,7 @@ def log_output(p: dict, states: np.ndarray, y: np.ndarray, together: int = 4096)
     for lo in range(0, len(y), together):
         s, t = states[lo : lo + together], y[lo : lo + together]
         rows = np.arange(len(t))
-        inside, order, _ = _class_logits(p, s, t)
+        inside, _, order, _ = _class_logits(p, s, t)
         ei, si = _shares(inside)
         ec, sc = _shares(s @ p["Wc"] + p["bc"])
         part = np.empty(len(t))
@@ -190,144 +264,179 @@ def log_output(p: dict, states: np.ndarray, y: np.ndarray, together: int = 4096)
 
 
 def output_gradients(p: dict, states: np.ndarray, y: np.ndarray, g: dict) -> tuple[np.ndarray, float]:
-    """The gradient of the loss (negative log-likelihood) by the states, those of the output weights into g, and the loss."""
+    """The gradient of the loss (negative log-likelihood) by the states, those of the output weights into g (zeros so far), and the loss."""
     rows, cls, pos = np.arange(len(y)), y // PER_CLASS, y % PER_CLASS
-    inside, order, ends = _class_logits(p, states, y)
+    inside, s, order, ends = _class_logits(p, states, y)
     pw, sums = _shares(inside)
-    pw /= sums[:, None]
+    pw *= (1 / sums)[:, None]
     pc, sums = _shares(states @ p["Wc"] + p["bc"])
-    pc /= sums[:, None]
-    loss = -float(np.log(np.maximum(pc[rows, cls], 1e-30)).sum() + np.log(np.maximum(pw[rows, pos[order]], 1e-30)).sum())
+    pc *= (1 / sums)[:, None]
+    pos = pos[order]
+    loss = -float(np.log(np.maximum(pc[rows, cls], 1e-30)).sum() + np.log(np.maximum(pw[rows, pos], 1e-30)).sum())
     pc[rows, cls] -= 1
-    pw[rows, pos[order]] -= 1
-    g["Wc"], g["bc"] = states.T @ pc, pc.sum(0)
-    g["Wo"], g["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-    s, ds, a = states[order], np.empty_like(states), 0
+    pw[rows, pos] -= 1
+    one = np.ones(len(y), states.dtype)
+    np.matmul(states.T, pc, out=g["Wc"])
+    np.matmul(one, pc, out=g["bc"])
+    ds, a = np.empty_like(states), 0
     for k, b in enumerate(ends):
         if b > a:
-            np.matmul(pw[a:b].T, s[a:b], out=g["Wo"][k])
-            g["bo"][k] = pw[a:b].sum(0)
-            np.matmul(pw[a:b], p["Wo"][k], out=ds[a:b])
+            q = pw[a:b]
+            np.matmul(q.T, s[a:b], out=g["Wo"][k])
+            np.matmul(one[a:b], q, out=g["bo"][k])
+            np.matmul(q, p["Wo"][k], out=ds[a:b])
         a = b
     back = pc @ p["Wc"].T
     back[order] += ds
     return back, loss
 
 
-def gradients(p: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, mask: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the summed loss over one window, the last states, and the loss. table: `inputs(p)`."""
-    n, keep, g = HIDDEN, [], {}
-    states = recur(p, table, x, fresh, h, keep)
+def gradients(p: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, mask: np.ndarray, h: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of the summed loss over one window, the last states, and the loss. table: `inputs(p)`; g: zeros that take the gradients."""
+    n, kept = HIDDEN, []
+    g = {k: np.zeros_like(w) for k, w in p.items()} if g is None else g
+    states = recur(p, table, x, fresh, h, kept)
+    before, z, r, c, added = kept
     live = np.nonzero(mask.ravel())[0]
-    back, loss = output_gradients(p, states.reshape(-1, n)[live], y.ravel()[live], g)
-    dh_out = np.zeros((x.size, n), table.dtype)
-    dh_out[live] = back
-    dh_out = dh_out.reshape(*x.shape, n)
-    dgx = np.empty((*x.shape, 3 * n), table.dtype)
-    g["Wh"] = np.zeros_like(p["Wh"])
-    dh = np.zeros_like(h)
+    flat = states.reshape(-1, n)
+    if len(live) == x.size:
+        back, loss = output_gradients(p, flat, y.ravel(), g)
+        dh_out = back.reshape(*x.shape, n)
+    else:
+        back, loss = output_gradients(p, flat[live], y.ravel()[live], g)
+        dh_out = np.zeros((x.size, n), table.dtype)
+        dh_out[live] = back
+        dh_out = dh_out.reshape(*x.shape, n)
+    # what a change of the state does to the candidate, and through it or directly to the gates, for all steps at once
+    by_c = (1 - z) * (1 - c * c)
+    by_z = (before - c) * z * (1 - z)
+    by_r = added * r * (1 - r)
+    back = np.empty((*x.shape, 4 * n), table.dtype)  # update, reset, candidate through the state, candidate
+    wt, dh, through = np.ascontiguousarray(p["Wh"].T), np.zeros_like(h), np.empty_like(h)
+    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(table.dtype)[..., None]
     for t in range(len(x) - 1, -1, -1):
-        before, z, r, c, ghc = keep[t]
-        dh = dh + dh_out[t]
-        dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
-        dz = dh * (before - c) * (1 - np.abs(2 * z - 1)) ** 2 / 2
-        dr = dc * ghc * (1 - np.abs(2 * r - 1)) ** 2 / 2
-        dgx[t, :, :n], dgx[t, :, n : 2 * n], dgx[t, :, 2 * n :] = dz, dr, dc
-        dgh = np.concatenate([dz, dr, dc * r], axis=1)
-        g["Wh"] += before.T @ dgh
-        dh = (dh * z + dgh @ p["Wh"].T) * (~fresh[t])[:, None]
-    flat = dgx.reshape(-1, 3 * n)
-    order = np.argsort(x.ravel(), kind="stable")
-    tokens, first = np.unique(x.ravel()[order], return_index=True)
-    dtable = np.zeros_like(table)
-    dtable[tokens] = np.add.reduceat(flat[order], first)
-    g["b"], g["Wx"], g["E"] = dtable.sum(0), p["E"].T @ dtable, dtable @ p["Wx"].T
+        b = back[t]
+        dh += dh_out[t]
+        np.multiply(dh, by_z[t], out=b[:, :n])
+        dc = b[:, 3 * n :]
+        np.multiply(dh, by_c[t], out=dc)
+        np.multiply(dc, by_r[t], out=b[:, n : 2 * n])
+        np.multiply(dc, r[t], out=b[:, 2 * n : 3 * n])
+        dh *= z[t]
+        np.matmul(b[:, : 3 * n], wt, out=through)
+        dh += through
+        if starts[t]:
+            dh *= carry[t]
+    np.matmul(before.reshape(-1, n).T, back.reshape(-1, 4 * n)[:, : 3 * n], out=g["Wh"])
+    back[..., 2 * n : 3 * n] = back[..., 3 * n :]
+    dgx, tokens = back.reshape(-1, 4 * n)[:, : 3 * n], x.ravel()
+    np.matmul(np.ones(len(tokens), dgx.dtype), dgx, out=g["b"])
+    np.matmul(p["E"][tokens].T, dgx, out=g["Wx"])
+    cell = tokens[:, None] * EMBED + np.arange(EMBED)
+    g["E"] += np.bincount(cell.ravel(), (dgx @ p["Wx"].T).ravel(), g["E"].size).reshape(g["E"].shape)
     return g, states[-1], loss
 
 
-def lanes(docs: list[np.ndarray], n: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """Documents laid end to end into n lanes of like length, the longest first: inputs, targets, fresh, lane lengths, documents of each lane."""
-    order = sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i))
-    n = max(1, min(n, len(docs)))
-    heap, members = [(0, k) for k in range(n)], [[] for _ in range(n)]
-    for i in order:
-        size, k = heapq.heappop(heap)
-        members[k].append(i)
-        heapq.heappush(heap, (size + len(docs[i]), k))
-    members.sort(key=lambda m: -sum(len(docs[i]) for i in m))
-    length = np.array([sum(len(docs[i]) for i in m) for m in members])
-    x, y = np.full((n, length.max()), end, "i4"), np.zeros((n, length.max()), "i4")
-    fresh = np.zeros(x.shape, bool)
-    for k, m in enumerate(members):
-        at = 0
-        for i in m:
-            d = docs[i]
-            y[k, at : at + len(d)] = d
-            x[k, at + 1 : at + len(d)] = d[:-1]
-            fresh[k, at] = True
-            at += len(d)
-    return x.T, y.T, fresh.T, length, members
-
-
-def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE, together: int = 2048) -> tuple[dict, int]:
-    """One pass by Adam over the documents in blocks of lanes; returns new weights and the tokens read."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
-    step = tokens = 0
+def windows(docs: Iterable[tuple[int, np.ndarray]], n: int, steps: int, end: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows (steps, lanes) of up to n lanes: inputs, targets, fresh, whether there is a target, its document's number; and the lanes that go on from the window before.
+
+    A lane takes the next document where one ends, within a window too; when no document is left, lanes that end drop out.
+    """
+    docs, running = iter(docs), np.arange(0)
+    lanes: list[tuple[int, np.ndarray, int]] = []
+    more = True
+    while True:
+        while more and len(lanes) < n:
+            d = next(docs, None)
+            if d is None:
+                more = False
+            else:
+                lanes.append((*d, 0))
+        if not lanes:
+            return
+        x, y = np.full((len(lanes), steps), end, "i4"), np.zeros((len(lanes), steps), "i4")
+        fresh, number = np.zeros(x.shape, bool), np.full(x.shape, -1, "i8")
+        left, going = [], []
+        for k, (name, ids, at) in enumerate(lanes):
+            t = 0
+            while t < steps:
+                m = min(steps - t, len(ids) - at)
+                y[k, t : t + m] = ids[at : at + m]
+                number[k, t : t + m] = name
+                if at:
+                    x[k, t : t + m] = ids[at - 1 : at + m - 1]
+                else:
+                    fresh[k, t] = True
+                    x[k, t + 1 : t + m] = ids[: m - 1]
+                t, at = t + m, at + m
+                if at == len(ids):
+                    d = next(docs, None) if more else None
+                    if d is None:
+                        more, ids = False, None
+                        break
+                    (name, ids), at = d, 0
+            if ids is not None:
+                left.append((name, ids, at))
+                going.append(k)
+        yield x.T, y.T, fresh.T, number.T >= 0, number.T, running
+        lanes, running = left, np.array(going, int)
+
+
+def _carried(h: np.ndarray, running: np.ndarray, lanes: int) -> np.ndarray:
+    """The states of the lanes that go on, and zeros for those that are new."""
+    out = np.zeros((lanes, HIDDEN), h.dtype)
+    out[: len(running)] = h[running]
+    return out
 
-    def block(some: list[np.ndarray]) -> None:
-        nonlocal step, tokens, table
-        x, y, fresh, length, _ = lanes(some, LANES, end)
-        h = np.zeros((x.shape[1], HIDDEN), "f4")
-        for t in range(0, len(x), STEPS):
-            live = int((length > t).sum())
-            s = slice(t, t + STEPS)
-            mask = np.arange(t, min(t + STEPS, len(x)))[:, None] < length[None, :live]
-            tokens += int(mask.sum())
-            g, last, _ = gradients(p, table, x[s, :live], y[s, :live], fresh[s, :live], mask, h[:live])
-            h[:live] = last
-            n = int(mask.sum())
-            step += 1
-            lr = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
-            for k in p:
-                gk = g[k] / np.float32(n)
-                m[k] += np.float32(0.1) * (gk - m[k])
-                v[k] += np.float32(0.01) * (gk * gk - v[k])
-                p[k] -= lr * m[k] / (np.sqrt(v[k]) + np.float32(1e-6))
-            table = inputs(p)
 
+def _keep_memory() -> None:
+    """Free one large array: the C library then keeps freed memory for the many arrays of some megabytes instead of giving it back each time."""
+    np.empty(30 << 20, "u1")
+
+
+def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE) -> tuple[dict, int]:
+    """One pass by Adam over the documents, each window an update (in proportion to its tokens where documents run out); returns new weights and the tokens read."""
+    _keep_memory()
+    flat = flatten(p)
+    p = views(flat)
+    grad, m, v, some = (np.zeros_like(flat) for _ in range(4))
+    g, h = views(grad), np.zeros((0, HIDDEN), flat.dtype)
     table = inputs(p)
-    some: list[np.ndarray] = []
-    for d in docs:
-        some.append(d)
-        if len(some) == together:
-            block(some)
-            some = []
-    if some:
-        block(some)
-    return p, tokens
+    step = tokens = 0
+    for x, y, fresh, mask, _, running in windows(((0, d) for d in docs), LANES, STEPS, end):
+        grad[...] = 0
+        _, last, _ = gradients(p, table, x, y, fresh, mask, _carried(h, running, x.shape[1]), g)
+        h = last
+        n = int(mask.sum())
+        tokens, step = tokens + n, step + 1
+        lr = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * min(1, n / (LANES * STEPS)))
+        grad *= np.float32(1 / n)
+        m *= np.float32(0.9)
+        np.multiply(grad, np.float32(0.1), out=some)
+        m += some
+        v *= np.float32(0.99)
+        np.multiply(grad, grad, out=some)
+        some *= np.float32(0.01)
+        v += some
+        np.sqrt(v, out=some)
+        some += np.float32(1e-6)
+        np.divide(m, some, out=some)
+        some *= lr
+        flat -= some
+        table = inputs(p)
+    return {k: w.copy() for k, w in p.items()}, tokens
 
 
 def log_likelihoods(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
-    """Natural log-likelihood of each document, the state carried through all its windows."""
-    x, y, fresh, length, members = lanes(docs, SCORE_LANES, end)
-    h = np.zeros((x.shape[1], HIDDEN), "f4")
-    logp, table = np.zeros(x.shape), inputs(p)
-    for t in range(0, len(x), SCORE_STEPS):
-        live = int((length > t).sum())
-        s = slice(t, t + SCORE_STEPS)
-        states = recur(p, table, x[s, :live], fresh[s, :live], h[:live])
-        h[:live] = states[-1]
-        mask = (np.arange(t, min(t + SCORE_STEPS, len(x)))[:, None] < length[None, :live]).ravel()
-        part = np.zeros(mask.size)
-        part[mask] = log_output(p, states.reshape(-1, HIDDEN)[mask], y[s, :live].ravel()[mask])
-        logp[s, :live] = part.reshape(-1, live)
-    out = np.zeros(len(docs))
-    for k, m in enumerate(members):
-        at = 0
-        for i in m:
-            out[i] = logp[at : at + len(docs[i]), k].sum()
-            at += len(docs[i])
+    """Natural log-likelihood of each document, the state carried through all its windows; the longest start first."""
+    _keep_memory()
+    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+    out, table, h = np.zeros(len(docs)), inputs(p), np.zeros((0, HIDDEN), p["E"].dtype)
+    for x, y, fresh, mask, number, running in windows(((i, docs[i]) for i in order), SCORE_LANES, SCORE_STEPS, end):
+        states = recur(p, table, x, fresh, _carried(h, running, x.shape[1]))
+        h = states[-1]
+        live = np.nonzero(mask.ravel())[0]
+        out += np.bincount(number.ravel()[live], log_output(p, states.reshape(-1, HIDDEN)[live], y.ravel()[live]), len(docs))
     return out
 
 
@@ -335,36 +444,34 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, text_col:
     """Weights after `rounds` rounds, each over its own share (by text hash) of the documents, averaged over the tasks by tokens."""
     spark, p = docs.sparkSession, initial(vocabulary)
     vocab = spark.sparkContext.broadcast(vocabulary)
-    names, shapes = list(p), {k: v.shape for k, v in p.items()}
-    piece = 1 << 14
+    row = "part int, lot int, tokens long, weights binary"
+
+    def piece(part: list, lot: list, tokens: list, weights: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(lot, pa.int32()), pa.array(tokens, pa.int64()), pa.array(weights, pa.binary())], names=["part", "lot", "tokens", "weights"])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, tokens = np.zeros(0), 0
+        for table in batches:
+            for w, n in zip(table.column("weights").to_pylist(), table.column("tokens").to_pylist()):
+                total, tokens = np.frombuffer(w) + (total if len(total) else 0), tokens + n
+        yield piece([key[0].as_py()], [0], [tokens], [total.tobytes()])
 
     for r in range(rounds):
         start = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            texts = (t for b in batches for t in b.column(text_col).cast(pa.binary()).to_pylist())
-            new, tokens = train(start.value, (vocab.value.read(t)[0] for t in texts), vocab.value.end)
-            flat = np.concatenate([new[k].ravel() for k in names]).astype("f8") * tokens
+            read = (np.split(x[2], x[3][:-1]) for b in batches for x in vocab.value.read(_texts(b, text_col)))
+            new, tokens = train(start.value, (d for docs in read for d in docs), vocab.value.end)
             if tokens:
-                parts = [flat[i : i + piece] for i in range(0, len(flat), piece)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([tokens] * len(parts), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "tokens", "weights"])
-
-        def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, tokens = 0.0, 0
-            for table in batches:
-                for w, n in zip(table.column("weights").to_pylist(), table.column("tokens").to_pylist()):
-                    total, tokens = total + np.frombuffer(w), tokens + n
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / tokens).astype("f4").tobytes()], pa.binary())], names=["part", "weights"])
+                flat, lot = flatten(new).astype("f8") * tokens, TaskContext.get().partitionId() // TASKS_TOGETHER
+                parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+                yield piece(list(range(len(parts))), [lot] * len(parts), [tokens] * len(parts), parts)
 
         own = docs.where(F.pmod(F.xxhash64(text_col), F.lit(rounds)) == r).select(text_col)
-        local = map_batches(own, run, "part int, tokens long, weights binary")
-        mean = local.groupBy("part").applyInArrow(add, "part int, weights binary")
-        flat = np.frombuffer(b"".join(x["weights"] for x in sorted(mean.collect(), key=lambda x: x["part"])), "f4")
-        if len(flat):
-            at, p = 0, {}
-            for k in names:
-                n = int(np.prod(shapes[k]))
-                p[k], at = flat[at : at + n].reshape(shapes[k]).copy(), at + n
+        sums = map_batches(own, run, row).groupBy("part", "lot").applyInArrow(add, row).groupBy("part").applyInArrow(add, row)
+        found = sorted(sums.collect(), key=lambda x: x["part"])
+        if found:
+            p = views(np.concatenate([np.frombuffer(x["weights"]) / x["tokens"] for x in found]).astype("f4"))
     return p
 
 
@@ -403,18 +510,18 @@ def score_documents(docs: DataFrame, learn_from: Column | None = None, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, p = pickle.loads(sent.value)
+        tail_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, SCORE_DOCS):
-                part = batch.slice(lo, SCORE_DOCS)
-                read = [v.read(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                model = log_likelihoods(p, [r[0] for r in read], v.end) / np.log(10)
-                tails = pa.array([[{"word": w.decode(), "n": n} for w, n in r[3].items()] for r in read], pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))
+            for lo, hi, ids, ends, logs, shares, tails in v.read(_texts(batch, "text")):
+                part = batch.slice(lo, hi - lo)
+                tokens = np.diff(ends, prepend=0)
+                model = log_likelihoods(p, np.split(ids, ends[:-1]), v.end) / np.log(10)
+                unknown = np.array([sum(t.values()) for t in tails])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("uid"), part.column(id_col), part.column("learnt"),
-                        pa.array([len(r[0]) for r in read], pa.int64()), pa.array([len(r[0]) - 1 - r[3].total() for r in read], pa.int64()),
-                        pa.array([r[1] + end_log - len(r[0]) * unit for r in read], pa.float64()),
-                        pa.array([float(m) + r[2] for m, r in zip(model, read)], pa.float64()), tails,
+                        part.column("uid"), part.column(id_col), part.column("learnt"), pa.array(tokens, pa.int64()), pa.array(tokens - 1 - unknown, pa.int64()),
+                        pa.array(logs + end_log - tokens * unit, pa.float64()), pa.array(model + shares, pa.float64()),
+                        pa.array([[{"word": w.decode(), "n": n} for w, n in t.items()] for t in tails], tail_type),
                     ],
                     names=["uid", id_col, "learnt", "n_tokens", "n_known", "base", "model", "tail"],
                 )

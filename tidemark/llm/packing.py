@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_batches
+from tidemark.llm.words import TOGETHER, distinct, fold, in_parts
 
 WINDOW = 4096
 SENTENCE_CUT, INNER_CUT = 8, 64
 STEP_TOKENS = 1 << 20
-#: Bytes of text of one range, and about how many are tokenized together; a longer text goes in parts of this size.
-RANGE_BYTES, TOGETHER = 8 << 20, 8 << 20
-#: A-Z become a-z, line ends become blanks.
-FOLD = np.arange(256, dtype="u1")
-FOLD[65:91] += 32
-FOLD[10] = 32
+#: Bytes of text of one range.
+RANGE_BYTES = 8 << 20
+BLANKS = b" \n"
+FOLD = fold(BLANKS)
 
 
 #: ASCII marks that no contraction starts with. Behind a letter or digit and up to the word's end they are a token group of their own.
@@ -123,36 +122,19 @@ class WordTokens:
         """The ids of all texts (binary, no nulls) behind each other, `end_id` after each text, and where each text ends."""
         if len(self.young) > self.most:
             self.young, self.old = {b"": b""}, self.young
-        offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        low = FOLD[raw]
-        cut = np.zeros(len(raw) + 1, bool)
-        np.equal(low, 32, out=cut[1:])
-        special = np.nonzero((raw[:-1] == 60) & (raw[1:] == 124))[0]
-        for k in np.unique(np.searchsorted(offsets, special, "right") - 1).tolist():
-            a, b = offsets[k], offsets[k + 1]
-            low[a:b], cut[a + 1 : b] = raw[a:b], False
-        cut[offsets] = True
-        at = np.nonzero(cut)[0].astype("i4")
-        words = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(low)]).dictionary_encode()
-        starts = np.frombuffer(words.dictionary.buffers()[1], "<i4")[: len(words.dictionary) + 1]
-        held = words.dictionary.buffers()[2].to_pybytes() if len(words.dictionary) else b""
-        stops = starts[1:] - (np.frombuffer(held, "u1")[starts[1:] - 1] == 32)
-        names = [held[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        codes, names, ends = distinct(texts, FOLD, b"<|")
         found = list(map(self.young.get, names))
-        if len(special):
-            whole = [k for k, w in enumerate(names) if b"<|" in w]
-            for k, ids in zip(whole, self._whole([names[k].decode() for k in whole])):
-                found[k] = ids
         gaps = [k for k, x in enumerate(found) if x is None]
+        special = [k for k in gaps if b"<|" in names[k]]
+        for k, ids in zip(special, self._whole([names[k].decode() for k in special])):
+            found[k] = ids
+        gaps = [k for k in gaps if found[k] is None] if special else gaps
         self._meet({names[k] for k in gaps})
         for k in gaps:
             found[k] = self.young[names[k]]
         pool = np.append(np.frombuffer(b"".join(found), "<u4"), np.uint32(end_id))
         size = np.append(np.fromiter(map(len, found), "i8", len(found)) // 4, 1)
-        ends = np.searchsorted(at, offsets[1:])
-        stream = np.insert(words.indices.to_numpy(), ends, len(found))
+        stream = np.insert(codes, ends, len(found))
         n = size[stream]
         after = np.cumsum(n)
         ids = pool[np.repeat((np.cumsum(size) - size)[stream] - after + n, n) + np.arange(after[-1] if len(after) else 0)]
@@ -160,24 +142,17 @@ class WordTokens:
 
     def encode_in_parts(self, texts: pa.Array, end_id: int, together: int = TOGETHER) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, one after the last, ids, ends) for some rows after each other; the ids of a long text are put together from its parts."""
-        offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
-        lo = 0
-        while lo < len(texts):
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + together, "right")) - 1)
-            if hi > lo + 1 or offsets[hi] - offsets[lo] <= 2 * together:
-                yield lo, hi, *self.encode(texts.slice(lo, hi - lo), end_id)
+        for lo, hi, parts in in_parts(texts, BLANKS, together):
+            if len(parts) == 1:
+                yield lo, hi, *self.encode(parts[0], end_id)
+                continue
+            text = texts[lo].as_py()
+            if b"<|" in text:
+                ids = [np.frombuffer(self._whole([text.decode()])[0], "<u4")]
             else:
-                text, parts, a = texts[lo].as_py(), [], 0
-                if b"<|" in text:
-                    parts, a = [np.frombuffer(self._whole([text.decode()])[0], "<u4")], len(text)
-                while a < len(text):
-                    b = max(text.rfind(b" ", a, a + together), text.rfind(b"\n", a, a + together)) + 1 if len(text) - a > together else len(text)
-                    b = b if b > a else (min((x + 1 for x in (text.find(b" ", a), text.find(b"\n", a)) if x >= 0), default=len(text)))
-                    parts.append(self.encode(pa.array([text[a:b]], pa.binary()), end_id)[0][:-1])
-                    a = b
-                ids = np.append(np.concatenate(parts), np.uint32(end_id))
-                yield lo, hi, ids, np.array([len(ids)])
-            lo = hi
+                ids = [self.encode(part, end_id)[0][:-1] for part in parts]
+            ids = np.append(np.concatenate(ids), np.uint32(end_id))
+            yield lo, hi, ids, np.array([len(ids)])
 
 
 _TOKENS: dict[str, WordTokens] = {}

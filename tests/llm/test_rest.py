@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import catalog, gru_lm, secret_trigrams, sharding, toxicity
+from tidemark.llm import catalog, gru_lm, secret_trigrams, sharding, toxicity, words
 from tidemark.llm.common import table, work_dir
 
 
@@ -132,7 +132,7 @@ def test_language_model_gradients_and_beats_unigrams(spark, sf):
     x, y, fresh, mask = rng.integers(0, m, shape), rng.integers(0, m, shape), np.zeros(shape, bool), np.ones(shape, bool)
     fresh[0] = fresh[2, 1] = True
     mask[4, 2] = False
-    run = lambda q: gru_lm.gradients(q, gru_lm.inputs(q), x, y, fresh, mask, np.zeros((3, gru_lm.HIDDEN)))
+    run = lambda q: gru_lm.gradients(q, x, y, fresh, mask, np.zeros((gru_lm.HIDDEN, 3)))
     g = run(p)[0]
     for k in p:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -158,10 +158,33 @@ def test_states_are_carried_over_windows(monkeypatch):
 def test_every_window_gives_a_gradient(monkeypatch):
     v = gru_lm.Vocabulary([(f"w{i}".encode(), 50 - i) for i in range(40)], {k: (1000, 50) for k in range(gru_lm.KINDS)}, 10, 900, 300)
     p, seen, real = gru_lm.initial(v), [], gru_lm.gradients
-    monkeypatch.setattr(gru_lm, "gradients", lambda *a: seen.append(int(a[5].sum())) or real(*a))
+    monkeypatch.setattr(gru_lm, "gradients", lambda *a: seen.append(int(a[4].sum())) or real(*a))
     short = [np.random.default_rng(i).integers(0, 40, 20).astype("i4") for i in range(30)]
     new, tokens = gru_lm.train(p, iter(short), v.end)
     assert tokens == sum(seen) == 600 and not np.array_equal(new["bc"], p["bc"])
     seen.clear()
     long = [np.random.default_rng(i).integers(0, 40, 300).astype("i4") for i in range(30)]
     assert gru_lm.train(p, iter(long), v.end)[1] == sum(seen) == 9000
+
+
+def test_one_long_text_among_short_ones_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    v = gru_lm.Vocabulary([(f"w{i}".encode(), 50 - i) for i in range(40)], {k: (1000, 50) for k in range(gru_lm.KINDS)}, 10, 900, 300)
+    p, rng = gru_lm.initial(v), np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 1_000_000))] + ["w1 zz  W2\n"] * 4000
+    whole = list(v.read(pa.array([t.encode() for t in texts], pa.binary())))
+    monkeypatch.setattr(gru_lm, "in_parts", lambda t, blanks: words.in_parts(t, blanks, 1 << 16))
+    parts = list(v.read(pa.array([t.encode() for t in texts], pa.binary())))
+    for k in (2, 4, 5):
+        assert np.allclose(np.concatenate([r[k] for r in whole]), np.concatenate([r[k] for r in parts]), rtol=1e-9)
+    assert [t for r in whole for t in r[6]] == [t for r in parts for t in r[6]] and whole[-1][6][-1] == {b"zz": 1}
+    docs = list(v.ids_of(pa.array([t.encode() for t in texts], pa.binary())))
+    assert [len(d) for d in docs] == [1_000_001] + [4] * 4000
+    tracemalloc.start()
+    got = gru_lm.log_likelihoods(p, docs[:1] + docs[-4000:], v.end)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(set(np.round(got[1:], 3))) == 1 and got[0] < got[1]

@@ -107,6 +107,15 @@ class Vocabulary:
         self.known_log = np.log10(np.array([c for _, c in known], float) + 1)
         self.known_share = np.array([0.0 if w in ids else self.known_log[i] + self.kind_log[kind(w)] for i, (w, _) in enumerate(known)])
 
+    def ids_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The model ids of each text with the end."""
+        for _, _, parts in in_parts(texts, BLANKS):
+            read = [self._stream(part)[:2] for part in parts]
+            if len(read) > 1:
+                yield np.concatenate([*(ids[:-1] for ids, _ in read), read[-1][0][-1:]])
+            else:
+                yield from np.split(read[0][0], read[0][1][:-1])
+
     def read(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]]:
         """For rows first to last (binary, no nulls): model ids with the ends, where each text ends, log10(c + 1) over its known words, log10
         of its shares within kinds (less log10(c + 1) of words not known), and those words with their numbers."""
@@ -120,27 +129,29 @@ class Vocabulary:
                 read = [(ids, np.array([len(ids)]), sum(r[2] for r in read), sum(r[3] for r in read), [tail])]
             yield lo, hi, *read[0]
 
-    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+    def _stream(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """Ids with the ends, where texts end, and each word's text, code, and by code the name, its place among the known (-1: none) and its kind."""
         codes, names, ends = distinct(texts, FOLD)
-        n = len(texts)
         at = np.fromiter(map(self.known.get, names, repeat(-1)), "i8", len(names))
-        empty = np.fromiter((not w for w in names), bool, len(names))
         kinds = np.fromiter(map(kind, names), "i4", len(names))
-        new = at < 0
-        ids = np.append(np.where(new, self.kind_id[kinds], self.known_id[at]), self.end).astype("i4")
-        logs = np.where(new, 0.0, self.known_log[at])
-        shares = np.where(new, self.kind_log[kinds], self.known_share[at])
-        doc = np.repeat(np.arange(n), np.diff(ends, prepend=0))
-        if empty.any():
-            kept = ~empty[codes]
+        doc = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
+        if b"" in names:
+            kept = np.fromiter(map(len, names), "i8", len(names))[codes] > 0
             codes, doc = codes[kept], doc[kept]
-            ends = np.cumsum(np.bincount(doc, minlength=n))
+            ends = np.cumsum(np.bincount(doc, minlength=len(texts)))
+        ids = np.append(np.where(at < 0, self.kind_id[kinds], self.known_id[at] if len(self.known) else 0), self.end).astype("i4")
+        return ids[np.insert(codes, ends, len(names))], ends + np.arange(1, len(texts) + 1), doc, codes, names, at, kinds
+
+    def _read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[dict[bytes, int]]]:
+        stream, ends, doc, codes, names, at, kinds = self._stream(texts)
+        n, new = len(texts), at < 0
+        logs = np.where(new, 0.0, self.known_log[at] if len(self.known) else 0)
+        shares = np.where(new, self.kind_log[kinds], self.known_share[at] if len(self.known) else 0)
         tails: list[dict[bytes, int]] = [{} for _ in range(n)]
         for k, c in zip(doc[new[codes]].tolist(), codes[new[codes]].tolist()):
             tail, w = tails[k], names[c]
             tail[w] = tail.get(w, 0) + 1
-        stream = ids[np.insert(codes, ends, len(names))]
-        return stream, ends + np.arange(1, n + 1), np.bincount(doc, logs[codes], n), np.bincount(doc, shares[codes], n), tails
+        return stream, ends, np.bincount(doc, logs[codes], n), np.bincount(doc, shares[codes], n), tails
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -175,50 +186,51 @@ def initial(vocabulary: Vocabulary, seed: int = 0) -> dict[str, np.ndarray]:
     }
 
 
-def inputs(p: dict) -> np.ndarray:
-    """What each token adds to the gates."""
-    return p["E"] @ p["Wx"] + p["b"]
-
+def recur(p: dict, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+    """States (steps, HIDDEN, lanes) after each input of x (steps, lanes), h (HIDDEN, lanes) being those before; fresh marks the first input of a document.
 
-def recur(p: dict, table: np.ndarray, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States (steps, lanes, HIDDEN) after each input of x (steps, lanes); fresh marks the first input of a document. keep: gets the states before, update and reset gates, candidates, and what the states add to these."""
-    n, half = HIDDEN, table.dtype.type(0.5)
-    scale = np.repeat([half, half, table.dtype.type(1)], n)  # sigmoid(x) = (1 + tanh(x / 2)) / 2
-    gx, wh = table.take(x, axis=0), p["Wh"] * scale
-    gx *= scale
-    gates, cand = gx[..., : 2 * n], gx[..., 2 * n :]
-    out = np.empty((*x.shape, n), table.dtype)
-    before = np.empty_like(out) if keep is not None else None
-    added = np.empty_like(out) if keep is not None else np.empty((1, x.shape[1], n), table.dtype)
-    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(table.dtype)[..., None]
-    gh = np.empty((x.shape[1], 3 * n), table.dtype)
+    With units before lanes each gate is one block of memory. keep: gets embeddings, the states before, both gates, candidates, and what the
+    states add to the candidates.
+    """
+    n, half = HIDDEN, p["E"].dtype.type(0.5)
+    scale = np.repeat([half, half, p["E"].dtype.type(1)], n)[:, None]  # sigmoid(x) = (1 + tanh(x / 2)) / 2
+    embedded, wh = p["E"].take(x, axis=0), p["Wh"].T * scale
+    gx = np.matmul(p["Wx"].T * scale, embedded.transpose(0, 2, 1))
+    gx += p["b"][:, None] * scale
+    gates, cand = gx[:, : 2 * n], gx[:, 2 * n :]
+    out = np.empty((len(x), n, x.shape[1]), gx.dtype)
+    before, added = (np.empty_like(out), np.empty_like(out)) if keep is not None else (None, None)
+    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(gx.dtype)
+    gh, some = np.empty((3 * n, x.shape[1]), gx.dtype), np.empty_like(h)
     for t in range(len(x)):
         if starts[t]:
             h = h * carry[t]
-        np.matmul(h, wh, out=gh)
-        zr, c, a = gates[t], cand[t], added[t if keep is not None else 0]
-        zr += gh[:, : 2 * n]
+        np.matmul(wh, h, out=gh)
+        zr, c = gates[t], cand[t]
+        zr += gh[: 2 * n]
         np.tanh(zr, out=zr)
         zr *= half
         zr += half
-        a[...] = gh[:, 2 * n :]
-        if before is not None:
-            before[t] = h
-            c += zr[:, n:] * a
-        else:
-            a *= zr[:, n:]
-            c += a
+        np.multiply(zr[n:], gh[2 * n :], out=some)
+        c += some
         np.tanh(c, out=c)
+        if before is not None:
+            before[t], added[t] = h, gh[2 * n :]
         o = out[t]
         np.subtract(h, c, out=o)
-        o *= zr[:, :n]
+        o *= zr[:n]
         o += c
         h = o
     if keep is not None:
-        keep += [before, gates[..., :n], gates[..., n:], cand, added]
+        keep += [embedded, before, gates, cand, added]
     return out
 
 
+def rows_of(states: np.ndarray) -> np.ndarray:
+    """(steps * lanes, HIDDEN)"""
+    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+
+
 def _class_logits(p: dict, states: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Logits within the target's class and the states, both in order of the class; the order; the ends of the classes."""
     cls = (y // PER_CLASS).astype("i2")
@@ -265,20 +277,20 @@ def log_output(p: dict, states: np.ndarray, y: np.ndarray, together: int = 4096)
 
 def output_gradients(p: dict, states: np.ndarray, y: np.ndarray, g: dict) -> tuple[np.ndarray, float]:
     """The gradient of the loss (negative log-likelihood) by the states, those of the output weights into g (zeros so far), and the loss."""
+    pw, s, order, ends = _class_logits(p, states, y)
+    y = y[order]
     rows, cls, pos = np.arange(len(y)), y // PER_CLASS, y % PER_CLASS
-    inside, s, order, ends = _class_logits(p, states, y)
-    pw, sums = _shares(inside)
+    pw, sums = _shares(pw)
     pw *= (1 / sums)[:, None]
-    pc, sums = _shares(states @ p["Wc"] + p["bc"])
+    pc, sums = _shares(s @ p["Wc"] + p["bc"])
     pc *= (1 / sums)[:, None]
-    pos = pos[order]
     loss = -float(np.log(np.maximum(pc[rows, cls], 1e-30)).sum() + np.log(np.maximum(pw[rows, pos], 1e-30)).sum())
     pc[rows, cls] -= 1
     pw[rows, pos] -= 1
-    one = np.ones(len(y), states.dtype)
-    np.matmul(states.T, pc, out=g["Wc"])
+    one = np.ones(len(y), s.dtype)
+    np.matmul(s.T, pc, out=g["Wc"])
     np.matmul(one, pc, out=g["bc"])
-    ds, a = np.empty_like(states), 0
+    ds, a = np.empty_like(s), 0
     for k, b in enumerate(ends):
         if b > a:
             q = pw[a:b]
@@ -286,54 +298,61 @@ def output_gradients(p: dict, states: np.ndarray, y: np.ndarray, g: dict) -> tup
             np.matmul(one[a:b], q, out=g["bo"][k])
             np.matmul(q, p["Wo"][k], out=ds[a:b])
         a = b
-    back = pc @ p["Wc"].T
-    back[order] += ds
+    ds += pc @ p["Wc"].T
+    back = np.empty_like(ds)
+    back[order] = ds
     return back, loss
 
 
-def gradients(p: dict, table: np.ndarray, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, mask: np.ndarray, h: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
-    """Gradients of the summed loss over one window, the last states, and the loss. table: `inputs(p)`; g: zeros that take the gradients."""
+def gradients(p: dict, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, mask: np.ndarray, h: np.ndarray, g: dict | None = None) -> tuple[dict, np.ndarray, float]:
+    """Gradients of the summed loss over one window, the last states, and the loss. h: states (HIDDEN, lanes) before; g: zeros that take the gradients."""
     n, kept = HIDDEN, []
     g = {k: np.zeros_like(w) for k, w in p.items()} if g is None else g
-    states = recur(p, table, x, fresh, h, kept)
-    before, z, r, c, added = kept
-    live = np.nonzero(mask.ravel())[0]
-    flat = states.reshape(-1, n)
-    if len(live) == x.size:
-        back, loss = output_gradients(p, flat, y.ravel(), g)
-        dh_out = back.reshape(*x.shape, n)
+    states = recur(p, x, fresh, h, kept)
+    embedded, before, gates, cand, added = kept
+    rows, targets = rows_of(states), np.ascontiguousarray(y).ravel()
+    if mask.all():
+        by_state, loss = output_gradients(p, rows, targets, g)
     else:
-        back, loss = output_gradients(p, flat[live], y.ravel()[live], g)
-        dh_out = np.zeros((x.size, n), table.dtype)
-        dh_out[live] = back
-        dh_out = dh_out.reshape(*x.shape, n)
-    # what a change of the state does to the candidate, and through it or directly to the gates, for all steps at once
-    by_c = (1 - z) * (1 - c * c)
-    by_z = (before - c) * z * (1 - z)
-    by_r = added * r * (1 - r)
-    back = np.empty((*x.shape, 4 * n), table.dtype)  # update, reset, candidate through the state, candidate
-    wt, dh, through = np.ascontiguousarray(p["Wh"].T), np.zeros_like(h), np.empty_like(h)
-    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(table.dtype)[..., None]
+        live = np.nonzero(mask.ravel())[0]
+        by_state = np.zeros_like(rows)
+        by_state[live], loss = output_gradients(p, rows[live], targets[live], g)
+    by_state = by_state.reshape(*x.shape, n).transpose(0, 2, 1)
+    back = np.empty((len(x), 4 * n, x.shape[1]), rows.dtype)  # by candidate, update, reset, and what the states add to the candidate
+    dh, some, through = np.zeros_like(h), np.empty_like(h), np.empty_like(h)
+    starts, carry = fresh.any(axis=1).tolist(), (~fresh).astype(rows.dtype)
+    dwh, part = np.zeros((n, 3 * n), rows.dtype), np.empty((n, 3 * n), rows.dtype)
     for t in range(len(x) - 1, -1, -1):
-        b = back[t]
-        dh += dh_out[t]
-        np.multiply(dh, by_z[t], out=b[:, :n])
-        dc = b[:, 3 * n :]
-        np.multiply(dh, by_c[t], out=dc)
-        np.multiply(dc, by_r[t], out=b[:, n : 2 * n])
-        np.multiply(dc, r[t], out=b[:, 2 * n : 3 * n])
-        dh *= z[t]
-        np.matmul(b[:, : 3 * n], wt, out=through)
+        b, z, r, c, was = back[t], gates[t, :n], gates[t, n:], cand[t], before[t]
+        dc, dz, dr, da = b[:n], b[n : 2 * n], b[2 * n : 3 * n], b[3 * n :]
+        dh += by_state[t]
+        np.subtract(1, z, out=some)
+        np.multiply(dh, some, out=dc)
+        some *= z
+        np.subtract(was, c, out=dz)
+        dz *= some
+        dz *= dh
+        np.multiply(c, c, out=some)
+        np.subtract(1, some, out=some)
+        dc *= some
+        np.multiply(dc, r, out=da)
+        np.subtract(1, r, out=some)
+        np.multiply(da, some, out=dr)
+        dr *= added[t]
+        np.matmul(p["Wh"], b[n:], out=through)
+        dh *= z
         dh += through
         if starts[t]:
             dh *= carry[t]
-    np.matmul(before.reshape(-1, n).T, back.reshape(-1, 4 * n)[:, : 3 * n], out=g["Wh"])
-    back[..., 2 * n : 3 * n] = back[..., 3 * n :]
-    dgx, tokens = back.reshape(-1, 4 * n)[:, : 3 * n], x.ravel()
-    np.matmul(np.ones(len(tokens), dgx.dtype), dgx, out=g["b"])
-    np.matmul(p["E"][tokens].T, dgx, out=g["Wx"])
-    cell = tokens[:, None] * EMBED + np.arange(EMBED)
-    g["E"] += np.bincount(cell.ravel(), (dgx @ p["Wx"].T).ravel(), g["E"].size).reshape(g["E"].shape)
+        dwh += np.matmul(was, b[n:].T, out=part)
+    g["Wh"][...] = dwh
+    dgx = back[:, : 3 * n]
+    turned = np.concatenate([p["Wx"][:, 2 * n :], p["Wx"][:, : 2 * n]], axis=1)
+    back_to = lambda w: np.concatenate([w[..., n:], w[..., :n]], axis=-1)
+    g["b"][...] = back_to(np.matmul(dgx, np.ones(x.shape[1], rows.dtype)).sum(0))
+    g["Wx"][...] = back_to(np.matmul(dgx, embedded).sum(0).T)
+    cell = (x[..., None] * EMBED + np.arange(EMBED)).ravel()
+    g["E"] += np.bincount(cell, np.matmul(dgx.transpose(0, 2, 1), turned.T).ravel(), g["E"].size).reshape(g["E"].shape)
     return g, states[-1], loss
 
 
@@ -384,8 +403,8 @@ def windows(docs: Iterable[tuple[int, np.ndarray]], n: int, steps: int, end: int
 
 def _carried(h: np.ndarray, running: np.ndarray, lanes: int) -> np.ndarray:
     """The states of the lanes that go on, and zeros for those that are new."""
-    out = np.zeros((lanes, HIDDEN), h.dtype)
-    out[: len(running)] = h[running]
+    out = np.zeros((HIDDEN, lanes), h.dtype)
+    out[:, : len(running)] = h[:, running]
     return out
 
 
@@ -400,13 +419,11 @@ def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE) ->
     flat = flatten(p)
     p = views(flat)
     grad, m, v, some = (np.zeros_like(flat) for _ in range(4))
-    g, h = views(grad), np.zeros((0, HIDDEN), flat.dtype)
-    table = inputs(p)
+    g, h = views(grad), np.zeros((HIDDEN, 0), flat.dtype)
     step = tokens = 0
     for x, y, fresh, mask, _, running in windows(((0, d) for d in docs), LANES, STEPS, end):
         grad[...] = 0
-        _, last, _ = gradients(p, table, x, y, fresh, mask, _carried(h, running, x.shape[1]), g)
-        h = last
+        _, h, _ = gradients(p, x, y, fresh, mask, _carried(h, running, x.shape[1]), g)
         n = int(mask.sum())
         tokens, step = tokens + n, step + 1
         lr = np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step) * min(1, n / (LANES * STEPS)))
@@ -423,7 +440,6 @@ def train(p: dict, docs: Iterator[np.ndarray], end: int, rate: float = RATE) ->
         np.divide(m, some, out=some)
         some *= lr
         flat -= some
-        table = inputs(p)
     return {k: w.copy() for k, w in p.items()}, tokens
 
 
@@ -431,12 +447,12 @@ def log_likelihoods(p: dict, docs: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-likelihood of each document, the state carried through all its windows; the longest start first."""
     _keep_memory()
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    out, table, h = np.zeros(len(docs)), inputs(p), np.zeros((0, HIDDEN), p["E"].dtype)
+    out, h = np.zeros(len(docs)), np.zeros((HIDDEN, 0), p["E"].dtype)
     for x, y, fresh, mask, number, running in windows(((i, docs[i]) for i in order), SCORE_LANES, SCORE_STEPS, end):
-        states = recur(p, table, x, fresh, _carried(h, running, x.shape[1]))
+        states = recur(p, x, fresh, _carried(h, running, x.shape[1]))
         h = states[-1]
         live = np.nonzero(mask.ravel())[0]
-        out += np.bincount(number.ravel()[live], log_output(p, states.reshape(-1, HIDDEN)[live], y.ravel()[live]), len(docs))
+        out += np.bincount(number.ravel()[live], log_output(p, rows_of(states)[live], y.ravel()[live]), len(docs))
     return out
 
 
@@ -460,8 +476,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, text_col:
         start = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            read = (np.split(x[2], x[3][:-1]) for b in batches for x in vocab.value.read(_texts(b, text_col)))
-            new, tokens = train(start.value, (d for docs in read for d in docs), vocab.value.end)
+            new, tokens = train(start.value, (d for b in batches for d in vocab.value.ids_of(_texts(b, text_col))), vocab.value.end)
             if tokens:
                 flat, lot = flatten(new).astype("f8") * tokens, TaskContext.get().partitionId() // TASKS_TOGETHER
                 parts = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
+import pytest
+
 from tidemark.llm import line_blocks as lb
 from tidemark.llm import warc_index as wi
 from tidemark.llm.common import work_dir
@@ -43,6 +46,91 @@ def test_page_without_article_keeps_short_first_and_last_lines():
     assert lb.main_text(f"<body>{links}<h1>Title</h1>{para}<p><a href='/'>See also</a></p><p>End.</p></body>").split("\n")[::2] == ["Title", "End."]
 
 
+PARA = "<p>" + "A sentence of the main text that is long enough. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="content with-sidebar"><h1>Title</h1>{0}<p>End.</p></div></body>',
+        '<body><form id="aspnetForm" method="post"><div><h1>Title</h1>{0}<p>End.</p></div></form></body>',
+        '<body><section class="main-search"><h1>Title</h1>{0}<p>End.</p></section></body>',
+        '<body><div class="layout-related"><h1>Title</h1>{0}<p>End.</p></div></body>',
+        '<body><div class="layout"><div class="sidebar"></div><h1>Title</h1>{0}<p>End.</p></div></body>',
+        '<body><table><tr><td><div class="sidebar">Side<td><h1>Title</h1>{0}<p>End.</p></table></body>',
+        '<body><div><div class="sidebar">Side</div><div class="sidebar"><h1>Title</h1>{0}<p>End.</p></body>',
+        '<body><article><div class="article-header banner"><h1>Title</h1></div>{0}<div class="share">Share</div><p>End.</p></article></body>',
+        '<body><div class="page has-ads"><p class="notice">Note<div><h1>Title</h1>{0}<p>End.</p></div></div></body>',
+    ],
+)
+def test_names_and_forms_lose_no_article(page):
+    top, foot = '<header>Site</header><nav><a href="/">Home</a></nav>', '<div class="comments"><p>' + "A long reader comment. " * 20 + "</p></div><footer>foot</footer>"
+    for before, after in (("", ""), (top, foot)):
+        got = lb.main_text(page.format(PARA * 2).replace("<body>", "<body>" + before).replace("</body>", after + "</body>")).split("\n")
+        got = [x for x in got if x != "Side"]
+        assert got == ["Title", *[PARA[3:-5]] * 2, "End."]
+
+
+def test_short_text_beside_long_noise_stays_alone():
+    long = "A long line of a box that is no article at all. " * 8
+    for noise in (f'<div class="comments"><p>{long}</p></div>', f"<aside><p>{long}</p></aside>", f"<footer>{long}</footer>"):
+        assert lb.main_text(f"<body><div><h1>Title</h1><p>Short.</p></div>{noise}</body>") == "Title\nShort."
+    assert lb.main_text(f'<body><div>{PARA}</div><div class="related"><p>{long}</p><p>{long}</p></div></body>') == PARA[3:-5]
+    assert lb.main_text(f'<body><article><p>Short.</p></article><div class="widget"><p>{long}</p></div></body>') == "Short."
+
+
+def made_page(rng):
+    """A page and its text, put together from blocks that are article or noise by construction."""
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    noise = [
+        lambda: f'<nav><ul><li><a href="/x">{plain(2)}</a></li><li><a href="/y">{plain(1)}</a></ul></nav>', lambda: f"<script>{plain(5)} </p></script>", lambda: f'<div class="ad">{plain(6)}</div>',
+        lambda: f"<aside><p>{plain(30)}</p></aside>", lambda: f"<style>p {{ {word()} }}</style>", lambda: f'<div class="newsletter box"><div>{plain(8)}</div><form><input name=q>{plain(2)}</form></div>',
+        lambda: f"<form><label>{plain(2)}</label><button>{word()}</button></form>", lambda: f"<!-- {plain(4)} <p>x</p> -->", lambda: f'<div id="sidebar"><div>{plain(4)}<div>{plain(3)}</div></div></div>',
+    ]
+
+    def block():
+        words = plain(rng.choice([3, 30, 60]))
+        shown = words.split()
+        k = rng.randrange(len(shown))
+        form = rng.randrange(5)
+        if form == 0:
+            raw = " ".join(shown[:k] + [f"<b>{shown[k]}</b>"] + shown[k + 1 :])
+        elif form == 1:
+            raw, words = words + " &lt;x&gt;&nbsp;&eacute;&#8364;", words + " <x> é€"
+        elif form == 2:
+            raw = "\n\t " + "  ".join(shown) + "\n"
+        elif form == 3:
+            raw = words.replace(" ", "<br>", 1)
+        else:
+            raw = f'<a href="/z">{shown[0]}</a> ' + " ".join(shown[1:])
+        tag = rng.choice(["p", "h2", "div", "blockquote", "li"])
+        return f"<{tag}>{raw}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>"), words
+
+    body, want = [], []
+    for _ in range(rng.randrange(1, 9)):
+        raw, words = block()
+        body.append(raw)
+        want.append(words)
+        if rng.random() < 0.3:
+            body.append(rng.choice(noise[2:3] + noise[5:6])())
+    raw, words = f"<p>{(long := plain(60))}</p>", long  # a text has a paragraph
+    body.append(raw)
+    want.append(words)
+    article = "".join(body)
+    article = rng.choice([f"<article>{article}</article>", f"<main><div>{article}</div></main>", f"<div class=content>{article}</div>", f"<div><div>{article}</div></div>"])
+    around = lambda: "".join(rng.choice(noise)() for _ in range(rng.randrange(4)))
+    comments = f'<section class="comments"><h3>{plain(2)}</h3><article class="comment"><p>{plain(40)}</p></article></section>' if rng.random() < 0.5 else ""
+    return f"<!DOCTYPE html><html><head><title>{plain(3)}</title></head><body><header><h1>{word()}</h1></header>{around()}{article}{around()}{comments}<footer>{plain(5)}</footer></body></html>", "\n".join(want)
+
+
+def test_made_pages_give_exactly_their_text():
+    rng = random.Random(11)
+    for _ in range(400):
+        page, want = made_page(rng)
+        assert lb.main_text(page) == want
+
+
 def odd_pages(spark):
     big = "<p>" + "text " * 400 + "</p>"
     rows = [(1, "http://a", big, 1), (2, "http://b", big, 2), (3, "http://c", big, 3), (3, "http://c", big, 3), (None, "http://d", big, 4), (5, None, None, None), (6, "u\r\nx y", "", 6), (7, "http://e", "small", 7), (8, "http://f", "small", 8), (9, "z", "é😀" * 5000, 9)]

@@ -174,17 +174,17 @@ def test_one_long_text_among_short_ones_takes_little_memory(monkeypatch):
 
     v = gru_lm.Vocabulary([(f"w{i}".encode(), 50 - i) for i in range(40)], {k: (1000, 50) for k in range(gru_lm.KINDS)}, 10, 900, 300)
     p, rng = gru_lm.initial(v), np.random.default_rng(3)
-    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 1_000_000))] + ["w1 zz  W2\n"] * 4000
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 60, 40_000))] + ["w1 zz  W2\n"] * 1000
     whole = list(v.read(pa.array([t.encode() for t in texts], pa.binary())))
-    monkeypatch.setattr(gru_lm, "in_parts", lambda t, blanks: words.in_parts(t, blanks, 1 << 16))
+    monkeypatch.setattr(gru_lm, "in_parts", lambda t, blanks: words.in_parts(t, blanks, 1 << 14))
     parts = list(v.read(pa.array([t.encode() for t in texts], pa.binary())))
     for k in (2, 4, 5):
         assert np.allclose(np.concatenate([r[k] for r in whole]), np.concatenate([r[k] for r in parts]), rtol=1e-9)
     assert [t for r in whole for t in r[6]] == [t for r in parts for t in r[6]] and whole[-1][6][-1] == {b"zz": 1}
     docs = list(v.ids_of(pa.array([t.encode() for t in texts], pa.binary())))
-    assert [len(d) for d in docs] == [1_000_001] + [4] * 4000
+    assert [len(d) for d in docs] == [40_001] + [4] * 1000
     tracemalloc.start()
-    got = gru_lm.log_likelihoods(p, docs[:1] + docs[-4000:], v.end)
+    got = gru_lm.log_likelihoods(p, docs, v.end)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 100e6 and len(set(np.round(got[1:], 3))) == 1 and got[0] < got[1]
+    assert peak < 20e6 and len(set(np.round(got[1:], 3))) == 1 and got[0] < got[1]

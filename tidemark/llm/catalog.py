@@ -37,9 +37,11 @@ def op6_size_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), work_dir(spark, "shards")
     sharding.append(docs, path)
     sharding.compact(spark, path)
-    runs = sharding.manifest(spark, path).select(F.explode("folders").alias("__shard_folder"), F.col("first.arrival").alias("shard"), F.col("tier").cast("long"), F.col("bytes").alias("shard_bytes"), F.col("rows").alias("shard_rows"))
-    rows = sharding.read(spark, path, schema=docs.schema).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), "__shard_folder")
-    return rows.join(runs, "__shard_folder").select("doc_id", "bytes", "shard", "tier", "shard_bytes", "shard_rows")
+    run = "__shard_run"
+    return sharding.read(spark, path).select(
+        "doc_id", F.octet_length("text").cast("long").alias("bytes"), F.col(f"{run}.first.arrival").alias("shard"), F.col(f"{run}.tier").cast("long").alias("tier"),
+        F.col(f"{run}.bytes").alias("shard_bytes"), F.col(f"{run}.rows").alias("shard_rows"),
+    )
 
 
 def held_out(modulus: int, remainder: int) -> Column:

@@ -160,3 +160,19 @@ def test_warc_round_trip(spark):
     assert wi.ranges(index).count() < index.count()
     empty = wi.write_archives(wi.mark_revisits(pages.limit(0)), path)
     assert wi.read_records(empty).count() == 0
+
+
+def test_one_payload_many_times_without_broadcast(spark):
+    big = "x" * 1200
+    pages = spark.range(10_000).selectExpr("id as page_id", "concat('http://a/', id) as url", f"if(id % 10 = 9, concat('{big}', id), '{big}') as html")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for hot in (100, 1 << 40):
+            index = wi.write_archives(wi.mark_revisits(pages, hot=hot), work_dir(spark, "warc-hot"))
+            got = wi.read_records(index, with_payload=False, task_bytes=100_000)
+            assert got.rdd.getNumPartitions() > 8
+            kind = Counter((r.record_type, r.refers_to) for r in got.collect())
+            assert kind == {("revisit", 9998): 8999, ("response", None): 1001}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -5,7 +5,7 @@
 apart into one read of at most `max_read` bytes (a single longer record is read whole), and parses what it read.
 
 Pages of equal payloads of at least `min_revisit` bytes: the largest page_id is the response, the others are revisits of it. Rows that
-repeat that page_id and payload are responses too. A null html is an empty payload; a null url is written as urn:page:<id>; a page
+repeat that page_id and payload are responses too. A revisit names its response by address and date, for a repeated response has several records. A null html is an empty payload; a null url is written as urn:page:<id>; a page
 without id never is a revisit's target. Extra columns are ignored. Archives are written through pyarrow's file systems below the shared
 folder; a task that fails leaves a file that no index names.
 """
@@ -33,32 +33,53 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
-def mark_revisits(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
-    """page_id, url, html and refers_to (null for responses). Only digests and lengths are shuffled, not the pages."""
+#: Copies of a payload from which its pages meet its target by a broadcast table, which has at most one row for as many pages.
+HOT, BROADCAST_ROWS = 100_000, 1_000_000
+#: Archive bytes that one task reads.
+READ_BYTES = 32 << 20
+
+
+def mark_revisits(pages: DataFrame, min_revisit: int = 1000, hot: int = HOT) -> DataFrame:
+    """page_id, url, html, refers_to and refers_to_url (null for responses).
+
+    Digests are grouped and joined without the pages. The pages meet only the list of revisits, by page_id and digest: Spark broadcasts it
+    while it is small, and no key of it is hot. Payloads of very many copies meet their target by a broadcast.
+    """
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    keyed = keyed.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "n": F.octet_length("html")})
-    groups = keyed.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("copies"))
-    groups = materialise(groups.where("copies > 1").select("digest", "target"), "equal-payloads")
-    marked = keyed.join(groups, "digest", "left")
-    same = F.col("page_id").eqNullSafe(F.col("target"))
-    return marked.select("page_id", "url", "html", F.when(~same, F.col("target")).alias("refers_to"))
+    keyed = keyed.withColumn("digest", F.when(F.octet_length("html") >= min_revisit, F.sha1(F.encode("html", "UTF-8"))))
+    light = materialise(keyed.where(F.col("digest").isNotNull()).groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.count("*").alias("n")), "digests")
+    groups = light.groupBy("digest").agg(F.max_by(F.struct("page_id", "url"), "page_id").alias("target"), F.sum("n").alias("copies"))
+    groups = materialise(groups.where((F.col("copies") > 1) & F.col("target").isNotNull()), "equal-payloads")
+    many = groups.where(F.col("copies") > hot).drop("copies")
+    if many.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        many = F.broadcast(many)
+    rows = light.select("page_id", "digest")
+    revisits = rows.join(groups.where(F.col("copies") <= hot).drop("copies"), "digest").unionByName(rows.join(many, "digest"))
+    revisits = revisits.where(~F.col("page_id").eqNullSafe(F.col("target.page_id")))
+    found = revisits.select(F.col("page_id").alias("own_id"), F.col("digest").alias("own_digest"), F.col("target.page_id").alias("refers_to"), F.col("target.url").alias("refers_to_url"))
+    marked = keyed.join(found, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
+    return marked.select("page_id", "url", "html", "refers_to", "refers_to_url")
+
+
+def _uri(page_id: int | None, url: str | None) -> str:
+    name = "" if page_id is None else str(page_id)
+    return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", f"urn:page:{name}" if url is None else url)
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> tuple[bytes, str]:
+def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_to_url: str | None, date: str, place: str) -> tuple[bytes, str]:
     digest = hashlib.sha1(payload)
-    name = "" if page_id is None else str(page_id)
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {digest.hexdigest()}')}>"),
+        ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", f"urn:page:{name}" if url is None else url)),
+        ("WARC-Target-URI", _uri(page_id, url)),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(digest.digest()).decode()),
-        ("X-Page-Id", name),
+        ("X-Page-Id", "" if page_id is None else str(page_id)),
         ("X-Payload-Length", str(len(payload))),
         ("Content-Type", "application/http; msgtype=response"),
     ]
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", _uri(refers_to, refers_to_url)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-Id", str(refers_to))]
     block = HTTP + (payload if refers_to is None else b"")
     head.append(("Content-Length", str(len(block))))
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
@@ -75,14 +96,14 @@ def write_archives(marked: DataFrame, path: str, archive_bytes: int = 128 << 20,
         try:
             for batch in batches:
                 rows = []
-                for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to"))):
+                for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to", "refers_to_url"))):
                     if out is None or at >= archive_bytes:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
                     payload = r[2].encode()
-                    raw, digest = _record(r[0], r[1], payload, r[3], date)
+                    raw, digest = _record(r[0], r[1], payload, r[3], r[4], date, f"{name}:{at}")
                     member = gzip.compress(raw, 5, mtime=0)
                     out.write(member)
                     rows.append((r[0], r[1], f"{path}/{name}", at, len(member), "response" if r[3] is None else "revisit", len(payload), digest, r[3]))
@@ -94,7 +115,7 @@ def write_archives(marked: DataFrame, path: str, archive_bytes: int = 128 << 20,
             if out is not None:
                 out.close()
 
-    return materialise(map_batches(marked.select("page_id", "url", "html", "refers_to"), run, INDEX), "warc-index")
+    return materialise(map_batches(marked.select("page_id", "url", "html", "refers_to", "refers_to_url"), run, INDEX), "warc-index")
 
 
 def ranges(selected: DataFrame, max_gap: int = 64 << 10, max_read: int = 8 << 20) -> DataFrame:
@@ -118,12 +139,12 @@ def _parse(raw: bytes) -> tuple:
         if hashlib.sha1(payload).hexdigest() != stated or len(payload) != size:
             raise ValueError(f"payload of {h['WARC-Record-ID']} does not match its digest")
     else:
-        target = int(h["WARC-Refers-To"].removeprefix("<urn:page:").rstrip(">"))
+        target = int(h["X-Refers-To-Page-Id"])
     return int(h["X-Page-Id"]) if h["X-Page-Id"] else None, h["WARC-Target-URI"], kind, size, stated, target, payload.decode() if kind == "response" else None
 
 
-def read_records(selected: DataFrame, with_payload: bool = True, max_gap: int = 64 << 10, max_read: int = 8 << 20) -> DataFrame:
-    """The parsed records of the selected index rows. A revisit's digest and length are those of the full payload; its payload is null."""
+def read_records(selected: DataFrame, with_payload: bool = True, max_gap: int = 64 << 10, max_read: int = 8 << 20, task_bytes: int = READ_BYTES) -> DataFrame:
+    """The parsed records of the selected index rows, in tasks of about `task_bytes` of archive. A revisit's digest and length are those of the full payload; its payload is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
@@ -138,4 +159,6 @@ def read_records(selected: DataFrame, with_payload: bool = True, max_gap: int =
                     rows = [(*r[:-1], None) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return map_batches(ranges(selected, max_gap, max_read), run, RECORD)
+    size = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    reads = ranges(selected, max_gap, min(max_read, task_bytes)).repartition(max(1, -(-size // task_bytes)), "archive", "first")
+    return map_batches(reads, run, RECORD)

@@ -6,7 +6,9 @@ holds a count, the XOR of the digests and the XOR of their check values. Sketche
 cells that hold one digest recovers the digests that differ. If peeling stalls, both are sketched again in larger tables.
 
 The fingerprint is the sketch with `BASE` cells a subtable in hex, so equal texts have equal fingerprints. Likeness is the share of pieces
-that two texts have in common, (n + m - d) / (n + m) for d recovered differences; 1 for two empty texts. A null text counts as empty.
+that two texts have in common, (n + m - d) / (n + m) for d recovered differences; 1 for two empty texts. It is of the tables that peel, which
+are larger than the returned fingerprints where texts differ in many pieces; those also hold counts modulo 65,536 and half of each check
+value, and serve to find equal texts and small differences. A null text counts as empty.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,33 +138,43 @@ def edited(text: str, following: str) -> str:
 def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> DataFrame:
     """Rows dealt into ranges of ascending id, each range also holding (carried = 1) the first row of the next one; the last range that of the first.
 
-    The text is shuffled once. Only the least id of each range comes to the driver. Rows without an id come first; equal ids go by text.
+    The text is shuffled once. Rows without an id come first; equal ids go by a hash of the text. An id (or none) that holds more rows than
+    a range should is divided by that hash. What comes to the driver is the first id and hash of each range, some for each partition.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    ids = docs.select(id_col)
-    cuts = sorted(set(ids.approxQuantile(id_col, [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts))))
-    count_up_to = lambda bounds: F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b <= F.col(id_col)))
-    at = count_up_to(cuts) if cuts else F.lit(0)
-    least = sorted(r[1] for r in ids.where(F.col(id_col).isNotNull()).groupBy(at.alias("at")).agg(F.min(id_col)).collect())
-    nulls = ids.where(F.col(id_col).isNull()).limit(1).count()
-    n = max(1, len(least))
-    bucket = F.greatest(F.lit(0), count_up_to(least) - 1) if least else F.lit(0)
-    if nulls:
-        first = F.col(id_col).isNull() | F.col(id_col).isin(least[1:])
+    docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).withColumn("lot", F.xxhash64(text_col))
+    cuts = set(docs.approxQuantile(id_col, [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (16 * parts)))
+    counts = docs.groupBy(id_col).agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = [(r[0], -(-r["n"] * parts // total)) for r in counts.where(F.col("n") * parts > total).where("n > 1").collect()]
+    for i, _ in large:  # a range of its own
+        if i is not None:
+            cuts |= {float(i), float(np.nextafter(float(i), np.inf))}
+    if cuts:
+        bounds = Bucketizer(splits=[-np.inf, *sorted(cuts), np.inf], inputCol="number", outputCol="at", handleInvalid="keep")
+        docs = bounds.transform(docs.withColumn("number", F.col(id_col).cast("double"))).drop("number")
     else:
-        first = F.col(id_col).isin(least)
-    dealt = docs.withColumn("bucket", F.when(F.col(id_col).isNull(), 0).otherwise(bucket))
-    own = F.struct(F.col("bucket").alias("part"), F.lit(0).alias("carried"))
-    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(n)).alias("part"), F.lit(1).alias("carried"))
-    dealt = dealt.withColumn("to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    rows = dealt.select(id_col, text_col, "to.part", "to.carried")
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "carried", F.col(id_col).asc_nulls_first(), text_col)
+        docs = docs.withColumn("at", F.lit(0.0))
+    share = F.lit(0)  # of an id's hashes, in its own number of parts
+    for i, n in large:
+        share = F.when(F.col(id_col).eqNullSafe(F.lit(i)), F.floor((F.shiftright("lot", 32) + (1 << 31)) * n / (1 << 32))).otherwise(share)
+    docs = docs.withColumn("part", F.when(F.col(id_col).isNull(), -1).otherwise(F.col("at")).cast("long") * (1 << 32) + share).drop("at")
+    heads = docs.groupBy("part").agg(F.min(F.struct(id_col, "lot")).alias("head")).collect()
+    order = sorted((r["part"], r["head"][0], r["head"][1]) for r in heads)
+    firsts = [(order[k][1], order[k][2], order[k - 1][0]) for k in range(len(order))]
+    kind = docs.schema[id_col].dataType.simpleString()
+    first = F.broadcast(spark.createDataFrame(firsts, f"head_id {kind}, head_lot long, before long"))
+    dealt = docs.join(first, F.col(id_col).eqNullSafe(F.col("head_id")) & (F.col("lot") == F.col("head_lot")), "left")
+    own = F.struct("part", F.lit(0).alias("carried"))
+    before = F.struct(F.col("before").alias("part"), F.lit(1).alias("carried"))
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("before").isNotNull(), F.array(own, before)).otherwise(F.array(own))))
+    rows = dealt.select(id_col, text_col, "lot", "to.part", "to.carried")
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "carried", F.col(id_col).asc_nulls_first(), "lot", text_col).drop("lot")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (against the next id's text)."""
+    """One row per document: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (against the next id's text; of rows with one id in order of a hash of the text)."""
     kind = docs.schema[id_col].dataType
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

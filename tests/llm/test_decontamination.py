@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import time
 from collections import Counter
 
 from tidemark.llm import decontamination as dc
@@ -26,8 +28,6 @@ def test_exact_edited_and_clean(spark):
 
 
 def test_every_window_against_brute_force():
-    import random
-
     rng = random.Random(5)
     item = [f"w{i}" for i in range(30)]
     index = dc.Items([(9, " ".join(item))])
@@ -42,6 +42,58 @@ def test_every_window_against_brute_force():
         assert (bool(got) and abs(got[0][1] - best) < 1e-12) if best >= 0.8 else not got
 
 
+def naive_best(doc, item, k):
+    """The best similarity of an item-sized window, from all windows."""
+    bag = lambda ws: Counter(tuple(ws[i : i + k]) for i in range(max(0, len(ws) - k + 1)))
+    n = len(item)
+    return max((dc.similarity(bag(doc[s : s + n]), bag(item)) for s in range(max(1, len(doc) - n + 1))), default=0.0) if len(doc) >= k else 0.0
+
+
+def test_many_items_of_several_sizes_against_brute_force():
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(400)}"
+    mould = [f"m{i}" for i in range(12)]  # a passage that many items share
+    items = []
+    for i in range(200):
+        body = [word() for _ in range(rng.choice([2, 5, 6, 9, 20, 33, 60, 150]))]
+        items.append(mould + body if i % 4 == 0 else body * 2 if i % 9 == 0 else body)
+    index = dc.Items([(i, " ".join(x)) for i, x in enumerate(items)])
+    found = wanted = 0
+    for d in range(30):
+        doc = [word() for _ in range(rng.randrange(20))]
+        for i in rng.sample(range(200), 3):
+            body = items[i][:]
+            for _ in range(rng.randrange(0, 1 + len(body) // 25)):
+                body[rng.randrange(len(body))] = "new" + word()
+            doc += body + [word() for _ in range(rng.randrange(6))]
+        if d % 10 == 0:
+            doc = items[d][: max(3, len(items[d]) - 2)]  # shorter than the item
+        want = {i: v for i, x in enumerate(items) if (v := naive_best(doc, x, min(5, len(x)))) >= 0.8}
+        got = {m[0]: m[1] for m in index.matches(" ".join(doc))}
+        assert set(got) <= set(want) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+        assert got == {m[0]: m[1] for m in index.matches(" ".join(doc), stretch=7)}
+        found, wanted = found + len(got), wanted + len(want)
+    assert wanted > 60 and found >= 0.995 * wanted
+
+
+def test_time_hardly_depends_on_the_number_of_items():
+    rng = random.Random(2)
+    mould = " ".join(f"m{i}" for i in range(8))
+    items = [(i, mould + " " + " ".join(f"x{rng.randrange(5000)}" for _ in range(30))) for i in range(8000)]
+    doc = " ".join([*(f"y{rng.randrange(5000)}" for _ in range(400)), items[7][1], mould, items[9][1], *(f"x{rng.randrange(5000)}" for _ in range(400))])
+    few, many = dc.Items(items[:500]), dc.Items(items)
+
+    def took(index):
+        times = []
+        for _ in range(15):
+            start = time.perf_counter()
+            assert {7, 9} <= {m[0] for m in index.matches(doc)}
+            times.append(time.perf_counter() - start)
+        return min(times)
+
+    assert took(many) < 2 * took(few)
+
+
 def test_item_blocks_and_odd_rows(spark, odd_docs, no_docs):
     b = items(spark)
     one = Counter((r.doc_id, r.item_id) for r in dc.find_leaks(odd_docs, b).collect())

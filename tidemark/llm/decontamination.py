@@ -2,18 +2,19 @@
 
 Words are runs of letters, digits and underscores in lower case; a shingle is five words (all words of an item that has fewer). A window of
 a document as long as an item, in words, matches it if the weighted Jaccard similarity of their shingle multisets (weight: times that the
-shingle occurs) is at least 0.8. A window that holds none of an item's shingles has similarity zero, so SimHashes are only made of the
-item-sized windows that hold at least one: each of them, at every place. Fingerprints within `RADIUS` of an item's are found through four
-16-bit blocks: at least one block differs in at most a quarter of the radius. What they find is verified exactly.
-
-At similarity 0.8 the expected distance is 10 of 64 bits with a deviation of 3, so a radius of 20 keeps practically all.
+shingle occurs) is at least 0.8. With an item's shingles in one order, rarest among the items first, such a window holds one of the first
+fifth, so only windows around those meet the item: each of them, at every place. Their SimHashes pass if one of four 16-bit blocks differs
+from the item's in at most a quarter of `RADIUS`, as one must within the radius, and all of it in at most the radius. What passes is
+verified exactly. Blocks alone would not do: at a similarity of 0.8 the expected distance is 10 of 64 bits with a deviation of 3, so a
+radius of 20 keeps practically all, but at that radius a third of all unrelated items agree in some block.
 
 Items go to the tasks in blocks of at most `BLOCK_BYTES` of text, one pass over the documents each; documents are never shuffled. Null or
-wordless texts and items match nothing. Repeated rows are reported as often as they stand; repeated items with an id each.
+wordless texts and items match nothing. A text of any length takes 8 bytes a word and a bounded stretch of bit sums. Repeated rows are reported as often as they stand; repeated items with an id each.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 def words(text: str | None) -> np.ndarray:
     h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) for w in WORD.findall((text or "").lower())], "u8")
+    return np.fromiter((h(m[0]) for m in WORD.finditer((text or "").lower())), "u8")
 
 
 def shingles(w: np.ndarray, k: int) -> np.ndarray:
@@ -70,72 +71,69 @@ class Items:
 
     def __init__(self, rows: list[tuple], shingle: int = SHINGLE, radius: int = RADIUS, least: float = SIMILARITY):
         self.radius, self.least = radius, least
-        self.ids, self.sizes, self.widths, self.bags = [], [], [], []
-        prints, owners = [], defaultdict(lambda: defaultdict(list))
+        self.ids, self.bags, sizes, widths, prints, all_shingles = [], [], [], [], [], []
         for item_id, text in rows:
             w = words(text)
             if not len(w):
                 continue
             k = min(shingle, len(w))
             s = shingles(w, k)
-            for x in set(s.tolist()):
-                owners[k][x].append(len(self.ids))
             prints.append(pack_signs(bit_sums(s)[-1:])[0])
             self.ids.append(item_id)
-            self.sizes.append(len(w))
-            self.widths.append(k)
+            sizes.append(len(w))
+            widths.append(k)
             self.bags.append(Counter(s.tolist()))
-        self.owners = {k: dict(v) for k, v in owners.items()}
-        self.known = {k: np.array(sorted(v), "u8") for k, v in owners.items()}
-        self.prints = np.array(prints, "u8")
-        self.blocks = self.prints.view("u2").reshape(-1, 4) if len(prints) else np.empty((0, 4), "u2")
-
-    def within(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, item) at most `radius` bits apart, by blocks at most a quarter of it apart."""
-        parts = prints.view("u2").reshape(-1, 4)
-        for lo in range(0, len(prints), 256):
-            near = np.zeros((len(prints[lo : lo + 256]), len(self.prints)), bool)
-            for b in range(4):
-                values, item = np.unique(self.blocks[:, b], return_inverse=True)
-                near |= (np.bitwise_count(parts[lo : lo + 256, b, None] ^ values[None]) <= self.radius // 4)[:, item]
-            for i, j in zip(*np.nonzero(near)):
-                if int(np.bitwise_count(prints[lo + i] ^ self.prints[j])) <= self.radius:
-                    yield lo + int(i), int(j)
-
-    def matches(self, text: str | None) -> list[tuple]:
+            all_shingles.append(s)
+        self.sizes, self.widths, self.prints = np.array(sizes, "i8"), np.array(widths, "i8"), np.array(prints, "u8")
+        held = Counter(x for bag in self.bags for x in bag)
+        owners: dict[int, defaultdict[int, list[int]]] = {}
+        for i, s in enumerate(all_shingles):
+            ranked = sorted(s.tolist(), key=lambda x: (held[x], x))
+            for x in set(ranked[: len(s) - math.ceil(least * len(s) - 1e-9) + 1]):
+                owners.setdefault(widths[i], defaultdict(list))[x].append(i)
+        #: By shingle width: the shingles that find items, where each one's items begin, and the items.
+        self.known = {}
+        for k, found in owners.items():
+            order = sorted(found)
+            self.known[k] = np.array(order, "u8"), np.cumsum([0, *(len(found[x]) for x in order)]), np.array([i for x in order for i in found[x]], "i8")
+
+    def stretches(self, s: np.ndarray, k: int, n_words: int) -> Iterator[tuple[int, int, int]]:
+        """(item, first, last): the windows at first to last hold a shingle that finds the item; each window once for each item."""
+        known, begin, items = self.known[k]
+        at = np.searchsorted(known, s)
+        at[at == len(known)] = 0
+        hits = np.nonzero(known[at] == s)[0]
+        each = (begin[1:] - begin[:-1])[at[hits]]
+        item = items[np.repeat(begin[at[hits]] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        place, size = np.repeat(hits, each), self.sizes[item]
+        order = np.lexsort((place, item))
+        item, place, size = item[order], place[order], size[order]
+        first, last = np.maximum(0, place + k - size), np.minimum(place, np.maximum(0, n_words - size))
+        new = np.append(True, (item[1:] != item[:-1]) | (first[1:] > last[:-1] + 1)) if len(item) else np.empty(0, bool)
+        lo = np.nonzero(new)[0]
+        yield from zip(item[lo].tolist(), first[lo].tolist(), last[np.append(lo[1:], len(item)) - 1].tolist() if len(lo) else [])
+
+    def matches(self, text: str | None, stretch: int = 1 << 16) -> list[tuple]:
         """(item id, similarity, first word, words) of the best window for each item that the text holds; of equal ones the first."""
         w = words(text)
         best: dict[int, tuple] = {}
-        for k, known in self.known.items():
+        for k in self.known:
             s = shingles(w, k)
-            if not len(s):
-                continue
-            at = np.searchsorted(known, s)
-            at[at == len(known)] = 0
-            hits = np.nonzero(known[at] == s)[0]
-            if not len(hits):
-                continue
-            by_size: dict[int, set[int]] = defaultdict(set)
-            owned: dict[int, list[int]] = defaultdict(list)
-            for p in hits.tolist():
-                for i in self.owners[k][int(s[p])]:
-                    owned[i].append(p)
-            for i, places in owned.items():
-                n = self.sizes[i]
-                for p in places:
-                    by_size[n].update(range(max(0, p + k - n), min(p, max(0, len(w) - n)) + 1))
-            sums = bit_sums(s)
-            for n, starts in by_size.items():
-                starts = np.array(sorted(starts))
-                ends = np.minimum(starts + max(1, n - k + 1), len(s))
-                for i, j in self.within(pack_signs(sums[ends] - sums[starts])):
-                    if self.sizes[j] != n or self.widths[j] != k:
-                        continue
-                    a, b = int(starts[i]), int(ends[i])
-                    value = similarity(Counter(s[a:b].tolist()), self.bags[j])
-                    if value >= self.least and (j not in best or (-value, a) < (-best[j][1], best[j][2])):
-                        best[j] = (self.ids[j], value, a, min(n, len(w) - a))
-        return [best[j] for j in sorted(best)]
+            for i, first, last in self.stretches(s, k, len(w)) if len(s) else ():
+                n = int(self.sizes[i])
+                for a in range(first, last + 1, stretch):
+                    starts = np.arange(a, min(a + stretch, last + 1))
+                    ends = np.minimum(starts + max(1, n - k + 1), len(s))
+                    sums = bit_sums(s[a : ends[-1]])
+                    apart = pack_signs(sums[ends - a] - sums[starts - a]) ^ self.prints[i]
+                    near = np.bitwise_count(apart.view("u2").reshape(-1, 4)).min(axis=1) <= self.radius // 4
+                    near &= np.bitwise_count(apart) <= self.radius
+                    for j in np.nonzero(near)[0].tolist():
+                        b, e = int(starts[j]), int(ends[j])
+                        value = similarity(Counter(s[b:e].tolist()), self.bags[i])
+                        if value >= self.least and (i not in best or (-value, b) < (-best[i][1], best[i][2])):
+                            best[i] = (self.ids[i], value, b, min(n, len(w) - b))
+        return [best[i] for i in sorted(best)]
 
 
 def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:

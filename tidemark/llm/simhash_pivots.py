@@ -16,7 +16,7 @@ For the similarity neither pivots nor SimHashes discard anything: a distance of
 parity vectors of the shingle sets do bound it, and what they leave is verified on the sets. In bands with more than `SMALL` members a few
 leaders join most of a group, and what is not joined yet is paired by the rarest shingles, which find every pair of the similarity.
 
-Null texts count as empty. A text without words has fingerprint zero and links like any other. Equal rows stay separate rows.
+Texts of equal words are one class, numbered by one of its rows. Null texts count as empty. A text without words has fingerprint zero and links like any other. Equal rows stay separate rows.
 """
 
 from __future__ import annotations
@@ -155,9 +155,9 @@ def minhash_bands(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> l
     return np.array([h(least[i * rows : (i + 1) * rows].tobytes(), i) for i in range(bands)], "u8").view("i8").tolist()
 
 
-def content_key(text: bytes) -> int:
-    """Of the words in lower case, so texts that differ in white space or case of A-Z are copies."""
-    return int(np.array(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())), "u8").view("i8"))
+def content_key(text: bytes) -> bytes:
+    """128 bits of the words in lower case, so texts that differ in white space or case of A-Z are copies."""
+    return xxhash.xxh3_128_digest(b" ".join(text.lower().split()))
 
 
 def parity(hashes: np.ndarray) -> list[int]:
@@ -178,11 +178,11 @@ def signed_documents(docs: DataFrame, words: int, text_col: str) -> DataFrame:
                 size.append(len(h))
                 bits.append(parity(h))
                 bands.append(minhash_bands(h))
-            more = [pa.array(content, pa.int64()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
+            more = [pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__content", "__size", "__bits", "__bands"])
 
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    added = [T.StructField("__content", T.LongType()), T.StructField("__size", T.IntegerType()), T.StructField("__bits", T.ArrayType(T.LongType())), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("__content", T.BinaryType()), T.StructField("__size", T.IntegerType()), T.StructField("__bits", T.ArrayType(T.LongType())), T.StructField("__bands", T.ArrayType(T.LongType()))]
     return materialise(map_batches(rows, run, T.StructType([*rows.schema.fields, *added])), "signed")
 
 
@@ -270,8 +270,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
     names = docs.columns
     rows = signed_documents(docs, words, text_col)
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid"))
-    classes = rows.groupBy(F.col("__content").alias("content")).agg(F.min(rank).alias("best"), *[F.first(f"__{c}").alias(c) for c in ("size", "bits", "bands")])
-    classes = materialise(classes, "contents")
+    classes = rows.groupBy("__content").agg(F.min("__uid").alias("content"), F.min(rank).alias("best"), *[F.first(f"__{c}").alias(c) for c in ("size", "bits", "bands")])
+    classes = materialise(classes.drop("__content"), "contents")
     members = band_members(classes)
     pairs = materialise(candidate_pairs(members, similarity, small), "pairs")
     crowd = materialise(members.where(F.col("n") > small).select("content", "size", "bits").dropDuplicates(["content"]), "crowd")

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 import shutil
 import tempfile
 
@@ -9,9 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import grids, scores
-from tidemark.operators import cleaning, fits, prices, resampling, tables
+from tidemark.operators import cleaning, fits, guards, prices, resampling, tables
 from tidemark.operators.asof import as_of, as_of_window, last_state, nearest
+from tidemark.plans.guard_plans import metrics_by_name
+from tidemark.plans.more_plans import form_features, perturbation_audit
 from tidemark.sources import files
+from tidemark.sources.tables import contests, entity_rows
 from tidemark.streaming import jobs
 
 
@@ -143,7 +147,8 @@ def test_logistic_gradient_vanishes(spark):
 
 def test_elo_is_ordered_by_pool(spark):
     rows = spark.createDataFrame([("p", 1, 1, 10, 20, 0), ("p", 2, 2, 20, 10, 2), ("q", 1, 3, 10, 20, 1)], "pool string, at int, id int, l int, r int, y int")
-    got = {r.id: (r.left_rating, r.right_rating) for r in fits.elo(rows, "pool", "at", "id", "l", "r", "y").collect()}
+    rows = rows.withColumn("known", F.col("at"))
+    got = {r.id: (r.left_rating, r.right_rating) for r in fits.elo(rows, "pool", "at", "known", "id", "l", "r", "y").collect()}
     assert got[1] == (1500.0, 1500.0) and got[3] == (1500.0, 1500.0)
     assert got[2][0] < 1500 < got[2][1]
 
@@ -191,3 +196,62 @@ def test_tolerant_compare(spark):
     a, b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double"), spark.createDataFrame([(1, 1.2), (3, 3.0)], "k int, v double")
     got = {r.k: r.status for r in tables.tolerant_compare(a, b, ["k"], ["v"], 0.1).collect()}
     assert got == {1: "differs", 2: "removed", 3: "added"}
+
+
+def test_ratings_use_only_known_results(spark):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, "ab"[k % 2], start + dt.timedelta(hours=rng.randrange(60)), rng.randrange(6), 6 + rng.randrange(6), rng.randrange(3)) for k in range(150)]
+    df = spark.createDataFrame(rows, "contest_id long, pool string, event_ts timestamp, left_id long, right_id long, y int").withColumn("available_at", F.expr("event_ts + interval 3 hours"))
+    got = {r.contest_id: (r.left_rating, r.right_rating) for r in fits.elo(df, "pool", "event_ts", "available_at", "contest_id", "left_id", "right_id", "y").collect()}
+    moves = {}
+    for k, pool, at, i, j, y in sorted(rows, key=lambda r: (r[2], r[0])):
+        rating = lambda e: 1500 + sum(m if e == a else -m for n, (p, t, a, b, m) in moves.items() if p == pool and t <= at and e in (a, b))  # noqa: B023, E731
+        u, v = rating(i), rating(j)
+        assert abs(got[k][0] - u) < 1e-9 and abs(got[k][1] - v) < 1e-9
+        moves[k] = (pool, at + dt.timedelta(hours=3), i, j, 20 * ((1, 0.5, 0)[y] - 1 / (1 + 10 ** (-(u + 60 - v) / 400))))
+    assert len(got) == 150
+
+
+def test_guards_raise(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "id int, season int")
+    read = lambda seasons, mode: guards.read_seasons(rows, "season", rows.select("season").where(F.col("season").isin(seasons)), mode, F.lit(20), F.lit(30)).count()
+    assert read([10], "train") == 1 and read([10, 20], "validate") == 2 and read([10, 20, 30], "final") == 3
+    for seasons, mode in (([20], "train"), ([30], "validate"), ([30], "train")):
+        with pytest.raises(guards.LockedDataError):
+            read(seasons, mode)
+    stamp = spark.createDataFrame([("v1", "f1")], "data_version string, feature_version string")
+    assert guards.read_versioned(rows, stamp, {"data_version": F.lit("v1"), "feature_version": F.lit("f1")}).count() == 3
+    for s, want in ((stamp, "f2"), (stamp.limit(0), "f1"), (stamp.union(stamp), "f1")):
+        with pytest.raises(Exception, match="stale table"):
+            guards.read_versioned(rows, s, {"data_version": F.lit("v1"), "feature_version": F.lit(want)}).collect()
+
+
+def test_overlaps_with_more_than_the_longest_alias(spark):
+    d = dt.date
+    rows = [("s", "X", 1, d(1990, 1, 1), d(2000, 1, 1)), ("s", "X", 2, d(1991, 1, 1), d(1995, 1, 1)), ("s", "x", 1, d(1992, 1, 1), None), ("s", "Y", 1, d(1990, 1, 1), d(1991, 1, 1)), ("s", "Y", 2, d(1992, 1, 1), None)]
+    a = spark.createDataFrame(rows, "source string, raw_name string, target int, valid_from date, valid_to date")
+    assert sorted((r.target, r.other) for r in cleaning.overlapping_aliases(a).collect()) == [(1, 2), (2, 1)]
+
+
+def test_names_one_letter_apart(spark):
+    names = ["abc", "abd", "ab", "abcd", "xbc", "", "a", "bac", "abcde"]
+    got = {(r.name, r.other) for r in cleaning.names_alike(spark.createDataFrame([(1, n) for n in names], "block int, name string"), "block", "name").collect()}
+    pairs = [("abc", "abd"), ("abc", "ab"), ("abd", "ab"), ("abc", "abcd"), ("abd", "abcd"), ("abc", "xbc"), ("", "a"), ("a", "ab"), ("abcd", "abcde")]
+    assert got == {(n, n) for n in names} | {p for a, b in pairs for p in ((a, b), (b, a))}
+
+
+def test_the_leak_audit_finds_a_planted_leak(spark, sf):
+    rows = entity_rows(contests(spark, sf))
+
+    def leaky(facts, asks):  # takes the last result by the time of the event, known or not
+        early = facts.withColumn("available_at", F.col("event_ts") - F.expr("interval 6 hours"))
+        return form_features(early, asks)
+
+    at = F.expr("timestamp '2024-01-15'")
+    assert perturbation_audit(rows, at).count() == 0 and perturbation_audit(rows, at, leaky).count() > 0
+
+
+def test_unknown_metrics_are_refused(spark, sf):
+    with pytest.raises(ValueError, match="unknown metrics"):
+        metrics_by_name(spark.range(1), ["log_loss", "luck"], [])

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 
 def psi(rows: DataFrame, key: str, value: str, is_reference: Column, bins: int = 10, floor: float = 1e-4) -> DataFrame:
-    """(key, psi): population stability over the reference's quantile bins; shares under `floor` count as it."""
+    """(key, psi): population stability over the reference's quantile bins; shares under `floor` count as it. Values are counted first, so windows run over distinct ones."""
     marked = rows.select(key, F.col(value).alias("__v"), is_reference.alias("__ref")).where("__v is not null")
-    cuts = [i / bins for i in range(1, bins)]
-    edges = marked.where("__ref").groupBy(key).agg(F.percentile("__v", F.array(*[F.lit(c) for c in cuts])).alias("edges"))
-    binned = marked.join(F.broadcast(edges), key).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("__v"))))
-    counts = binned.groupBy(key, "bin").agg(F.sum(F.col("__ref").cast("long")).alias("a"), F.sum((~F.col("__ref")).cast("long")).alias("b"))
+    counted = marked.groupBy(key, "__v").agg(F.sum(F.col("__ref").cast("long")).alias("a"), F.sum((~F.col("__ref")).cast("long")).alias("b"))
+    upto = F.sum("a").over(Window.partitionBy(key).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"upto": upto, "total": F.sum("a").over(Window.partitionBy(key))})
+    edges = []
+    for i in range(1, bins):  # between the values at the two places around the quantile
+        at = F.lit(i / bins) * (F.col("total") - 1)
+        low, high = (F.min(F.when(F.col("upto") > f(at), F.col("__v"))) for f in (F.floor, F.ceil))
+        edges.append(low + (high - low) * (F.max(at) - F.floor(F.max(at))))
+    edges = placed.groupBy(key).agg(F.array(*edges).alias("edges"), F.max("total").alias("total")).where("total > 0").drop("total")
+    binned = counted.join(edges, key).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("__v"))))
+    counts = binned.groupBy(key, "bin").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     w = Window.partitionBy(key)
     p, q = (F.greatest(F.col(c) / F.sum(c).over(w), F.lit(floor)) for c in ("a", "b"))
     all_bins = edges.select(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).join(counts, [key, "bin"], "left").fillna(0, ["a", "b"])

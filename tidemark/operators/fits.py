@@ -77,29 +77,37 @@ def low_score_rho(rows: DataFrame, x: str, y: str, left_n: str, right_n: str, ro
     return (low + high) / 2
 
 
-def elo(rows: DataFrame, pool: str, at: str, key: str, left: str, right: str, y: str, k: float = 20.0, edge: float = 60.0) -> DataFrame:
-    """rows with the ratings of both entities before each contest. Pools are independent; a pool is replayed in order by one task, holding its entities' ratings only."""
+def elo(rows: DataFrame, pool: str, at: str, known_at: str, key: str, left: str, right: str, y: str, k: float = 20.0, edge: float = 60.0) -> DataFrame:
+    """rows with the ratings of both entities before each contest, from the results known by its time: contests that start together never see each other.
+
+    A result moves both ratings once it is known, by what the ratings before its contest said. Pools are independent; a pool is replayed in
+    order by one task, which holds its entities' ratings and the results that are not known yet.
+    """
     kind = lambda c: rows.schema[c].dataType.simpleString()
     schema = f"{pool} {kind(pool)}, {key} {kind(key)}, left_rating double, right_rating double"
 
     def run(batches):
+        import heapq
+
         import pandas as pd
 
-        held, now = {}, object()
+        held, waiting, now = {}, [], object()
         for pdf in batches:
             a, b = [], []
-            for p, i, j, o in zip(pdf[pool], pdf[left], pdf[right], pdf[y]):
+            for p, t, known, n, i, j, o in zip(pdf[pool], pdf[at], pdf[known_at], pdf[key], pdf[left], pdf[right], pdf[y]):
                 if p != now:
-                    held, now = {}, p
+                    held, waiting, now = {}, [], p
+                while waiting and waiting[0][0] <= t:
+                    _, _, x, z, move = heapq.heappop(waiting)
+                    held[x], held[z] = held.get(x, 1500.0) + move, held.get(z, 1500.0) - move
                 u, v = held.get(i, 1500.0), held.get(j, 1500.0)
                 a.append(u)
                 b.append(v)
                 expected = 1 / (1 + 10 ** (-(u + edge - v) / 400))
-                move = k * ((1.0, 0.5, 0.0)[int(o)] - expected)
-                held[i], held[j] = u + move, v - move
+                heapq.heappush(waiting, (known, n, i, j, k * ((1.0, 0.5, 0.0)[int(o)] - expected)))
             yield pd.DataFrame({pool: pdf[pool], key: pdf[key], "left_rating": a, "right_rating": b})
 
-    ordered = rows.select(pool, at, key, left, right, y).dropna().repartition(pool).sortWithinPartitions(pool, at, key)
+    ordered = rows.select(pool, at, known_at, key, left, right, y).dropna().repartition(pool).sortWithinPartitions(pool, at, key)
     return ordered.mapInPandas(run, schema)
 
 

@@ -26,16 +26,16 @@ def outcome_frequencies(spark, sf):
 
 @query()
 def rating_replay(spark, sf):
-    """FIT2 and FIT3: ratings before each contest, pools replayed apart."""
+    """FIT2: ratings before each contest from the results known by then, pools replayed apart."""
     c = contests(spark, sf).withColumn("y", outcome())
-    return fits.elo(c, "pool", "event_ts", "contest_id", "left_id", "right_id", "y")
+    return fits.elo(c, "pool", "event_ts", "available_at", "contest_id", "left_id", "right_id", "y")
 
 
 @query()
 def rating_outcomes(spark, sf):
     """FIT4: rating difference to the probability of each outcome, by two logistic thresholds fitted with Newton steps."""
     c = contests(spark, sf).withColumn("y", outcome())
-    r = fits.elo(c, "pool", "event_ts", "contest_id", "left_id", "right_id", "y").join(c.select("contest_id", "y"), "contest_id").withColumn("d", (F.col("left_rating") - F.col("right_rating")) / 100)
+    r = fits.elo(c, "pool", "event_ts", "available_at", "contest_id", "left_id", "right_id", "y").join(c.select("contest_id", "y"), "contest_id").withColumn("d", (F.col("left_rating") - F.col("right_rating")) / 100)
     high, low = (fits.logistic(r, [F.col("d")], (F.col("y") <= k).cast("int"), steps=6) for k in (0, 1))
     p = lambda b: 1 / (1 + F.exp(-(F.lit(b[0]) + F.lit(b[1]) * F.col("d"))))
     return r.select("contest_id", p(high).alias("p0"), F.greatest(F.lit(0.0), p(low) - p(high)).alias("p1"), (1 - F.greatest(p(low), p(high))).alias("p2"))
@@ -43,7 +43,7 @@ def rating_outcomes(spark, sf):
 
 @query()
 def poisson_rates(spark, sf):
-    """FIT5, FIT6, FIT8: attack and defence by iterative scaling with shrinkage."""
+    """FIT5: attack and defence by iterative scaling with shrinkage."""
     home, away, p = fits.rates(contests(spark, sf), "left_id", "right_id", "left_n", "right_n", sweeps=4)
     return p.select("entity", F.round("attack", 6).alias("attack"), F.round("defence", 6).alias("defence"), F.lit(home).alias("home_level"), F.lit(away).alias("away_level"))
 
@@ -141,12 +141,11 @@ def permutation_importance(spark, sf):
     from pyspark.sql import Window
 
     m = models(forecasts(contests(spark, sf))).where("model_id = 1")
-    w = Window.partitionBy("pool").orderBy(F.xxhash64(F.lit(11), "contest_id"), "contest_id")
-    out = []
-    for k in range(3):
-        q = [F.coalesce(F.lag(f"p{i}").over(w), F.col(f"p{i}")) if i == k else F.col(f"p{i}") for i in range(3)]
-        out.append(m.select("contest_id", F.lit(f"p{k}").alias("feature"), "y", F.array("p0", "p1", "p2").alias("p"), F.array(*q).alias("q")))
-    rows = out[0].unionByName(out[1]).unionByName(out[2])
+    m = m.withColumn("lot", F.pmod(F.xxhash64(F.lit(3), "contest_id"), F.lit(64)))  # rows trade places within parts of a pool
+    w = Window.partitionBy("pool", "lot").orderBy(F.xxhash64(F.lit(11), "contest_id"), "contest_id")
+    traded = m.select("y", F.array("p0", "p1", "p2").alias("p"), *[F.coalesce(F.lag(f"p{k}").over(w), F.col(f"p{k}")).alias(f"t{k}") for k in range(3)])
+    each = [F.struct(F.lit(f"p{k}").alias("feature"), F.array(*[F.col(f"t{i}") if i == k else F.col("p")[i] for i in range(3)]).alias("q")) for k in range(3)]
+    rows = traded.select("y", "p", F.explode(F.array(*each)).alias("e")).select("y", "p", "e.*")
     s = scores.temperature(F.col("q"), 1.0)
     return rows.groupBy("feature").agg(F.round(F.avg(scores.log_loss(s, F.col("y")) - scores.log_loss(F.col("p"), F.col("y"))), 6).alias("importance"))
 

@@ -73,12 +73,12 @@ def source_health(spark, sf):
     return h.withColumn("state", F.when(F.col("error_rate") > 0.2, "DOWN").when(F.col("error_rate") > 0.1, "DEGRADED").otherwise("UP"))
 
 
-@query(f"""with {_CALLS}, hours as (select unnest(generate_series(timestamp '2024-01-10', timestamp '2024-01-12', interval 1 hour)) as h), c as (select date_trunc('hour', ts) as h, count(*) filter (ok) as good, count(*) as n from calls group by 1),
+@query(f"""with {_CALLS}, hours as (select unnest(generate_series((select date_trunc('hour', min(ts)) from calls), (select date_trunc('hour', max(ts)) from calls), interval 1 hour)) as h), c as (select date_trunc('hour', ts) as h, count(*) filter (ok) as good, count(*) as n from calls group by 1),
 x as (select hours.h, coalesce(good, 0) as good, coalesce(n, 0) as n from hours left join c using (h)) select count(*) as hours_n, count(*) filter (good > 0) as served, cast(sum(n - good) as bigint) as failed, cast(sum(n - good) as double) / sum(n) / 0.1 as budget_used, case when cast(sum(n - good) as double) / sum(n) > 0.1 then 'BREACHED' else 'MET' end as state from x""")
 def objectives(spark, sf):
     """AGG19: hourly availability over a spine of hours and the error budget."""
     c = _calls(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.sum(F.col("ok").cast("long")).alias("good"), F.count("*").alias("n"))
-    spine = spark.range(1).select(F.explode(F.expr("sequence(timestamp '2024-01-10', timestamp '2024-01-12', interval 1 hour)")).alias("h"))
+    spine = c.agg(F.min("h").alias("a"), F.max("h").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("h"))
     x = spine.join(c, "h", "left").fillna(0, ["good", "n"])
     used = F.sum(F.col("n") - F.col("good")).cast("double") / F.sum("n")
     return x.agg(F.count("*").alias("hours_n"), F.sum((F.col("good") > 0).cast("long")).alias("served"), F.sum(F.col("n") - F.col("good")).alias("failed"), (used / 0.1).alias("budget_used"), F.when(used > 0.1, "BREACHED").otherwise("MET").alias("state"))
@@ -149,10 +149,12 @@ def track_record(spark, sf):
 select model_id, cast(level as double) as level, count(*) as n, avg(loss) as loss, min(conf) as cut from c join l on r <= level group by 1, 2""")
 def selective_curve(spark, sf):
     """AGG17: loss against coverage when only the most confident forecasts count."""
-    r = F.percent_rank().over(Window.partitionBy("model_id").orderBy(F.greatest("p0", "p1", "p2").desc()))
-    c = _scored(spark, sf).select("model_id", F.greatest("p0", "p1", "p2").alias("conf"), "log_loss", r.alias("r"))
+    c = _scored(spark, sf).groupBy("model_id", F.greatest("p0", "p1", "p2").alias("conf")).agg(F.count("*").alias("n"), F.sum("log_loss").alias("loss"))
+    w = Window.partitionBy("model_id")
+    before = F.sum("n").over(w.orderBy(F.col("conf").desc()).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    c = c.withColumn("r", F.coalesce(F.try_divide(before, F.sum("n").over(w) - 1), F.lit(0.0)))  # the rank of equal values is one
     levels = F.explode(F.filter(F.array(*[F.lit(x) for x in (1.0, 0.8, 0.6, 0.4)]), lambda x: F.col("r") <= x))
-    return c.withColumn("level", levels).groupBy("model_id", "level").agg(F.count("*").alias("n"), F.avg("log_loss").alias("loss"), F.min("conf").alias("cut"))
+    return c.withColumn("level", levels).groupBy("model_id", "level").agg(F.sum("n").alias("n"), (F.sum("loss") / F.sum("n")).alias("loss"), F.min("conf").alias("cut"))
 
 
 @query(f"""{_M}, s as (select contest_id, model_id, {_LOSS} as loss, percent_rank() over (partition by model_id, pool, season order by event_ts, contest_id) as r, greatest(p0, p1, p2) as c, y from models),
@@ -217,10 +219,11 @@ def walk_forward_folds(spark, sf):
     """LKG2 and FIT14: expanding folds with an availability embargo and a least training size, by running counts over seasons."""
     c = contests(spark, sf)
     s = c.groupBy("season").agg(F.min("event_ts").alias("first_ts"), F.count("*").alias("eval"))
-    starts = s.select(F.col("season").alias("fold"), "first_ts")
-    w = Window.orderBy("season")
+    w = Window.orderBy("season")  # one row a season
     s = s.withColumn("earlier", F.coalesce(F.sum("eval").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    close = c.join(F.broadcast(starts), (F.col("season") < F.col("fold")) & (F.col("available_at") > F.col("first_ts"))).groupBy("fold").agg(F.count("*").alias("embargoed"))
+    later = F.collect_list(F.struct(F.col("season").alias("fold"), "first_ts")).over(w.rowsBetween(1, Window.unboundedFollowing))
+    late = c.select("season", "available_at").join(s.select("season", later.alias("later"), F.lead("first_ts").over(w).alias("next_ts")), "season").where("available_at > next_ts")
+    close = late.select(F.explode(F.filter("later", lambda x: x.first_ts < F.col("available_at"))).alias("x")).groupBy(F.col("x.fold").alias("fold")).agg(F.count("*").alias("embargoed"))
     out = s.join(close, s["season"] == close["fold"], "left").withColumn("embargoed", F.coalesce("embargoed", F.lit(0)))
     return out.withColumn("train", F.col("earlier") - F.col("embargoed")).where("train >= 500").select(F.date_format("season", "yyyy-MM-dd").alias("fold"), "train", "embargoed", "eval")
 

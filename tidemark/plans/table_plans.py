@@ -156,8 +156,8 @@ def resolve_aliases(spark, sf):
 
 
 @query(f"""with {_ALIASES}, a as (select source, {_NORM.format(c="raw_name")} as norm, target, valid_from, coalesce(valid_to, date '9999-12-31') as e from aliases),
-w as (select *, max((e, target)) over (partition by source, norm order by valid_from, target rows between unbounded preceding and 1 preceding) as b from a)
-select source, norm, target, b[2] as other from w where b[1] >= valid_from and b[2] <> target""")
+n as (select *, row_number() over () as rid from a)
+select x.source, x.norm, x.target, max((y.e, y.target))[2] as other from n x join n y on x.source = y.source and x.norm = y.norm and x.target <> y.target and (y.valid_from, y.target) < (x.valid_from, x.target) and y.e >= x.valid_from group by x.rid, 1, 2, 3""")
 def alias_overlaps(spark, sf):
     """RES7: intervals of one name that overlap with different targets."""
     return cleaning.overlapping_aliases(aliases(spark, sf))
@@ -167,11 +167,11 @@ def alias_overlaps(spark, sf):
 select a.s_suppkey as a, b.s_suppkey as b from n a join n b on a.block = b.block and a.s_suppkey < b.s_suppkey and levenshtein(a.name, b.name) <= 1 and substr(a.name, 1, 10) = substr(b.name, 1, 10)
 where not exists (select 1 from nation where n_nationkey = a.block and n_nationkey % 4 = 0)""")
 def duplicate_entities(spark, sf):
-    """RES4 and RES5: names alike within a block and prefix, less pairs of excluded blocks; blocked by an equality join."""
+    """RES5: names alike within a block, less pairs of excluded blocks; names meet by what is left of them without one letter."""
     n = read_table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("Supplier "), F.floor(F.col("s_suppkey") / 10).cast("string")).alias("name"), F.col("s_nationkey").alias("block"))
-    n = n.withColumn("prefix", F.substring("name", 1, 10))
-    other = n.select(F.col("s_suppkey").alias("b"), F.col("name").alias("name_b"), "block", "prefix")
-    pairs = n.join(other, ["block", "prefix"]).where((F.col("s_suppkey") < F.col("b")) & (F.levenshtein("name", "name_b") <= 1))
+    alike = cleaning.names_alike(n.select("block", "name").distinct(), "block", "name").where(F.substring("name", 1, 10) == F.substring("other", 1, 10))
+    left = n.join(alike, ["block", "name"])
+    pairs = left.join(n.select("block", F.col("name").alias("other"), F.col("s_suppkey").alias("b")), ["block", "other"]).where(F.col("s_suppkey") < F.col("b"))
     met = read_table(spark, sf, "nation").where("n_nationkey % 4 = 0").select(F.col("n_nationkey").alias("block"))
     return pairs.join(met, "block", "left_anti").select(F.col("s_suppkey").alias("a"), "b")
 

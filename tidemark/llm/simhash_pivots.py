@@ -137,6 +137,8 @@ BANDS, ROWS = 16, 3
 LEADERS = 4
 #: Bits of the parity vectors that bound how far two shingle sets differ.
 PARITY = 512
+#: Shingles before a shingle that its row carries, so that a pair that met at one of them does not meet again.
+BEFORE = 8
 #: Members in one slice of a shingle that many texts share; slices meet two by two.
 SLICE = 256
 
@@ -227,6 +229,8 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity
     With the shingles of each set in one order, rarest first, two sets of the similarity share one of their first size - similarity * size + 1
     (rounded up to whole shingles), so a shingle that both have there finds them; shingles of one set only take up places. A shingle's members
     are cut into slices, and slices meet two by two: first those outside its largest component with each other, then with the largest one.
+    A pair needs to meet only at the first shingle that both have: there the rest of both sets must be large enough for the similarity, and
+    no shingle just before it is in both. So a pair whose prefixes agree is one row, not one for each shingle they share.
     """
     labelled = crowd.join(groups, "content", "left").select("content", "size", "bits", F.coalesce("component", "content").alias("component"))
     each = sets.join(crowd.select("content"), "content", "left_semi").select("content", F.explode("shingles").alias("shingle"))
@@ -235,7 +239,10 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity
     first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
     own = F.col("size") - F.size("ranked")
     keys = ranked.join(labelled, "content").withColumn("keys", F.slice("ranked", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int")))
-    keyed = materialise(keys.select("content", "size", "bits", "component", F.explode("keys.shingle").alias("shingle")), "prefixes")
+    placed = keys.select("content", "size", "bits", "component", F.size("ranked").alias("shared"), "keys", F.posexplode("keys.shingle").alias("place", "shingle"))
+    before = F.slice(F.col("keys.shingle"), F.greatest(F.col("place") - BEFORE, F.lit(0)) + 1, F.least("place", F.lit(BEFORE)))
+    keyed = placed.select("content", "size", "bits", "component", "shingle", (F.col("shared") - F.col("place")).alias("rest"), before.alias("before"))
+    keyed = materialise(keyed, "prefixes")
     parts = keyed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     wide = parts.groupBy("shingle").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where(F.col("all") > F.col("top.n"))
     minor = F.ceil((F.col("all") - F.col("top.n")) / SLICE).cast("int")
@@ -243,13 +250,15 @@ def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity
     lot = lambda n: F.pmod(F.xxhash64("content"), n).cast("int")
     at = F.when(F.col("component") == F.col("largest"), F.col("minor") + lot(F.col("major"))).otherwise(lot(F.col("minor")))
     dealt = keyed.join(slices, "shingle").withColumn("at", at)
-    own = ["shingle", "content", "size", "bits", "component"]
+    own = ["shingle", "content", "size", "bits", "component", "rest", "before"]
     x = dealt.where(F.col("at") < F.col("minor")).select(*own, F.col("at").alias("i"), F.explode(F.sequence("at", F.col("minor") + F.col("major") - 1)).alias("j"))
     y = dealt.select(*own, F.explode(F.sequence(F.lit(0), F.least(F.col("at"), F.col("minor") - 1))).alias("i"), F.col("at").alias("j"))
     meet = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("shingle", "i", "j")]
     once = (F.col("x.i") < F.col("x.j")) | (F.col("x.content") < F.col("y.content"))
     apart = F.col("x.component") != F.col("y.component")
-    return x.alias("x").join(y.alias("y"), meet[0] & meet[1] & meet[2] & once & apart & _may_reach(similarity)).select(*_ends()).distinct()
+    enough = F.least("x.rest", "y.rest") >= similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    first_met = ~F.arrays_overlap("x.before", "y.before")
+    return x.alias("x").join(y.alias("y"), meet[0] & meet[1] & meet[2] & once & apart & enough & _may_reach(similarity) & first_met).select(*_ends()).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

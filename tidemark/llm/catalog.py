@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 with their SQL where SQL can express them."""
+"""The thin queries op1 to op13 with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, decontamination, gru_lm, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
+from tidemark.llm import bloom_lookup, collocations, decontamination, gru_lm, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -79,6 +79,11 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.best(collocations.mine(table(spark, sf_dir, "documents").select("text", "lang")))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lookup": op1_bloom_lookup,
     "op2_packing": op2_packing,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_trigrams": op8_secret_trigrams,
     "op9_gru": op9_gru,
     "op10_warc_index": op10_warc_index,
+    "op13_stream_collocations": op13_stream_collocations,
 }
 
 def _ascii_either_case(regex: str) -> str:
@@ -140,7 +146,33 @@ select d.doc_id, cast(octet_length(encode(d.text)) as bigint) as bytes, m.f as s
 from documents d join m on coalesce(cast(floor(d.doc_id / {s.SPAN}.0) as bigint), -{1 << 62}) = m.arrival"""
 
 
+def _collocation_sql() -> str:
+    c = collocations
+    grams = " union all ".join(
+        f"select lang, ws[i:i + {m - 1}] as g from (select lang, ws, unnest(range(1, len(ws) - {m - 2})) as i from w where len(ws) >= {m})" for m in range(1, c.LONGEST + 1)
+    )
+    return f"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from p),
+f as (select lang, g, count(*) as f from ({grams}) group by lang, g having count(*) >= {c.LEAST}),
+n as (select lang, cast(sum(len(ws)) as bigint) as n from w group by lang),
+cuts as (select lang, g, f as a, unnest(range(1, len(g))) as k from f where len(g) > 1),
+scored as (
+    select c.lang, c.g, c.a, c.k, lf.f as l, rt.f as r, n.n, cast(1000 * c.a::hugeint * n.n // (lf.f::hugeint * rt.f) as bigint) as score
+    from cuts c join f lf on lf.lang = c.lang and lf.g = c.g[1:c.k] join f rt on rt.lang = c.lang and rt.g = c.g[c.k + 1:] join n on n.lang = c.lang),
+one as (select * from scored qualify row_number() over (partition by lang, g order by score, k) = 1),
+inside as (
+    select distinct o.lang, o.g from one o join
+    (select lang, f, len(g) as m, unnest(list_transform(range(1, len(g) + 1), lambda i: g[i:])) as s from f where len(g) > 2) x
+    on x.lang = o.lang and len(x.s) >= len(o.g) and x.s[1:len(o.g)] = o.g and x.m > len(o.g) and 100 * x.f >= {c.SHARE} * o.a),
+kept as (select one.*, array_to_string(one.g, ' ') as phrase from one anti join inside on inside.lang = one.lang and inside.g = one.g)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from kept qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= {c.TOP}"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_stream_collocations": _collocation_sql(),
     "op6_size_tiers": _shard_sql(),
     "op8_secret_trigrams": _secret_sql(),
     "op10_warc_index": """

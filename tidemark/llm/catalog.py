@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, collocations, decontamination, gru_lm, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
+from tidemark.llm import bloom_lookup, collocations, decontamination, gru_lm, license_templates, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -79,6 +79,15 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("license")
+    joined = lambda labels: F.array_join(labels, ",")
+    return license_templates.scan(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        "doc_id", found.n_words.alias("n_words"), found.n_base.alias("n_base"), found.first_word.alias("first_word"), found.last_word.alias("last_word"),
+        joined(F.array_sort(found.base_labels)).alias("base_labels"), joined(license_templates.labels(found)).alias("labels"), license_templates.score(found).alias("score"),
+    )
+
+
 def op13_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = collocations.best(collocations.mine(table(spark, sf_dir, "documents").select("text", "lang")))
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
@@ -95,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_trigrams": op8_secret_trigrams,
     "op9_gru": op9_gru,
     "op10_warc_index": op10_warc_index,
+    "op12_license_templates": op12_license_templates,
     "op13_stream_collocations": op13_stream_collocations,
 }
 
@@ -146,6 +156,24 @@ select d.doc_id, cast(octet_length(encode(d.text)) as bigint) as bytes, m.f as s
 from documents d join m on coalesce(cast(floor(d.doc_id / {s.SPAN}.0) as bigint), -{1 << 62}) = m.arrival"""
 
 
+def _license_sql() -> str:
+    places = " union all ".join(
+        f"select rid, '{label}' as label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + {len(p.split()) - 1}] = {p.split()})) - 1 as place from w" for p, label in license_templates.PHRASES
+    )
+    sure = " union ".join(f"select rid, '{label}' as label from w where regexp_matches(line, ' {license_templates.regex(license_templates.parse(t))}')" for label, t in license_templates.TEMPLATES)
+    return f"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+w as (select *, ' ' || array_to_string(ws, ' ') || ' ' as line from d),
+places as ({places}),
+sure as ({sure}),
+b as (select rid, count(*) as n, min(place) as lo, max(place) as hi, string_agg(distinct label, ',' order by label) as labels from places group by rid),
+m as (select rid, string_agg(label, ',' order by label) as labels, count(*) as n, count(*) filter (by_template) as n_sure
+    from (select rid, label, bool_or(sure) as by_template from (select rid, label, false as sure from places union all select rid, label, true from sure) group by rid, label) group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(b.n, 0) as n_base, b.lo as first_word, b.hi as last_word, coalesce(b.labels, '') as base_labels, coalesce(m.labels, '') as labels,
+    case when m.n is null then 0.0 else (m.n + m.n_sure) / (2.0 * m.n) end::double as score
+from w left join b using (rid) left join m using (rid)"""
+
+
 def _collocation_sql() -> str:
     c = collocations
     grams = " union all ".join(
@@ -172,6 +200,7 @@ from kept qualify row_number() over (partition by lang order by score desc, a de
 
 
 ORACLES: dict[str, str] = {
+    "op12_license_templates": _license_sql(),
     "op13_stream_collocations": _collocation_sql(),
     "op6_size_tiers": _shard_sql(),
     "op8_secret_trigrams": _secret_sql(),

@@ -6,6 +6,9 @@ with it, so one sorted stream holds the counts of all lengths, and no table of c
 kept by length. Each length is joined with the next shorter one twice by sort-merge joins, in prefix order (without its last word) and in
 suffix order (without its first word): that gives the counts left and right of every cut, and the most frequent extension of each phrase.
 
+The most frequent words of all (TABLE of them, whatever the size of the input) stand in a key as one or two bytes, other words are spelled.
+Where the table holds every word that occurs often enough, a window ends before any other word, which no phrase of the result can hold.
+
 Defined results: a text that is null or holds no words gives nothing; a null language is `und`; a repeated row counts again; very long
 texts are read in parts, windows reach over the parts' ends; an empty table gives no rows; other columns of the table are not read, whatever
 their names. Ties of a score go by count, then by the phrase's bytes.
@@ -23,16 +26,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import map_batches, materialise
-from tidemark.llm.words import TOGETHER, offsets
+from tidemark.llm.words import offsets
 
 LONGEST, LEAST, SHARE, TOP = 5, 100, 100, 2000
 BLANKS, ENDS = b" \t", b".,;:!?\n\x0b\x0c\r"
+#: About how many bytes of text are counted together.
+TOGETHER = 4 << 20
 #: Bytes of text to one range of the sorted stream.
 RANGE_BYTES = 48 << 20
-#: Stands between the words of a key; lower than every byte that a word of a key may hold, so a phrase is followed at once by its extensions.
+#: Stands between the words of a phrase, and ends a language or a spelled word in a key; no word holds it.
 SEP = b"\t"
 #: Bytes up to this one are spelled as this byte and a printable one.
 ESCAPE = 10
+#: Words with codes: ONE of one byte, the others of two; none of them longer than SHORT bytes.
+ONE, SHORT = 127, 64
+TABLE = ONE + 128 * 256
 
 _KIND = np.zeros(256, "u1")
 _KIND[list(BLANKS)], _KIND[list(ENDS)] = 1, 2
@@ -53,51 +61,83 @@ def unescaped(column):
     return column
 
 
-def _sorted_codes(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Codes from 1 in the order of the words' bytes, and the distinct words in that order."""
-    coded = words.dictionary_encode()
-    names = _escaped(coded.dictionary)
-    order = pc.array_sort_indices(names).to_numpy()
-    place = np.empty(len(order), "i8")
-    place[order] = np.arange(1, len(order) + 1)
-    return place[coded.indices.to_numpy()] if len(order) else np.zeros(0, "i8"), names.take(pa.array(order))
-
-
-def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, upto: int | None = None) -> tuple[pa.Array, np.ndarray]:
+class Table:
+    """Codes of frequent words: byte 1 to 127, or a byte from 128 and another; byte 0 begins a spelled word. complete: no other word is frequent."""
+
+    def __init__(self, words: list[bytes], complete: bool):
+        self.words, self.complete = words, complete
+        self.codes = [bytes((k + 1,)) if k < ONE else bytes((128 + (k - ONE >> 8), k - ONE & 255)) for k in range(len(words))]
+
+    def keys(self, names: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words' keys, and which of them end a window."""
+        place = pc.index_in(names, pa.array(self.words, pa.binary()))
+        coded, other = pa.array(self.codes, pa.binary()).take(place), place.is_null().to_numpy(zero_copy_only=False)
+        if self.complete or not other.any():
+            return pc.fill_null(coded, b""), other
+        spelled = pc.binary_join_element_wise(pa.scalar(b"\0"), _escaped(names), pa.scalar(SEP), pa.scalar(b""))
+        return pc.if_else(pa.array(other), spelled, coded), np.zeros(len(names), bool)
+
+    def phrase(self, key: bytes) -> bytes:
+        """Language and words of a key, parted by SEP."""
+        at = key.index(SEP)
+        out = [key[:at]]
+        at += 1
+        while at < len(key):
+            if key[at]:
+                two = key[at] > ONE
+                out.append(_escaped(pa.array([self.words[ONE + (key[at] - 128 << 8) + key[at + 1] if two else key[at] - 1]], pa.binary()))[0].as_py())
+                at += 1 + two
+            else:
+                end = key.index(SEP, at)
+                out.append(key[at + 1 : end])
+                at = end + 1
+        return SEP.join(out)
+
+
+def split_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """(where each word starts, the words) of texts that lie in `raw` at the offsets `at`."""
+    word = _KIND[raw] == 0
+    starts = np.zeros(len(raw), bool)
+    starts[1:] = word[1:] & ~word[:-1]
+    begin = at[:-1][at[:-1] < len(raw)]
+    starts[begin] = word[begin]
+    starts = np.nonzero(starts)[0]
+    length = np.cumsum(word, dtype="i4")
+    lies = np.append(length[starts] - 1, length[-1:]).astype("i4") if len(starts) else np.zeros(1, "i4")
+    return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(lies), pa.py_buffer(_LOW[raw[word]])]).dictionary_encode()
+
+
+def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, table: Table, upto: int | None = None) -> tuple[pa.Array, np.ndarray]:
     """(keys in order, counts) of the windows in texts that lie in `raw` at the offsets `at`. upto: only windows that start before it."""
-    kind = _KIND[raw]
-    word = kind == 0
-    before = np.zeros(len(raw), bool)
-    before[1:] = word[:-1]
-    before[at[:-1][at[:-1] < len(raw)]] = False
-    starts = np.nonzero(word & ~before)[0]
+    starts, coded = split_words(raw, at)
     if not len(starts):
         return pa.array([], pa.binary()), np.zeros(0, "i8")
-    length = np.append(0, np.cumsum(word))
-    lies = np.append(length[starts], length[-1]).astype("i4")
-    kept = _LOW[raw[word]]
-    codes, names = _sorted_codes(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(lies), pa.py_buffer(kept)]))
-    doc = np.searchsorted(at, starts, "right") - 1
-    ends = np.append(0, np.cumsum(kind == 2))
-    piece = ends[starts]
-    same = np.zeros(len(starts), bool)
-    same[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
-    lang, lang_names = _sorted_codes(langs)
+    keys, ending = table.keys(coded.dictionary)
+    order = pc.array_sort_indices(keys).to_numpy()
+    place = np.empty(len(order), "i4")
+    place[order] = np.arange(1, len(order) + 1)
+    place[ending] = 0
+    names, codes = keys.take(pa.array(order)), place[coded.indices.to_numpy()]
+    doc = (np.searchsorted(at, starts, "right") - 1).astype("i4")
+    ends = np.cumsum(_KIND[raw] == 2, dtype="i4")[starts]
+    follows = np.zeros(len(starts) + longest, bool)
+    follows[: len(starts) - 1] = (ends[1:] == ends[:-1]) & (doc[1:] == doc[:-1])
     n = len(starts) if upto is None else int(np.searchsorted(starts, upto))
-    columns, bits = [lang[doc[:n]]], [int(len(lang_names)).bit_length()]
-    reach, held = np.ones(n, bool), np.append(codes, np.zeros(longest, "i8"))
-    follows = np.append(same, np.zeros(longest, bool))
+    spoken = langs.dictionary_encode()
+    lang_keys = pc.binary_join_element_wise(_escaped(spoken.dictionary), pa.scalar(b""), pa.scalar(SEP))
+    columns, bits = [spoken.indices.to_numpy()[doc[:n]]], [int(len(lang_keys)).bit_length()]
+    reach, held = np.ones(n, bool), np.append(codes, np.zeros(longest, "i4"))
     for k in range(longest):
         columns.append(np.where(reach, held[k : k + n], 0))
         bits.append(int(len(names)).bit_length())
-        reach = reach & follows[k : k + n]
+        reach = follows[k : k + n] & (columns[-1] > 0)
     packed, room = [], 0
     for c, b in zip(columns, bits):
         if packed and b <= room:
             packed[-1] = packed[-1] << b | c
             room -= b
         else:
-            packed.append(c)
+            packed.append(c.astype("i8"))
             room = 63 - b
     order = np.lexsort(packed[::-1])
     new = np.zeros(n, bool)
@@ -106,42 +146,42 @@ def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, upto
         p = p[order]
         new[1:] |= p[1:] != p[:-1]
     first = np.nonzero(new)[0]
-    counts = np.diff(first, append=n)
     row = order[first]
-    parts = [lang_names.take(pa.array(columns[0][row] - 1))]
-    parts += [names.take(pa.array(c[row] - 1, mask=c[row] == 0)) for c in columns[1:]]
-    return pc.binary_join_element_wise(*parts, SEP, null_handling="skip"), counts
+    parts = [lang_keys.take(pa.array(columns[0][row]))]
+    for c in columns[1:]:
+        c = c[row]
+        parts.append(names.take(pa.array(c - 1, mask=c == 0)))
+    return pc.binary_join_element_wise(*parts, b"", null_handling="skip"), np.diff(first, append=n)
 
 
-def _part_end(raw: np.ndarray, a: int, together: int) -> int:
-    """After a blank or end of a piece at least `together` bytes behind a, or the end."""
-    at = a + together
+def _after_blank(raw: np.ndarray, at: int, step: int) -> int:
+    """One after the first blank or end of a piece that does not lie before `at`, or the end."""
     while at < len(raw):
-        hit = np.nonzero(_KIND[raw[at : at + together]])[0]
+        hit = np.nonzero(_KIND[raw[at : at + step]])[0]
         if len(hit):
             return at + int(hit[0]) + 1
-        at += together
+        at += step
     return len(raw)
 
 
-def count_windows(texts: pa.Array, langs: pa.Array, longest: int, together: int = TOGETHER) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """`windows` of many texts, some together, and very long ones in parts."""
+def _parts(texts: pa.Array, more: int, together: int = TOGETHER) -> Iterator[tuple[int, np.ndarray, np.ndarray, int | None]]:
+    """(first row, bytes, offsets of texts, None) of some texts together, or of a long text in parts, with `more` words after each and where the next begins."""
     at, lo = offsets(texts).astype("i8"), 0
     held = np.frombuffer(texts.buffers()[2] or b"", "u1")
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + together, "right")) - 1)
         raw = held[at[lo] : at[hi]]
         if hi > lo + 1 or len(raw) <= 2 * together:
-            yield windows(raw, at[lo : hi + 1] - at[lo], langs.slice(lo, hi - lo), longest)
+            yield lo, raw, at[lo : hi + 1] - at[lo], None
         else:
             a = 0
             while a < len(raw):
-                b = _part_end(raw, a, together)
-                e, more = b, 0
-                while e < len(raw) and more < longest:  # the last windows reach into the next part
-                    e = _part_end(raw, e, 0) if _KIND[raw[e]] == 0 else e + 1
-                    more += int(_KIND[raw[e - 2]] == 0)
-                yield windows(raw[a:e], np.array([0, e - a]), langs.slice(lo, 1), longest, b - a)
+                b = e = _after_blank(raw, a + together, 4096)
+                for _ in range(more):
+                    while e < len(raw) and _KIND[raw[e]]:
+                        e += 1
+                    e = _after_blank(raw, e, 64)
+                yield lo, raw[a:e], np.array([0, e - a]), b - a
                 a = b
         lo = hi
 
@@ -153,20 +193,30 @@ class _Runs:
         self.levels, self.least = longest + 1, least
         self.last, self.carry = None, np.zeros(self.levels, "i8")
         self.at_start = np.ones(self.levels, bool)
+        self.open: list[bytes] = []
 
     def add(self, keys: pa.Array, counts: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
         if self.last is not None:
             keys, counts = pa.concat_arrays([pa.array([self.last], pa.binary()), keys]), np.append(0, counts)
         at = offsets(keys).astype("i8")
         raw = np.frombuffer(keys.buffers()[2], "u1")[at[0] : at[-1]]
-        at, n = at - at[0], len(keys)
-        seps = np.nonzero(raw == SEP[0])[0]
-        cut = np.sort(np.concatenate([at[:-1], seps])).astype("i4")
-        codes = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.append(cut, np.int32(len(raw)))), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
-        row = np.searchsorted(at, cut, "right") - 1
-        level = np.arange(len(cut)) - np.searchsorted(cut, at[:-1])[row]
-        word, end = np.full((n, self.levels), -1), np.zeros((n, self.levels), "i8")
-        word[row, level], end[row, level] = codes, np.append(cut[1:], len(raw))
+        at = at - at[0]
+        tabs, n = np.nonzero(raw == SEP[0])[0], len(keys)
+        start, end = np.zeros((n, self.levels), "i8"), np.zeros((n, self.levels), "i8")
+        start[:, 0], stop = at[:-1], at[1:]
+        end[:, 0] = tabs[np.searchsorted(tabs, start[:, 0])] + 1
+        padded = np.append(raw, np.uint8(1))
+        for j in range(1, self.levels):
+            a = start[:, j] = end[:, j - 1]
+            first = padded[a]
+            size = np.where(first > ONE, 2, 1)
+            spelled = np.nonzero((first == 0) & (a < stop))[0]
+            size[spelled] = tabs[np.searchsorted(tabs, a[spelled])] + 1 - a[spelled]
+            end[:, j] = np.where(a < stop, a + size, a)
+        real = end > start
+        cut = np.append(start[real], len(raw)).astype("i4")
+        word = np.full((n, self.levels), -1)
+        word[real] = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
         same = np.zeros((n, self.levels), bool)
         same[1:] = np.logical_and.accumulate((word[1:] == word[:-1]) & (word[1:] >= 0), axis=1)
         total = np.append(0, np.cumsum(counts))
@@ -187,27 +237,30 @@ class _Runs:
                 out[2].append(int(sums[k]))
             self.carry[j] = sums[-1] if word[n - 1, j] >= 0 else 0
         self.last = held[at[n - 1] : at[n]]
+        self.open = [held[at[n - 1] : end[n - 1, j]] for j in range(self.levels) if real[n - 1, j]]
         return out
 
     def close(self) -> tuple[list[bytes], list[int], list[int]]:
         if self.last is None:
             return [], [], []
-        words = self.last.split(SEP)
-        return [SEP.join(words[: j + 1]) for j in range(len(words))], list(range(len(words))), [int(x) for x in self.carry[: len(words)]]
+        return self.open, list(range(len(self.open))), [int(x) for x in self.carry[: len(self.open)]]
+
 
+def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", range_bytes: int = RANGE_BYTES, coded: int = TABLE) -> DataFrame:
+    """(key, words, f): every phrase of up to `longest` words that occurs `least` times in a language, and, with 0 words, each language's words in all."""
+    docs = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).cast("binary").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("bytes"))
 
-def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, id_text: str = "text", id_lang: str = "lang", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(key, words, f) in prefix order: every phrase of up to `longest` words that occurs `least` times in a language, and, with 0 words, each language's words in all."""
-    docs = docs.select(F.coalesce(F.col(id_lang), F.lit("und")).cast("binary").alias("lang"), F.coalesce(F.col(id_text), F.lit("")).cast("binary").alias("text"), F.octet_length(F.coalesce(F.col(id_text), F.lit(""))).alias("bytes"))
+    table = frequent_words(docs, least, coded)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, counts in count_windows(batch.column("text"), batch.column("lang"), longest):
+            for row, raw, at, upto in _parts(batch.column("text"), longest):
+                keys, counts = windows(raw, at, batch.column("lang").slice(row, len(at) - 1), longest, table, upto)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], names=["key", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(longest, least)
-        told = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.binary()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["key", "words", "c"])
+        told = lambda x: pa.RecordBatch.from_arrays([pa.array([table.phrase(k) for k in x[0]], pa.binary()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["key", "words", "c"])
         for batch in batches:
             if batch.num_rows:
                 yield told(runs.add(batch.column("key"), batch.column("c").to_numpy()))
@@ -220,6 +273,21 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, id_tex
     return materialise(sums.where((F.col("f") >= least) | (F.col("words") == 0)).select(F.col("key").cast("string").alias("key"), "words", "f"), "frequent")
 
 
+def frequent_words(docs: DataFrame, least: int, most: int = TABLE) -> Table:
+    """The `most` words that occur most often in all languages together, at least `least` times."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, raw, at, _ in _parts(batch.column("text"), 0):
+                coded = split_words(raw, at)[1]
+                counts = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(counts, pa.int64())], names=["word", "c"])
+
+    words = materialise(map_batches(docs.select("text"), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= least), "words")
+    short = words.where(F.octet_length("word") <= SHORT).orderBy(F.desc("c"), "word").limit(most).collect()
+    return Table([bytes(r["word"]) for r in short], words.count() <= len(short))
+
+
 def _by_length(counts: DataFrame, longest: int) -> dict[int, DataFrame]:
     """By number of words: key, f, head (without the last word), tail (without the first) and the counts left and right of each cut."""
     tab, none = SEP.decode(), F.array().cast("array<long>")
@@ -233,10 +301,10 @@ def _by_length(counts: DataFrame, longest: int) -> dict[int, DataFrame]:
     return out
 
 
-def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def mine(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, text_col: str = "text", lang_col: str = "lang", **sizes: int) -> DataFrame:
     """Every phrase of 2 to `longest` words that occurs `least` times and in no longer such phrase `share` percent as often: lang, phrase, a, l, r, n, score, cut."""
     tab = SEP.decode()
-    counts = frequent(docs, longest, least, text_col, lang_col)
+    counts = frequent(docs, longest, least, text_col, lang_col, **sizes)
     lengths = _by_length(counts, longest)
     columns = ["key", "f", "lefts", "rights"]
     phrases = lengths[2].select(*columns)

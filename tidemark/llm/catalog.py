@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bloom_lookup, collocations, decontamination, gru_lm, license_templates, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index
+from tidemark.llm import bloom_lookup, collocations, decontamination, gru_lm, license_templates, line_blocks, packing, secret_trigrams, sharding, toxicity, warc_index, whitening
 from tidemark.llm.common import table, work_dir
 from tidemark.llm.simhash_pivots import simhash_components
 
@@ -79,6 +79,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read_records(index, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_incremental_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("license")
     joined = lambda labels: F.array_join(labels, ",")
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_trigrams": op8_secret_trigrams,
     "op9_gru": op9_gru,
     "op10_warc_index": op10_warc_index,
+    "op11_incremental_whitening": op11_incremental_whitening,
     "op12_license_templates": op12_license_templates,
     "op13_stream_collocations": op13_stream_collocations,
 }

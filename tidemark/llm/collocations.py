@@ -6,7 +6,7 @@ with it, so one sorted stream holds the counts of all lengths, and no table of c
 kept by length. Each length is joined with the next shorter one twice by sort-merge joins, in prefix order (without its last word) and in
 suffix order (without its first word): that gives the counts left and right of every cut, and the most frequent extension of each phrase.
 
-The most frequent words of all (TABLE of them, whatever the size of the input) stand in a key as one or two bytes, other words are spelled.
+The most frequent words of all (TABLE of them, whatever the size of the input) stand in a key as one to three bytes, other words are spelled.
 Where the table holds every word that occurs often enough, a window ends before any other word, which no phrase of the result can hold.
 
 Defined results: a text that is null or holds no words gives nothing; a null language is `und`; a repeated row counts again; very long
@@ -38,9 +38,9 @@ RANGE_BYTES = 48 << 20
 SEP = b"\t"
 #: Bytes up to this one are spelled as this byte and a printable one.
 ESCAPE = 10
-#: Words with codes: ONE of one byte, the others of two; none of them longer than SHORT bytes.
-ONE, SHORT = 127, 64
-TABLE = ONE + 128 * 256
+#: Words with codes: ONE of one byte, TWO of two, the others of three; none of them longer than SHORT bytes.
+ONE, TWO, SHORT = 127, 64 * 256, 64
+TABLE = 1 << 18
 
 _KIND = np.zeros(256, "u1")
 _KIND[list(BLANKS)], _KIND[list(ENDS)] = 1, 2
@@ -49,8 +49,8 @@ _LOW[65:91] += 32
 
 
 def _escaped(words: pa.Array) -> pa.Array:
-    held = words.buffers()[2]
-    if held is None or not (np.frombuffer(held, "u1") <= ESCAPE).any():
+    at, held = offsets(words), words.buffers()[2]
+    if held is None or not (np.frombuffer(held, "u1")[at[0] : at[-1]] <= ESCAPE).any():
         return words
     return pa.array([b"".join(bytes((ESCAPE, b + 48)) if b <= ESCAPE else bytes((b,)) for b in w) for w in words.to_pylist()], pa.binary())
 
@@ -62,16 +62,18 @@ def unescaped(column):
 
 
 class Table:
-    """Codes of frequent words: byte 1 to 127, or a byte from 128 and another; byte 0 begins a spelled word. complete: no other word is frequent."""
+    """Codes of frequent words: a byte from 1 to 127, or one from 128 and another, or one from 192 and two; byte 0 begins a spelled word. complete: no other word is frequent."""
 
     def __init__(self, words: list[bytes], complete: bool):
-        self.words, self.complete = words, complete
-        self.codes = [bytes((k + 1,)) if k < ONE else bytes((128 + (k - ONE >> 8), k - ONE & 255)) for k in range(len(words))]
+        self.words, self.complete = pa.array(words, pa.binary()), complete
+        codes = [bytes((k + 1,)) for k in range(min(ONE, len(words)))]
+        codes += [(k + (128 << 8)).to_bytes(2) for k in range(min(TWO, len(words) - len(codes)))]
+        self.codes = pa.array(codes + [(k + (192 << 16)).to_bytes(3) for k in range(len(words) - len(codes))], pa.binary())
 
     def keys(self, names: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words' keys, and which of them end a window."""
-        place = pc.index_in(names, pa.array(self.words, pa.binary()))
-        coded, other = pa.array(self.codes, pa.binary()).take(place), place.is_null().to_numpy(zero_copy_only=False)
+        place = pc.index_in(names, self.words)
+        coded, other = self.codes.take(place), place.is_null().to_numpy(zero_copy_only=False)
         if self.complete or not other.any():
             return pc.fill_null(coded, b""), other
         spelled = pc.binary_join_element_wise(pa.scalar(b"\0"), _escaped(names), pa.scalar(SEP), pa.scalar(b""))
@@ -83,10 +85,11 @@ class Table:
         out = [key[:at]]
         at += 1
         while at < len(key):
-            if key[at]:
-                two = key[at] > ONE
-                out.append(_escaped(pa.array([self.words[ONE + (key[at] - 128 << 8) + key[at + 1] if two else key[at] - 1]], pa.binary()))[0].as_py())
-                at += 1 + two
+            if first := key[at]:
+                size, base = (1, -1) if first <= ONE else (2, ONE - (128 << 8)) if first < 192 else (3, ONE + TWO - (192 << 16))
+                word = self.words.slice(int.from_bytes(key[at : at + size]) + base, 1)
+                out.append(_escaped(word)[0].as_py())
+                at += size
             else:
                 end = key.index(SEP, at)
                 out.append(key[at + 1 : end])
@@ -209,7 +212,7 @@ class _Runs:
         for j in range(1, self.levels):
             a = start[:, j] = end[:, j - 1]
             first = padded[a]
-            size = np.where(first > ONE, 2, 1)
+            size = 1 + (first > ONE) + (first >= 192)
             spelled = np.nonzero((first == 0) & (a < stop))[0]
             size[spelled] = tabs[np.searchsorted(tabs, a[spelled])] + 1 - a[spelled]
             end[:, j] = np.where(a < stop, a + size, a)

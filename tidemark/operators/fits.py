@@ -80,7 +80,7 @@ def low_score_rho(rows: DataFrame, x: str, y: str, left_n: str, right_n: str, ro
 def elo(rows: DataFrame, pool: str, at: str, known_at: str, key: str, left: str, right: str, y: str, k: float = 20.0, edge: float = 60.0) -> DataFrame:
     """rows with the ratings of both entities before each contest, from the results known by its time: contests that start together never see each other.
 
-    A result moves both ratings once it is known, by what the ratings before its contest said. Pools are independent; a pool is replayed in
+    A result moves both ratings once it is known, by what the ratings before its contest said; a contest without one is rated and moves nothing. Pools are independent; a pool is replayed in
     order by one task, which holds its entities' ratings and the results that are not known yet.
     """
     kind = lambda c: rows.schema[c].dataType.simpleString()
@@ -104,10 +104,11 @@ def elo(rows: DataFrame, pool: str, at: str, known_at: str, key: str, left: str,
                 a.append(u)
                 b.append(v)
                 expected = 1 / (1 + 10 ** (-(u + edge - v) / 400))
-                heapq.heappush(waiting, (known, n, i, j, k * ((1.0, 0.5, 0.0)[int(o)] - expected)))
+                if not (pd.isna(o) or pd.isna(known)):
+                    heapq.heappush(waiting, (known, n, i, j, k * ((1.0, 0.5, 0.0)[int(o)] - expected)))
             yield pd.DataFrame({pool: pdf[pool], key: pdf[key], "left_rating": a, "right_rating": b})
 
-    ordered = rows.select(pool, at, known_at, key, left, right, y).dropna().repartition(pool).sortWithinPartitions(pool, at, key)
+    ordered = rows.select(pool, at, known_at, key, left, right, y).dropna(subset=[pool, at, key, left, right]).repartition(pool).sortWithinPartitions(pool, at, key)
     return ordered.mapInPandas(run, schema)
 
 

@@ -78,9 +78,11 @@ def test_parts_of_a_long_text(spark, monkeypatch):
     def counted(together):
         out = Counter()
         for row, raw, at, upto in co._parts(pa.array([text.encode()], pa.binary()), 5, together):
-            keys, counts = co.windows(raw, at, pa.array([b"en"], pa.binary()), 5, table, upto)
-            for k, c in zip(keys.to_pylist(), counts.tolist()):
-                out[table.phrase(k)] += c
+            for k in co.windows(raw, at, pa.array([b"en"], pa.binary()), 5, table, upto).to_pylist():
+                runs = co._Runs(5, 1)
+                runs.add(pa.array([k], pa.binary()))
+                held, _, counts = runs.close()
+                out[table.phrase(held[-1])] += counts[-1]
         return out
 
     assert counted(7) == counted(64) == counted(1 << 20)

@@ -38,8 +38,10 @@ RANGE_BYTES = 48 << 20
 SEP = b"\t"
 #: Bytes up to this one are spelled as this byte and a printable one.
 ESCAPE = 10
+#: Ends the words of a key whose count is not 1; the count follows.
+TIMES = b"\x01"
 #: Words with codes: ONE of one byte, TWO of two, the others of three; none of them longer than SHORT bytes.
-ONE, TWO, SHORT = 127, 64 * 256, 64
+ONE, TWO, SHORT = 126, 64 * 256, 64
 TABLE = 1 << 18
 
 _KIND = np.zeros(256, "u1")
@@ -62,11 +64,11 @@ def unescaped(column):
 
 
 class Table:
-    """Codes of frequent words: a byte from 1 to 127, or one from 128 and another, or one from 192 and two; byte 0 begins a spelled word. complete: no other word is frequent."""
+    """Codes of frequent words: a byte from 2 to 127, or one from 128 and another, or one from 192 and two; byte 0 begins a spelled word. complete: no other word is frequent."""
 
     def __init__(self, words: list[bytes], complete: bool):
         self.words, self.complete = pa.array(words, pa.binary()), complete
-        codes = [bytes((k + 1,)) for k in range(min(ONE, len(words)))]
+        codes = [bytes((k + 2,)) for k in range(min(ONE, len(words)))]
         codes += [(k + (128 << 8)).to_bytes(2) for k in range(min(TWO, len(words) - len(codes)))]
         self.codes = pa.array(codes + [(k + (192 << 16)).to_bytes(3) for k in range(len(words) - len(codes))], pa.binary())
 
@@ -80,13 +82,13 @@ class Table:
         return pc.if_else(pa.array(other), spelled, coded), np.zeros(len(names), bool)
 
     def phrase(self, key: bytes) -> bytes:
-        """Language and words of a key, parted by SEP."""
+        """Language and words of a key without count, parted by SEP."""
         at = key.index(SEP)
         out = [key[:at]]
         at += 1
         while at < len(key):
             if first := key[at]:
-                size, base = (1, -1) if first <= ONE else (2, ONE - (128 << 8)) if first < 192 else (3, ONE + TWO - (192 << 16))
+                size, base = (1, -2) if first < 128 else (2, ONE - (128 << 8)) if first < 192 else (3, ONE + TWO - (192 << 16))
                 word = self.words.slice(int.from_bytes(key[at : at + size]) + base, 1)
                 out.append(_escaped(word)[0].as_py())
                 at += size
@@ -110,11 +112,11 @@ def split_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, pa.Diction
     return starts, pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(lies), pa.py_buffer(_LOW[raw[word]])]).dictionary_encode()
 
 
-def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, table: Table, upto: int | None = None) -> tuple[pa.Array, np.ndarray]:
-    """(keys in order, counts) of the windows in texts that lie in `raw` at the offsets `at`. upto: only windows that start before it."""
+def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, table: Table, upto: int | None = None) -> pa.Array:
+    """Keys in order, with counts, of the windows in texts that lie in `raw` at the offsets `at`. upto: only windows that start before it."""
     starts, coded = split_words(raw, at)
     if not len(starts):
-        return pa.array([], pa.binary()), np.zeros(0, "i8")
+        return pa.array([], pa.binary())
     keys, ending = table.keys(coded.dictionary)
     order = pc.array_sort_indices(keys).to_numpy()
     place = np.empty(len(order), "i4")
@@ -154,7 +156,9 @@ def windows(raw: np.ndarray, at: np.ndarray, langs: pa.Array, longest: int, tabl
     for c in columns[1:]:
         c = c[row]
         parts.append(names.take(pa.array(c - 1, mask=c == 0)))
-    return pc.binary_join_element_wise(*parts, b"", null_handling="skip"), np.diff(first, append=n)
+    counts, which = np.unique(np.diff(first, append=n), return_inverse=True)
+    times = pa.array([TIMES + c.to_bytes((c.bit_length() + 7) // 8) if c > 1 else None for c in counts.tolist()], pa.binary())
+    return pc.binary_join_element_wise(*parts, times.take(pa.array(which)), b"", null_handling="skip")
 
 
 def _after_blank(raw: np.ndarray, at: int, step: int) -> int:
@@ -198,28 +202,38 @@ class _Runs:
         self.at_start = np.ones(self.levels, bool)
         self.open: list[bytes] = []
 
-    def add(self, keys: pa.Array, counts: np.ndarray) -> tuple[list[bytes], list[int], list[int]]:
+    def add(self, keys: pa.Array) -> tuple[list[bytes], list[int], list[int]]:
+        """keys: with counts, none of them null."""
+        first_key = int(self.last is None)
         if self.last is not None:
-            keys, counts = pa.concat_arrays([pa.array([self.last], pa.binary()), keys]), np.append(0, counts)
-        at = offsets(keys).astype("i8")
+            keys = pa.concat_arrays([pa.array([self.last], pa.binary()), keys])
+        at, n = offsets(keys).astype("i8"), len(keys)
         raw = np.frombuffer(keys.buffers()[2], "u1")[at[0] : at[-1]]
         at = at - at[0]
-        tabs, n = np.nonzero(raw == SEP[0])[0], len(keys)
-        start, end = np.zeros((n, self.levels), "i8"), np.zeros((n, self.levels), "i8")
+        tabs = np.nonzero(raw == SEP[0])[0]
+        start, end = np.zeros((n, self.levels + 1), "i8"), np.zeros((n, self.levels + 1), "i8")
         start[:, 0], stop = at[:-1], at[1:]
         end[:, 0] = tabs[np.searchsorted(tabs, start[:, 0])] + 1
-        padded = np.append(raw, np.uint8(1))
+        padded = np.append(raw, TIMES[0])
         for j in range(1, self.levels):
             a = start[:, j] = end[:, j - 1]
             first = padded[a]
-            size = 1 + (first > ONE) + (first >= 192)
+            size = 1 + (first >= 128) + (first >= 192)
             spelled = np.nonzero((first == 0) & (a < stop))[0]
             size[spelled] = tabs[np.searchsorted(tabs, a[spelled])] + 1 - a[spelled]
-            end[:, j] = np.where(a < stop, a + size, a)
+            end[:, j] = np.where((a < stop) & (first != TIMES[0]), a + size, a)
+        words_end = start[:, -1] = end[:, -2]
+        end[:, -1] = stop
+        counts, places = np.ones(n, "i8"), stop - words_end - 1
+        for k in range(int(places.max(initial=0))):
+            more = places > k
+            counts[more] = (counts[more] << 8 if k else 0) | raw[words_end[more] + 1 + k]
+        counts[: 1 - first_key] = 0  # the last key of before
         real = end > start
         cut = np.append(start[real], len(raw)).astype("i4")
-        word = np.full((n, self.levels), -1)
+        word = np.full((n, self.levels + 1), -1)
         word[real] = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
+        word = word[:, :-1]
         same = np.zeros((n, self.levels), bool)
         same[1:] = np.logical_and.accumulate((word[1:] == word[:-1]) & (word[1:] >= 0), axis=1)
         total = np.append(0, np.cumsum(counts))
@@ -239,7 +253,7 @@ class _Runs:
                 out[1].append(j)
                 out[2].append(int(sums[k]))
             self.carry[j] = sums[-1] if word[n - 1, j] >= 0 else 0
-        self.last = held[at[n - 1] : at[n]]
+        self.last = held[at[n - 1] : words_end[n - 1]]
         self.open = [held[at[n - 1] : end[n - 1, j]] for j in range(self.levels) if real[n - 1, j]]
         return out
 
@@ -258,19 +272,18 @@ def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text_c
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, raw, at, upto in _parts(batch.column("text"), longest):
-                keys, counts = windows(raw, at, batch.column("lang").slice(row, len(at) - 1), longest, table, upto)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64())], names=["key", "c"])
+                yield pa.RecordBatch.from_arrays([windows(raw, at, batch.column("lang").slice(row, len(at) - 1), longest, table, upto)], names=["key"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = _Runs(longest, least)
         told = lambda x: pa.RecordBatch.from_arrays([pa.array([table.phrase(k) for k in x[0]], pa.binary()), pa.array(x[1], pa.int32()), pa.array(x[2], pa.int64())], names=["key", "words", "c"])
         for batch in batches:
             if batch.num_rows:
-                yield told(runs.add(batch.column("key"), batch.column("c").to_numpy()))
+                yield told(runs.add(batch.column("key")))
         yield told(runs.close())
 
     size = docs.agg(F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()[0]
-    stream = materialise(map_batches(docs.select("lang", "text"), count, "key binary, c long"), "windows")
+    stream = map_batches(docs.select("lang", "text"), count, "key binary")  # made twice, as ranges are drawn first: cheaper than a copy on disk
     ordered = stream.repartitionByRange(max(1, -(-size // range_bytes)), "key").sortWithinPartitions("key")
     sums = map_batches(ordered, add, "key binary, words int, c long").groupBy("key", "words").agg(F.sum("c").alias("f"))
     return materialise(sums.where((F.col("f") >= least) | (F.col("words") == 0)).select(F.col("key").cast("string").alias("key"), "words", "f"), "frequent")

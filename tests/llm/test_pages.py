@@ -176,3 +176,16 @@ def test_one_payload_many_times_without_broadcast(spark):
             assert kind == {("revisit", 9998): 8999, ("response", None): 1001}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+OPEN = [
+    ("<html><head><title>t</title><body><article><p>long text</p></article></body></html>", "long text"),
+    ("<html><head><title>t</title><meta charset=utf-8><style>p {}</style><article><p>long text</article>", "long text"),
+    ("<head><title>t</title></head><article><p>Value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>na<svg><path/></svg>ive</p></article>", "Value x=2 holds\nnaive"),
+    ("<article><p>one<script>var a = '<p>';</script> two</p><object data=x>seen instead</object></article>", "one two\nseen instead"),
+]
+
+
+@pytest.mark.parametrize("page, text", OPEN)
+def test_open_heads_and_inline_elements(page, text):
+    assert lb.main_text(page) == text

@@ -15,7 +15,8 @@ a form with the fullest window of the page. Parts of names that tell of the layo
 h1 ends the skipping around it.
 
 Null or empty html has an empty text. Unclosed elements end where the element around them ends; an article that opens inside a skipped
-element that is no comment section ends the skipping. Repeated rows are extracted as often as they stand. Columns of any name are kept,
+element that is no comment section ends the skipping. A head needs no end: only its title, scripts and styles are passed over, as such elements are
+anywhere, without parting words. Fallback text of objects and the text of formulas stay. Repeated rows are extracted as often as they stand. Columns of any name are kept,
 except that a `text` or `n_chars` of the table itself gives way to the result's.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import map_batches, own_names
 
 WINDOW, SURGE = 3, 80
 #: Characters of a window from which a named element may hold the text of a page that has none elsewhere.
@@ -39,17 +40,19 @@ HELD = 240
 LINKS = 0.6
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|head|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-z!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Elements of the HTML standard by their role.
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 SKIPPED = frozenset("nav header footer aside form menu dialog button fieldset".split())
+#: Elements without text of their own that part no words.
+INLINE = frozenset("script style noscript template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HINT = re.compile(
     r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))",
@@ -135,7 +138,8 @@ def lines(page: str, read: frozenset[int] = frozenset()) -> tuple[list[tuple[str
         tag = (m["tag"] or "").lower()
         if not tag:
             if m["raw"]:
-                end_line() if m["raw"].lower() != "svg" else text.append(" ")
+                if m["raw"].lower() not in INLINE:
+                    end_line()
             continue
         closing = bool(m["close"])
         if tag == "a":
@@ -227,9 +231,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     return "\n".join(t for part in parts[surges[0] : surges[-1] + 1] for t, state in part if state == COUNTS)
 
 
+@own_names
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """The rows of pages (without the html) with text and n_chars, its code points."""
-    kept = [f for f in pages.schema.fields if f.name not in (html_col, "text", "n_chars")]
+    kept = [f for f in pages.schema.fields if f.name.lower() not in (html_col.lower(), "text", "n_chars")]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

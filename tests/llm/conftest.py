@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-CLASH = "fp int, content string, bucket int, part int, carried int, word string, kind int, block int, ids string, low string, found string, score double, learnt int, tail string, x string, __uid2 int"
+CLASH = "fp int, content string, bucket int, part int, carried int, word string, kind int, block int, ids string, low string, found string, score double, learnt int, tail string, x string, __uid2 int, __uid int, __text string, __found int, __kinds string, __content int, __bits int, __size int, __bands int, __id int, __html int, toxicity0 int, column_0 int"
 LONG = "Une phrase assez longue pour compter. " * 30_000
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -33,10 +34,32 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def own_names(f: Callable) -> Callable:
+    """f of a table, whose columns that begin with two underscores bear other names meanwhile: those names are the operator's own. Names given to f follow."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **named) -> DataFrame:
+        taken, other = {c.lower() for c in docs.columns}, {}
+        for c in docs.columns:
+            if c.startswith("__"):
+                k = next(k for k in range(len(taken) + 1) if f"column_{k}" not in taken)
+                other[c] = f"column_{k}"
+                taken.add(other[c])
+        if not other:
+            return f(docs, *args, **named)
+        turn = lambda x: other.get(x, x) if isinstance(x, str) else [turn(y) for y in x] if isinstance(x, list) else x
+        out = f(docs.withColumnsRenamed(other), *map(turn, args), **{k: turn(v) for k, v in named.items()})
+        return out.withColumnsRenamed({b: a for a, b in other.items() if b in out.columns and a not in out.columns})
+
+    return run
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of spark.checkpoint.dir (a new local folder is set only where it is unset)."""
+    """A fresh path in the shared folder of spark.checkpoint.dir (a new local folder is set only where it is unset, and only for a local master)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

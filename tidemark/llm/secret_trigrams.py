@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import own_names
+
 try:
     from re import _constants as sc
     from re import _parser as sp
@@ -153,8 +155,9 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     return F.aggregate(steps, start, step, lambda acc: acc.spans)
 
 
+@own_names
 def scan(docs: DataFrame, rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with `__found`: the spans (start, order, end, kind) of all rules in order of start, then of the rules."""
+    """The rows of docs with `__found` (a column of that name gives way): the spans (start, order, end, kind) of all rules in order of start, then of the rules."""
     rules = RULES if rules is None else rules
     indexed = [r for r in rules if trigram_query(r.regex)]
     wanted = sorted({t for r in indexed for run in trigram_query(r.regex) for alternative in run for t in alternative})
@@ -178,6 +181,7 @@ def span_text(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
 
 
+@own_names
 def redact(docs: DataFrame, mask: str = "[secret]", rules: list[Rule] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every found span replaced by the mask; spans that overlap are replaced as one. Columns are those of docs; nulls stay null."""
     found = scan(docs, rules, id_col, text_col)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import connected_components, map_batches, materialise
+from tidemark.llm.common import connected_components, map_batches, materialise, own_names
 
 SEED = 42
 #: Members of one block that are compared pair by pair; larger blocks go by centres.
@@ -269,6 +269,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(sized & (both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both))).select("a", "b")
 
 
+@own_names
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """The rows of docs without near duplicates: of each group of linked texts the row with the smallest id stays (rows without id last).
 

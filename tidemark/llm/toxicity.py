@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches, materialise
+from tidemark.llm.common import map_batches, materialise, own_names
 
 MAX_ROWS = 20_000
 #: Common insults.
@@ -184,6 +184,7 @@ def learn_lexicon(texts: DataFrame, text_col: str, size: int = LEXICON, least_ro
     return {r["word"]: float(r["odds"]) for r in top.collect()}
 
 
+@own_names
 def with_features(docs: DataFrame, lexicon: dict[str, float], keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns with `x`: the features of each whole text."""
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("x", T.ArrayType(T.FloatType(), False))])
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: str = "doc_
     return _fit([tuple(r) for r in rows], lexicon)
 
 
+@own_names
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """The kept columns (all by default) with `score_col`: the calibrated probability that a row is toxic."""
     keep = docs.columns if keep is None else keep

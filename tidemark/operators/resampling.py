@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,16 +23,37 @@ def block_bootstrap(rows: DataFrame, block: str, values: list[str], draws: int =
     return point.join(spread, "value")
 
 
-def poisson_bootstrap(rows: DataFrame, key: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """(draw, mean) with Poisson(1) weights by hash of key and draw: no shuffle of the rows, one partial sum a task and draw."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key, "draw"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    weight, upto, term = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for n in range(1, 9):
-        weight = weight + (u > upto).cast("int")
-        term /= n
-        upto += term
-    many = rows.select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
-    return many.groupBy("draw").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+#: Parts that the distinct values are dealt to, so that a draw is made by many tasks.
+PARTS = 32
+
+
+def _counted(rows: DataFrame, value: str, label: str | None = None) -> DataFrame:
+    """(part, v, n, k): the rows of each distinct value, and those of them that the label holds."""
+    kept = rows.select(F.col(value).cast("double").alias("v"), (F.lit(False) if label is None else F.col(label)).alias("g")).dropna()
+    return kept.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.col("g").cast("long")).alias("k")).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)))
+
+
+def poisson_bootstrap(rows: DataFrame, value: str, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(draw, mean): the mean of rows that each weigh Poisson(1). The n rows of one value weigh Poisson(n) together, so the work is values times draws, not rows times draws."""
+
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        cells = cells.sort_values("v")
+        n, v = cells["n"].to_numpy(), cells["v"].to_numpy()
+        out = []
+        for draw in range(draws):
+            w = np.random.default_rng([seed, draw, int(key[0])]).poisson(n)
+            out.append((draw, float(w @ v), int(w.sum())))
+        return pd.DataFrame(out, columns=["draw", "s", "w"])
+
+    parts = _counted(rows, value).groupBy("part").applyInPandas(run, "draw long, s double, w long")
+    return parts.groupBy("draw").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+
+
+def bootstrap_interval(rows: DataFrame, value: str, draws: int = 500, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """(n, mean, low, high): percentile interval of the mean under row weights."""
+    tail = (1 - level) / 2
+    spread = poisson_bootstrap(rows, value, draws, seed).agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
+    return rows.agg(F.count(value).alias("n"), F.avg(F.col(value).cast("double")).alias("mean")).crossJoin(spread)
 
 
 def holm(hypotheses: DataFrame, p: str, ids: list[str], alpha: float = 0.05) -> DataFrame:
@@ -41,22 +64,37 @@ def holm(hypotheses: DataFrame, p: str, ids: list[str], alpha: float = 0.05) ->
     return hypotheses.withColumn("__ok", ok).withColumn("passes", F.min("__ok").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__ok")
 
 
-def permutation_p(rows: DataFrame, value: str, group: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """(gap, p) of the difference of means between rows where `group` holds and the others, under relabelling by hash.
+#: Rows that numpy's hypergeometric draws can tell apart.
+MOST_ROWS = 10**9
+
+
+def permutation_p(rows: DataFrame, value: str, group: str, draws: int = 500, seed: int = 0) -> DataFrame:
+    """(gap, p): the difference of means between rows where `group` holds and the others, and how often a relabelling gives one as large.
 
-    Values are counted first: a draw splits the count of each distinct value, so the work is values times draws, not rows times draws.
+    A relabelling gives the rows of a value a hypergeometric number of labels. The labels are first dealt to parts of the values, alike in every task, then within each
+    part to its values: together that is an exact draw, at values times draws. Ties count as large (to 12 digits). Null where one side is empty; up to 10^9 rows.
     """
-    cells = rows.select(F.col(value).alias("v"), F.col(group).alias("g")).dropna().groupBy("v").agg(F.count("*").alias("n"), F.sum(F.col("g").cast("long")).alias("k"))
-    whole = cells.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"), F.sum(F.col("v") * F.col("n")).alias("all_v"), F.sum(F.col("v") * F.col("k")).alias("in_v"))
-    gap = lambda a, k, s, n: a / k - (s - a) / (n - k)
-    spark = rows.sparkSession
-    # a normal draw of each value's share, corrected so that the shares add up to K: the large-sample law of a random relabelling
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "v"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    w = (F.pmod(F.xxhash64(F.lit(seed + 1), "draw", "v"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * w)
-    drawn = cells.join(F.broadcast(whole)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("share", F.col("all_k") / F.col("all_n"))
-    drawn = drawn.withColumn("d", z * F.sqrt(F.col("n") * F.col("share") * (1 - F.col("share"))))
-    sums = drawn.groupBy("draw").agg(F.sum("d").alias("e"), F.sum(F.col("v") * F.col("d")).alias("vd"), F.first("all_n").alias("all_n"), F.first("all_k").alias("all_k"), F.first("all_v").alias("all_v"), F.first("in_v").alias("in_v"))
-    null = sums.withColumn("a", F.col("all_k") / F.col("all_n") * F.col("all_v") + F.col("vd") - F.col("e") * F.col("all_v") / F.col("all_n"))
-    seen, other = gap(F.col("in_v"), F.col("all_k"), F.col("all_v"), F.col("all_n")), gap(F.col("a"), F.col("all_k"), F.col("all_v"), F.col("all_n"))
-    return null.agg(F.first(seen).alias("gap"), ((F.sum((F.abs(other) >= F.abs(seen)).cast("int")) + 1) / (F.count("*") + 1)).alias("p"))
+    cells = _counted(rows, value, group)
+    sums = cells.groupBy("part").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("k") * F.col("v")).alias("t")).orderBy("part").collect()
+    n, k = sum(r["n"] for r in sums), sum(r["k"] for r in sums)
+    if not 0 < k < n:
+        return rows.sparkSession.createDataFrame([(None, None)], "gap double, p double")
+    if n >= MOST_ROWS:
+        raise ValueError(f"{n} rows; exact relabelling holds for fewer than {MOST_ROWS}")
+    whole, own = sum(r["s"] for r in sums), sum(r["t"] for r in sums)
+    names, sizes = [r["part"] for r in sums], np.array([r["n"] for r in sums])
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("v")
+        count, v, place = part["n"].to_numpy(), part["v"].to_numpy(), names.index(key[0])
+        out = []
+        for draw in range(draws):
+            mine = np.random.default_rng([seed, draw]).multivariate_hypergeometric(sizes, k, method="marginals")[place]
+            out.append((draw, float(np.random.default_rng([seed, draw, int(key[0]) + 1]).multivariate_hypergeometric(count, mine, method="marginals") @ v)))
+        return pd.DataFrame(out, columns=["draw", "t"])
+
+    gap = lambda t: t / k - (whole - t) / (n - k)
+    null = cells.groupBy("part").applyInPandas(run, "draw long, t double").groupBy("draw").agg(F.sum("t").alias("t"))
+    seen = float(gap(own))
+    as_large = F.sum((F.abs(gap(F.col("t"))) >= abs(seen) * (1 - 1e-12)).cast("int"))
+    return null.agg(F.lit(seen).alias("gap"), ((as_large + 1) / (F.count("*") + 1)).alias("p"))

@@ -1,14 +1,16 @@
-"""Suggestions for unknown names, usual members of sets, exact resampling."""
+"""Suggestions for unknown names, usual members of sets, exact resampling, keyed calibrators and stacking."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scores
+from tidemark.operators import softmax
 from tidemark.operators.features import usual_members
 from tidemark.operators.resampling import bootstrap_interval
 from tidemark.operators.suggest import suggestions
 from tidemark.plans.registry import Registry
-from tidemark.sources.tables import contests, read_table
+from tidemark.sources.tables import contests, forecasts, models, read_table
 
 query = Registry()
 LEAST, OFTEN = 0.75, 20
@@ -40,3 +42,36 @@ def usual_set(spark, sf):
 def row_bootstrap(spark, sf):
     """MET6: percentile interval of the mean count under row weights, values times draws."""
     return bootstrap_interval(contests(spark, sf), "left_n", draws=500, seed=3)
+
+
+def _windows(spark, sf):
+    m = models(forecasts(contests(spark, sf)))
+    return m.withColumn("p", F.array("p0", "p1", "p2")).withColumn("early", F.col("event_ts") < F.expr("timestamp '2024-01-15'"))
+
+
+@query()
+def calibrators(spark, sf):
+    """FIT9 and PRB11: four families of calibrators of every model, fitted on the earlier window and scored on the later one."""
+    m = _windows(spark, sf)
+    out = None
+    for name, family in softmax.CALIBRATORS.items():
+        features, start = family(F.col("p"))
+        fitted = softmax.fit(m.where("early"), ["model_id"], F.col("y"), features, start, ridge=1.0)
+        q = m.where("not early").join(fitted, "model_id").withColumn("q", softmax.probabilities(features, F.col("theta")))
+        part = q.groupBy("model_id").agg(
+            F.lit(name).alias("method"), F.first("status").alias("status"), F.first("n").alias("fit_n"), F.first("theta").alias("theta"), F.count("*").alias("n"),
+            F.avg(scores.log_loss(F.col("p"), F.col("y"))).alias("loss_before"), F.avg(scores.log_loss(F.col("q"), F.col("y"))).alias("loss_after"),
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def stacking(spark, sf):
+    """FIT13: weights of a log-linear pool of two models by pool, fitted on the earlier window, against their plain mean on the later one."""
+    m = _windows(spark, sf)
+    both = m.where("model_id = 1").select("contest_id", "pool", "y", "early", F.col("p").alias("a")).join(m.where("model_id = 2").select("contest_id", F.col("p").alias("b")), "contest_id")
+    features, start = softmax.stack([F.col("a"), F.col("b")])
+    fitted = softmax.fit(both.where("early"), ["pool"], F.col("y"), features, start, ridge=5.0, least_rows=30)
+    q = both.where("not early").join(fitted, "pool").withColumn("q", softmax.probabilities(features, F.col("theta"))).withColumn("plain", F.zip_with("a", "b", lambda x, z: (x + z) / 2))
+    return q.groupBy("pool").agg(F.first("status").alias("status"), F.first("theta").alias("theta"), F.count("*").alias("n"), F.avg(scores.log_loss(F.col("q"), F.col("y"))).alias("loss"), F.avg(scores.log_loss(F.col("plain"), F.col("y"))).alias("loss_of_mean"))

@@ -20,10 +20,11 @@ def frequencies(rows: DataFrame, pool: str, y: str, classes: int = 3, weight: fl
 
 
 def logistic(rows: DataFrame, features: list[Column], y: Column, steps: int = 12, ridge: float = 1e-6) -> list[float]:
-    """Intercept and slopes by Newton steps; each step is one aggregate of the gradient and the Hessian."""
+    """Intercept and slopes by Newton steps; each step is one aggregate of the gradient and the Hessian over rows that are written once."""
     x = [F.lit(1.0), *features]
     k = len(x)
     base = rows.select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(x)], y.cast("double").alias("y")).dropna()
+    base = written(base, "logistic-rows")
     beta = np.zeros(k)
     for _ in range(steps):
         eta = sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))

@@ -31,11 +31,20 @@ def common_set(scored: DataFrame, item: str, model: str) -> DataFrame:
     return scored.join(full, item, "left_semi")
 
 
-def table_hash(df: DataFrame, buckets: int = 256) -> Column | str:
-    """SHA-256 that does not depend on row order: hashes of rows are sorted in buckets, then the buckets' hashes in one short list."""
-    rows = df.select(row_hash(df.columns).alias("h"))
-    parts = rows.groupBy(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % buckets).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("h"))), 256).alias("p"))
-    return parts.agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("p"))), 256)).first()[0]
+def table_digest(df: DataFrame) -> DataFrame:
+    """One row (digest): SHA-256 of the number of rows and of the sums of four 64-bit parts of the rows' hashes.
+
+    Sums do not depend on the order of rows and are made in parts by every task, so no task gathers hashes; repeated rows count.
+    """
+    h = row_hash(df.columns)
+    rows = df.select(*[F.conv(F.substring(h, 16 * k + 1, 16), 16, 10).cast("decimal(28, 0)").alias(f"h{k}") for k in range(4)])
+    sums = [F.coalesce(F.sum(f"h{k}"), F.lit(0)).cast("string") for k in range(4)]
+    return rows.agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *sums), 256).alias("digest"))
+
+
+def table_hash(df: DataFrame) -> str:
+    """The digest of `table_digest` as a string."""
+    return table_digest(df).first()[0]
 
 
 def ledger(held: DataFrame, incoming: DataFrame, key: str, content: list[str]) -> DataFrame:

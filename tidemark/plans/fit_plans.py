@@ -13,6 +13,7 @@ from tidemark.operators import fits
 from tidemark.plans.registry import Registry
 from tidemark.plans.score_plans import _M
 from tidemark.sources.tables import CONTESTS, FORECASTS, contests, forecasts, models, outcome
+from tidemark.storage import written
 
 query = Registry()
 
@@ -36,6 +37,7 @@ def rating_outcomes(spark, sf):
     """FIT4: rating difference to the probability of each outcome, by two logistic thresholds fitted with Newton steps."""
     c = contests(spark, sf).withColumn("y", outcome())
     r = fits.elo(c, "pool", "event_ts", "available_at", "contest_id", "left_id", "right_id", "y").join(c.select("contest_id", "y"), "contest_id").withColumn("d", (F.col("left_rating") - F.col("right_rating")) / 100)
+    r = written(r, "replayed")  # replayed once, for both thresholds and the result
     high, low = (fits.logistic(r, [F.col("d")], (F.col("y") <= k).cast("int"), steps=6) for k in (0, 1))
     p = lambda b: 1 / (1 + F.exp(-(F.lit(b[0]) + F.lit(b[1]) * F.col("d"))))
     return r.select("contest_id", p(high).alias("p0"), F.greatest(F.lit(0.0), p(low) - p(high)).alias("p1"), (1 - F.greatest(p(low), p(high))).alias("p2"))
@@ -61,7 +63,7 @@ def low_score_dependence(spark, sf):
 @query(f"""{_M}, c as (select model_id, contest_id, y, t, list_transform([p0, p1, p2], lambda p: pow(greatest(p, 1e-12), 1 / t)) as v from models, (select unnest([0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 3.0]) as t)),
 l as (select model_id, t, round(avg(-ln(greatest(v[y + 1] / list_sum(v), 1e-15))), 9) as loss from c group by 1, 2) select model_id, t as temperature, loss from l qualify row_number() over (partition by model_id order by loss, t) = 1""")
 def temperature_grid(spark, sf):
-    """FIT9: a temperature of least loss for each model, the whole grid in one aggregate."""
+    """FIT9 (grid): a temperature of least loss for each model, the whole grid in one aggregate."""
     p = F.array("p0", "p1", "p2")
     m = models(forecasts(contests(spark, sf)))
     losses = {f"t{int(t * 100):04d}": scores.log_loss(scores.temperature(p, t), F.col("y")) for t in (0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 3.0)}
@@ -72,7 +74,7 @@ def temperature_grid(spark, sf):
 
 @query()
 def calibration_slope(spark, sf):
-    """FIT9 and FIT11: Platt slope and intercept of each model's first outcome."""
+    """FIT11: Platt slope and intercept of each model's first outcome."""
     m = models(forecasts(contests(spark, sf)))
     rows = []
     for k in (1, 2, 3):  # three models, whatever the input's size
@@ -107,7 +109,7 @@ def tree_forecast(spark, sf):
 @query(f"""{_M}, j as (select a.contest_id, a.y, a.pool, case a.y when 0 then a.p0 when 1 then a.p1 else a.p2 end as pa, case a.y when 0 then b.p0 when 1 then b.p1 else b.p2 end as pb from models a join models b using (contest_id) where a.model_id = 1 and b.model_id = 2),
 l as (select pool, w / 10.0 as w, round(avg(-ln(greatest(w / 10.0 * pa + (1 - w / 10.0) * pb, 1e-15))), 9) as loss from j, range(11) r(w) group by 1, 2) select pool, cast(w as double) as weight, loss from l qualify row_number() over (partition by pool order by loss, w) = 1""")
 def blend_weights(spark, sf):
-    """FIT13 and FIT16: weights of a blend by pool, the grid in one aggregate."""
+    """FIT13 (grid): weights of a blend by pool, the grid in one aggregate."""
     m = models(forecasts(contests(spark, sf))).select("contest_id", "pool", "model_id", F.get(F.array("p0", "p1", "p2"), F.col("y")).alias("p"))
     j = m.where("model_id = 1").select("contest_id", "pool", F.col("p").alias("pa")).join(m.where("model_id = 2").select("contest_id", F.col("p").alias("pb")), "contest_id")
     losses = {f"w{w:02d}": -F.log(F.greatest(w / 10.0 * F.col("pa") + (1 - w / 10.0) * F.col("pb"), F.lit(1e-15))) for w in range(11)}

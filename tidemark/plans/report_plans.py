@@ -262,7 +262,7 @@ def newest_changed(spark, sf):
 @query("""with b as (select o_custkey, o_orderkey, o_orderdate, list_sort(list_distinct(list(l_partkey))) as parts from orders join lineitem on o_orderkey = l_orderkey group by 1, 2, 3),
 p as (select *, lag(parts) over (partition by o_custkey order by o_orderdate, o_orderkey) as before from b) select o_orderkey, cast(len(parts) as bigint) as n, cast(len(list_filter(parts, lambda x: not list_contains(before, x))) as bigint) as added, cast(len(list_filter(before, lambda x: not list_contains(parts, x))) as bigint) as dropped from p where before is not null""")
 def basket_changes(spark, sf):
-    """WIN11 and SRC9: change of a set against the one before."""
+    """WIN11 (in part) and SRC9: change of a set against the one before."""
     b = read_table(spark, sf, "orders").join(read_table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey", "o_orderdate").agg(F.sort_array(F.collect_set("l_partkey")).alias("parts"))
     p = b.withColumn("before", F.lag("parts").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))).where("before is not null")
     size = lambda c: F.size(c).cast("long")

@@ -38,14 +38,14 @@ def stream_ingest(spark, sf):
 
 @query("""with c as (select user_id, max(greatest(0, cast(floor(value) as bigint) % 7)) as top from events group by 1) select user_id, cast(top as bigint) as raised from c where top > 0""")
 def stream_derived(spark, sf):
-    """STR2 and STR3: units by which a polled count rose, from keyed state."""
+    """STR2: units by which a polled count rose, from keyed state."""
     s = stream(spark, sf, ["user_id", "ts", "value"]).select("user_id", "ts", (F.floor("value").cast("long") % 7).alias("count"))
     return run_once(jobs.derived_events(s, "user_id", "ts", "count"), "derived").groupBy("user_id").agg(F.sum("n").alias("raised"))
 
 
 @query("""select event_type, cast(count(*) as bigint) as n, count(distinct time_bucket(interval 10 minute, ts)) as windows, round(sum(value), 4) as total from events where time_bucket(interval 10 minute, ts) + interval 10 minute <= (select max(ts) - interval 2 hour from events) group by 1""")
 def stream_windows(spark, sf):
-    """STR4 and STR9: tumbling windows by key, closed by the watermark of an hour; those that end two hours before the last event have surely closed."""
+    """STR9: tumbling windows by key, closed by the watermark of an hour; those that end two hours before the last event have surely closed."""
     last = read_table(spark, sf, "events").agg((F.max("ts") - F.expr("interval 130 minutes")).alias("t")).first()[0]
     s = stream(spark, sf, ["event_type", "ts", "value"])
     w = run_once(jobs.quote_windows(s, "ts", ["event_type"], "value"), "windows").where(F.col("start") <= F.lit(last))
@@ -62,7 +62,7 @@ def session_table(spark, sf):
 
 @query("""select event_id, case when ts + interval 3 hour <= date_trunc('day', ts) + interval 20 hour then 'VISIBLE' else 'LATE' end as status from events""")
 def stream_freeze(spark, sf):
-    """STR6 and STR7: facts against their day's cutoff; late ones are kept and marked."""
+    """STR7: facts against their day's cutoff; late ones are kept and marked."""
     s = stream(spark, sf, ["event_id", "ts"]).select("event_id", (F.col("ts") + F.expr("interval 3 hours")).alias("known"), (F.date_trunc("day", "ts") + F.expr("interval 20 hours")).alias("cutoff"))
     return run_once(jobs.freeze(s, "known", "cutoff").select("event_id", "status"), "freeze")
 

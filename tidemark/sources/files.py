@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,25 +55,46 @@ def publish(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def _path(spark: SparkSession, name: str):
+    """(file system, path) of a name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def publish_version(df: DataFrame, path: str, version: str) -> str:
-    """SNK2: write aside, compare content hashes, refuse other content under a known version, move the pointer last."""
+    """SNK2: write aside, compare content hashes, refuse other content under a known version, move the pointer last.
+
+    A version appears by one rename that overwrites nothing, so of two writers one wins and the other compares. The pointer is a series of empty files whose names
+    hold a number and the version: a new one is made in one step and the greatest counts, so readers always find the old version or the new one.
+    """
     spark = df.sparkSession
-    fs = lambda p: (p.getFileSystem(spark._jsc.hadoopConfiguration()), p)
+    jvm, target = spark._jvm, f"{path}/version={version}"
     aside = f"{path}/.aside-{uuid.uuid4().hex}"
     df.write.parquet(aside)
-    files, target = fs(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={version}"))
-    if files.exists(target):
-        same = table_hash(spark.read.parquet(f"{path}/version={version}")) == table_hash(spark.read.parquet(aside))
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+    files, to = _path(spark, target)
+    source = files.makeQualified(_path(spark, aside)[1])
+    try:
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark._jsc.hadoopConfiguration()).rename(source, files.makeQualified(to), options)
+    except Py4JJavaError:
+        if not files.exists(to):
+            raise
+        same = table_hash(spark.read.parquet(target)) == table_hash(spark.read.parquet(aside))
+        files.delete(source, True)
         if not same:
-            raise ValueError(f"version {version} exists with other content")
-    else:
-        files.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), target)
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer")
+            raise ValueError(f"version {version} exists with other content") from None
+    known = pointers(spark, path)
+    if not known or known[-1][1] != version:
+        files.createNewFile(_path(spark, f"{path}/pointer/{(known[-1][0] if known else 0) + 1:012d}.{version}")[1])
     return version
 
 
-def current(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={spark.read.parquet(f'{path}/pointer').first()[0]}")
+def pointers(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(number, version) of all pointers so far, the one that counts last."""
+    files, folder = _path(spark, f"{path}/pointer")
+    names = sorted(f.getPath().getName() for f in files.listStatus(folder)) if files.exists(folder) else []
+    return [(int(n.split(".", 1)[0]), n.split(".", 1)[1]) for n in names]
 
 
+def current(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/version={pointers(spark, path)[-1][1]}")

@@ -24,7 +24,7 @@ def ingest(events: DataFrame, at: str, content: list[str], late: str = "1 hour")
 
 
 def derived_events(polls: DataFrame, key: str, at: str, count: str) -> DataFrame:
-    """STR2 and STR3: one row for each unit by which a key's count rose between polls, and nothing for polls that change nothing."""
+    """STR2: one row for each unit by which a key's count rose between polls, and nothing for polls that change nothing."""
     kind = polls.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, at timestamp, n long, total long"
 
@@ -61,7 +61,7 @@ def changed_only(polls: DataFrame, key: str, at: str, content: list[str]) -> Dat
 
 
 def quote_windows(quotes: DataFrame, at: str, keys: list[str], price: str, width: str = "10 minutes", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """STR4 and STR9: count, mean and last price by key and window."""
+    """STR9: count, mean and last price by key and window."""
     w = F.window(at, width, slide) if slide else F.window(at, width)
     out = quotes.withWatermark(at, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.avg(price).alias("mean"), F.max_by(price, at).alias("last"))
     return out.select(*keys, F.col("w.start").alias("start"), "n", "mean", "last")
@@ -74,7 +74,7 @@ def sessions(events: DataFrame, at: str, keys: list[str], gap: str = "1 hour", l
 
 
 def freeze(facts: DataFrame, at: str, cutoff: str) -> DataFrame:
-    """STR6 and STR7: facts with `status` VISIBLE or LATE against their cutoff; late ones are kept apart, never dropped."""
+    """STR7: facts with `status` VISIBLE or LATE against their cutoff; late ones are kept apart, never dropped."""
     return facts.withColumn("status", F.when(F.col(at) <= F.col(cutoff), "VISIBLE").otherwise("LATE"))
 
 

@@ -204,3 +204,19 @@ def test_one_long_text_among_short_ones_takes_little_memory(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6 and len(set(np.round(got[1:], 3))) == 1 and got[0] < got[1]
+
+
+def test_pieces_of_texts_of_one_length(spark):
+    """Rows of an oversized arrival are dealt by a hash of the text, so texts of one length fill all pieces."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import sharding
+    from tidemark.llm.common import work_dir
+
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("x" * 90), F.lpad(F.col("id").cast("string"), 10, "0")).alias("text"))
+    path = work_dir(spark, "pieces")
+    sharding.append(docs, path, lowest=100, fanout=4, tiers=4)
+    found = sharding.read(spark, path)
+    assert found.count() == 4000
+    shards = spark.read.parquet(f"{path}/data").groupBy("__shard_piece").count().collect()
+    assert len(shards) == 63 and max(r["count"] for r in shards) < 4 * 4000 / 63

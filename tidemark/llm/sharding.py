@@ -112,10 +112,10 @@ def append(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         large = F.broadcast(large)
     number = F.coalesce(F.floor(F.col(id_col) / span), F.lit(-(1 << 62))).cast("long")
     rows = docs.withColumn("__shard_arrival", number).join(large.withColumnsRenamed({"arrival": "__shard_arrival", "pieces": "__shard_pieces"}), "__shard_arrival", "left")
-    rows = rows.withColumn("__shard_piece", F.coalesce(F.pmod(_size(text_col), F.col("__shard_pieces")), F.lit(0))).drop("__shard_pieces")
+    rows = rows.withColumn("__shard_piece", F.coalesce(F.pmod(F.xxhash64(text_col), F.col("__shard_pieces")), F.lit(0))).drop("__shard_pieces")
     _write(rows, path, batch)
-    back = docs.select(number.alias("arrival"), _size(text_col).alias("n")).join(sizes.select("arrival", "pieces"), "arrival")
-    runs = back.groupBy("arrival", F.pmod("n", "pieces").alias("piece")).agg(F.sum("n").alias("bytes"), F.count("*").alias("rows"))
+    back = docs.select(number.alias("arrival"), F.xxhash64(text_col).alias("lot"), _size(text_col).alias("n")).join(sizes.select("arrival", "pieces"), "arrival")
+    runs = back.groupBy("arrival", F.pmod("lot", "pieces").alias("piece")).agg(F.sum("n").alias("bytes"), F.count("*").alias("rows"))
     fresh = runs.select(
         F.struct("arrival", "piece").alias("first"), F.floor(F.col("arrival") / stream).alias("stream"), _tier(lowest, fanout, tiers).alias("tier"), "bytes", "rows",
         F.array(F.struct(F.lit(batch).alias("batch"), "arrival", "piece")).alias("shards"),

@@ -1,7 +1,7 @@
 """Sharding by size-tiered compaction with a versioned manifest, in DataFrame operations only.
 
 `append` writes arrivals as small immutable shards: the rows of `SPAN` successive ids are one arrival (one that exceeds the target size is
-dealt into pieces by text length). `plan` merges runs of one size tier, `FANOUT` at a time in order of arrival, until no tier of a stream (a
+dealt into pieces by a hash of the text). `plan` merges runs of one size tier, `FANOUT` at a time in order of arrival, until no tier of a stream (a
 stretch of `STREAM` arrivals) has as many; a run of the top tier has the target size and stays. `compact` writes all planned runs in one job,
 one file each, and commits. Files are never changed; a version is a Parquet table of the shards that make it up. Its pointer is written
 aside and then given the version's name in one step, which fails where that name exists: so of two writers of one version one wins and the

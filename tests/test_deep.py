@@ -84,3 +84,26 @@ def test_row_bootstrap(spark, sf):
     assert abs(found.low - np.quantile(means, 0.025)) < 0.35 * se and abs(found.high - np.quantile(means, 0.975)) < 0.35 * se
     (q,) = QUERIES["row_bootstrap"](spark, sf).collect()
     assert q.low < q.mean < q.high
+
+
+@pytest.mark.parametrize("family, shape", [("poisson", 0.0), ("negative_binomial", 3.5), ("bivariate", 0.25), ("bivariate", 0.0001)])
+def test_family_cells(spark, family, shape):
+    """Cells against sums of draws' probabilities, with the mass that they hold."""
+    from math import exp, factorial, gamma
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import grids
+
+    l, r, most = 1.7, 1.1, 6  # noqa: E741
+    po = lambda x, k: exp(-x) * x**k / factorial(k)
+    nb = lambda x, k: gamma(shape + k) / gamma(shape) / factorial(k) * (shape / (shape + x)) ** shape * (x / (shape + x)) ** k
+    c3 = shape * min(l, r)
+    two = lambda h, a: sum(po(c3, c) * po(l - c3, h - c) * po(r - c3, a - c) for c in range(min(h, a) + 1))
+    cell = {"poisson": lambda h, a: po(l, h) * po(r, a), "negative_binomial": lambda h, a: nb(l, h) * nb(r, a), "bivariate": two}[family]
+    wanted = np.array([[cell(h, a) for a in range(most + 1)] for h in range(most + 1)])
+    g = spark.range(1).select(grids.family_cells(family, F.lit(l), F.lit(r), F.lit(shape), most).alias("g")).first().g
+    assert np.allclose(np.array(g.cells), wanted / wanted.sum(), rtol=1e-10)
+    assert g.captured == pytest.approx(wanted.sum(), rel=1e-10) and g.tail == pytest.approx(1 - wanted.sum(), abs=1e-12)
+    with pytest.raises(ValueError):
+        grids.family_cells("other", F.lit(l), F.lit(r), F.lit(1.0))

@@ -87,3 +87,47 @@ def top_cells(grid: Column, n: int) -> Column:
     """The n likeliest cells; ties: fewer on the left, then on the right."""
     order = F.array_sort(F.transform(grid, lambda c: F.struct((-F.round(c.p, 12)).alias("k"), c.h.alias("h"), c.a.alias("a"), c.p.alias("p"))))
     return F.transform(F.slice(order, 1, n), lambda c: F.concat_ws("-", c.h.cast("string"), c.a.cast("string")))
+
+
+def poisson_terms(rate: Column, most: int) -> Column:
+    """P(0..most) without the tail."""
+    return F.array(*[F.exp(-rate) * F.pow(rate, F.lit(float(k))) / float(math.factorial(k)) for k in range(most + 1)])
+
+
+def negative_binomial_terms(mean: Column, shape: Column, most: int) -> Column:
+    """P(0..most) without the tail; variance mean + mean^2 / shape."""
+    q, term, terms = mean / (mean + shape), F.pow(shape / (mean + shape), shape), []
+    for k in range(most + 1):
+        terms.append(term)
+        term = term * q * (shape + k) / (k + 1)
+    return F.array(*terms)
+
+
+def bivariate_cells(left: Column, right: Column, share: Column, most: int) -> Column:
+    """P(h, a) for 0..most as rows of arrays: both counts hold a common Poisson part of rate share x min(left, right), and one of their own."""
+    common = share * F.least(left, right)
+    own = lambda rate: poisson_terms(F.greatest(rate - common, F.lit(1e-6)), most)
+    parts = {"c": poisson_terms(common, most), "l": own(left), "r": own(right)}
+    cell = lambda v, h, a: F.aggregate(F.sequence(F.lit(0), F.least(h, a)), F.lit(0.0), lambda s, c: s + F.get(v.c, c) * F.get(v.l, h - c) * F.get(v.r, a - c))
+    steps = F.sequence(F.lit(0), F.lit(most))
+    return let(parts, lambda v: F.transform(steps, lambda h: F.transform(steps, lambda a: cell(v, h, a))))
+
+
+def product_cells(left: Column, right: Column) -> Column:
+    """P(h, a) of independent counts as rows of arrays."""
+    return let({"l": left, "r": right}, lambda v: F.transform(v.l, lambda p: F.transform(v.r, lambda q: p * q)))
+
+
+def family_cells(family: str, left: Column, right: Column, shape: Column, most: int = 10) -> Column:
+    """struct<cells, captured, tail>: the cells of a family (poisson, negative_binomial, bivariate) scaled to sum to one, and the mass that they held and lacked before."""
+    if family == "poisson":
+        cells = product_cells(poisson_terms(left, most), poisson_terms(right, most))
+    elif family == "negative_binomial":
+        cells = product_cells(negative_binomial_terms(left, shape, most), negative_binomial_terms(right, shape, most))
+    elif family == "bivariate":
+        cells = bivariate_cells(left, right, shape, most)
+    else:
+        raise ValueError(f"unknown family {family}")
+    mass = lambda g: total(F.transform(g, lambda row: total(row)))
+    scaled = lambda w: F.transform(w.g, lambda row: F.transform(row, lambda p: p / w.m))
+    return let({"g": cells}, lambda v: let({"g": v.g, "m": mass(v.g)}, lambda w: F.struct(scaled(w).alias("cells"), w.m.alias("captured"), (1 - w.m).alias("tail"))))

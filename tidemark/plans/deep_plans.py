@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import scores
+from tidemark.functions import grids, scores
 from tidemark.operators import softmax
 from tidemark.operators.features import usual_members
 from tidemark.operators.resampling import bootstrap_interval
 from tidemark.operators.suggest import suggestions
 from tidemark.plans.registry import Registry
-from tidemark.sources.tables import contests, forecasts, models, read_table
+from tidemark.sources.tables import CONTESTS, contests, forecasts, models, read_table
 
 query = Registry()
 LEAST, OFTEN = 0.75, 20
@@ -75,3 +76,37 @@ def stacking(spark, sf):
     fitted = softmax.fit(both.where("early"), ["pool"], F.col("y"), features, start, ridge=5.0, least_rows=30)
     q = both.where("not early").join(fitted, "pool").withColumn("q", softmax.probabilities(features, F.col("theta"))).withColumn("plain", F.zip_with("a", "b", lambda x, z: (x + z) / 2))
     return q.groupBy("pool").agg(F.first("status").alias("status"), F.first("theta").alias("theta"), F.count("*").alias("n"), F.avg(scores.log_loss(F.col("q"), F.col("y"))).alias("loss"), F.avg(scores.log_loss(F.col("plain"), F.col("y"))).alias("loss_of_mean"))
+
+
+#: Families of score grids with the shapes that are tried: nothing, the negative binomial's shape, the share of the lower rate that both sides have in common.
+FAMILIES = {"poisson": (0.0,), "negative_binomial": (2.0, 4.0, 8.0, 16.0, 32.0), "bivariate": (0.02, 0.05, 0.1, 0.2, 0.3)}
+MOST = 10
+_PO = lambda x, k: f"exp(-({x}) + ({k}) * ln({x}) - lgamma(({k}) + 1))"
+_NB = lambda x, k: f"exp(lgamma(shape + {k}) - lgamma(shape) - lgamma({k} + 1) + shape * ln(shape / (shape + {x})) + {k} * ln({x} / (shape + {x})))"
+_COMMON = "(shape * least(l, r))"
+
+
+@query(f"""with {CONTESTS}, e as (select *, event_ts < timestamp '2024-01-15' as early from contests), rates as (select pool, avg(left_n) as l, avg(right_n) as r from e where early group by 1),
+shapes as (select * from (values {", ".join(f"('{f}', cast({s} as double))" for f, ss in FAMILIES.items() for s in ss)}) v(family, shape)),
+cells as (select pool, family, shape, h, a, case family when 'poisson' then {_PO("l", "h")} * {_PO("r", "a")} when 'negative_binomial' then {_NB("l", "h")} * {_NB("r", "a")}
+    else list_sum(list_transform(range(0, least(h, a) + 1), lambda c: {_PO(_COMMON, "c")} * {_PO(f"greatest(l - {_COMMON}, 1e-6)", "h - c")} * {_PO(f"greatest(r - {_COMMON}, 1e-6)", "a - c")})) end as p
+    from rates, shapes, (select unnest(range(0, {MOST + 1})) as h), (select unnest(range(0, {MOST + 1})) as a)),
+mass as (select pool, family, shape, sum(p) as m from cells group by 1, 2, 3),
+n as (select pool, early, least(left_n, {MOST}) as h, least(right_n, {MOST}) as a, count(*) as n from e group by 1, 2, 3, 4),
+s as (select family, shape, early, sum(n * -ln(greatest(p / m, 1e-15))) / sum(n) as nll, sum(n * m) / sum(n) as captured from n join cells using (pool, h, a) join mass using (pool, family, shape) group by 1, 2, 3),
+w as (select a.family, a.shape, a.nll as fit_nll, b.nll as select_nll, a.captured from s a join s b on a.family = b.family and a.shape = b.shape and a.early and not b.early)
+select family, shape, round(fit_nll, 9) as fit_nll, round(select_nll, 9) as select_nll, round(captured, 9) as captured, row_number() over (partition by family order by round(fit_nll, 12), shape) = 1 as chosen from w""")
+def family_study(spark, sf):
+    """PRB4 and FIT15: score families by likelihood, each with the shape that fits the earlier window best, and its loss on the later one; all shapes in one aggregate over distinct scores."""
+    e = contests(spark, sf).withColumn("early", F.col("event_ts") < F.expr("timestamp '2024-01-15'"))
+    rates = e.where("early").groupBy("pool").agg(F.avg("left_n").alias("l"), F.avg("right_n").alias("r"))
+    tried = [(f, s) for f, ss in FAMILIES.items() for s in ss]
+    grids_ = F.array(*[F.struct(F.lit(f).alias("family"), F.lit(s).alias("shape"), grids.family_cells(f, F.col("l"), F.col("r"), F.lit(s), MOST).alias("g")) for f, s in tried])
+    cells = rates.select("pool", F.explode(grids_).alias("x")).select("pool", "x.family", "x.shape", "x.g.cells", "x.g.captured")
+    n = e.groupBy("pool", "early", F.least("left_n", F.lit(MOST)).alias("h"), F.least("right_n", F.lit(MOST)).alias("a")).agg(F.count("*").alias("n")).join(cells, "pool")
+    p = F.get(F.get("cells", F.col("h").cast("int")), F.col("a").cast("int"))
+    nll = lambda early: F.sum(F.when(F.col("early") == early, F.col("n") * -F.log(F.greatest(p, F.lit(1e-15))))) / F.sum(F.when(F.col("early") == early, F.col("n")))
+    held = F.sum(F.when(F.col("early"), F.col("n") * F.col("captured"))) / F.sum(F.when(F.col("early"), F.col("n")))
+    s = n.groupBy("family", "shape").agg(nll(True).alias("fit"), nll(False).alias("sel"), held.alias("held"))
+    best = Window.partitionBy("family").orderBy(F.round("fit", 12), "shape")  # one row a shape
+    return s.select("family", "shape", F.round("fit", 9).alias("fit_nll"), F.round("sel", 9).alias("select_nll"), F.round("held", 9).alias("captured"), (F.row_number().over(best) == 1).alias("chosen"))

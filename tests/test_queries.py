@@ -12,8 +12,11 @@ from tidemark.plans import catalog
 def test_query_matches_sql(spark, sf, duck, name):
     check(catalog.QUERIES[name](spark, sf), duck.sql(catalog.ORACLES[name]))
 
+#: Queries whose values other tests hold against brute force, on the same tables.
+HELD = {"block_ratings", "tuned_ratings", "ridge_rates", "calibrators", "stacking", "row_bootstrap"}
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - HELD))
 def test_query_without_sql_runs(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)
     assert df.count() > 0

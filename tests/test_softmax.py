@@ -75,14 +75,14 @@ def test_pooled_offsets_are_the_joint_minimum(spark):
         shift = {"a": [0, 0.6, 0], "b": [0, -0.5, 0.3], "c": [0, 0, 0]}[pool]
         q = p**1.3 * np.exp(shift)
         rows.append((pool, int(rng.choice(3, p=q / q.sum())), [float(x) for x in p]))
-    theta, offsets = softmax.fit_pooled(spark.createDataFrame(rows, "pool string, y int, p array<double>"), "pool", F.col("y"), F.col("p"), ridge=20.0)
+    theta, offsets = softmax.fit_pooled(spark.createDataFrame(rows, "pool string, y int, p array<double>"), "pool", F.col("y"), F.col("p"), ridge=100.0)
     p, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
     f = design("affine", p)
     extra = np.zeros((len(rows), 6, 3))
     for i, r in enumerate(rows):
         j = pools.index(r[0])
         extra[i, 2 * j, 1] = extra[i, 2 * j + 1, 2] = 1
-    t = solve(np.concatenate([f, extra], axis=1), y, [1.0] + [0.0] * 8, np.array([1e-6] * 3 + [20.0] * 6))
+    t = solve(np.concatenate([f, extra], axis=1), y, [1.0] + [0.0] * 8, np.array([1e-6] * 3 + [100.0] * 6))
     assert theta.first()["theta"] == pytest.approx(t[:3], abs=2e-4)
     found = {r.pool: r.theta for r in offsets.collect()}
     for j, pool in enumerate(pools):

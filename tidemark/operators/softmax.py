@@ -82,7 +82,7 @@ def fit(rows: DataFrame, keys: list[str], y: Column, features: Sequence[Feature]
             yield pd.DataFrame({**{k: f[k] for k in keys}, "theta": theta, "moved": moved})
 
     add = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0.0)
-    for _ in range(steps):
+    for k in range(steps):
         open_ = state.where("status = 'FITTED'").select(*keys, "theta")
         at_rows = data.join(open_, keys) if keys else data.crossJoin(open_)
         at_rows = at_rows.withColumn("p_", probabilities(table, F.col("theta"), None if base is None else F.col("base_")))
@@ -94,7 +94,7 @@ def fit(rows: DataFrame, keys: list[str], y: Column, features: Sequence[Feature]
         new = written(sums.mapInPandas(solve, schema), "softmax-step")
         parts = state.drop("theta").join(new, keys, "left") if keys else state.drop("theta").crossJoin(new)
         state = parts.withColumn("theta", F.coalesce("theta", F.array(*[F.lit(float(x)) for x in at])))
-        if new.where(F.col("moved") > tolerance).isEmpty():
+        if k > 1 and new.where(F.col("moved") > tolerance).isEmpty():
             break
         state = state.drop("moved")
     return state.select(*keys, "theta", "n", "status")
@@ -156,6 +156,6 @@ def fit_pooled(rows: DataFrame, pool: str, y: Column, p: Column, ridge: float =
         beside = kept.join(offsets.select(pool, F.col("theta").alias("own")), pool)
         before = theta.first()["theta"]
         theta = fit(beside, [], F.col("y"), features, start, 1e-6, F.array(F.lit(0.0), F.get("own", 0), F.get("own", 1)), steps=6, least_rows=least_rows)
-        if np.abs(np.array(theta.first()["theta"]) - np.array(before)).max() < 1e-6:
+        if np.abs(np.array(theta.first()["theta"]) - np.array(before)).max() < 1e-5:
             break
     return theta, offsets

@@ -127,6 +127,26 @@ def test_large_bands_lose_no_pair(spark):
         assert {r.doc_id for r in sh.drop_near_duplicates(docs, small=small).collect()} == set(want)
 
 
+def test_prefixes_find_every_pair_whatever_the_slots(spark):
+    rng = np.random.default_rng(4)
+    form = rng.integers(-(2**62), 2**62, 160)
+    rows = []
+    for k in range(60):
+        own = rng.integers(-(2**62), 2**62, 16)
+        rows += [(3 * k + i, np.unique(np.concatenate([form[: 120 + k % 40], own[: 16 - 2 * i]])).tolist()) for i in range(3)]
+    rows += [(1000, []), (1001, form[:1].tolist())]
+    sets = spark.createDataFrame(rows, "content long, shingles array<long>")
+    crowd = spark.createDataFrame([(i, len(s), sh.parity(np.array(s, "i8").view("u8"))) for i, s in rows], "content long, size int, bits array<long>")
+    groups = spark.createDataFrame([(3 * k + i, 3 * k) for k in range(0, 60, 2) for i in range(2)], "content long, component long")
+    joined = {(3 * k, 3 * k + 1) for k in range(0, 60, 2)}
+    held = [(i, set(s)) for i, s in rows if s]
+    want = {(i, j) for i, s in held for j, t in held if i < j and len(s & t) >= 0.8 * len(s | t)} - joined
+    assert len(want) > 500
+    for slots in (1, 7, 1 << 16):
+        pairs = sh.crowd_pairs(crowd, sets, groups, 0.8, slots)
+        assert {(r.a, r.b) for r in sh.verified(pairs, sets, 0.8).collect()} == want
+
+
 def test_a_line_that_repeats_hides_no_copy(spark):
     rng = random.Random(7)
     rows, want = [], set()

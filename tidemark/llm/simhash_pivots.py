@@ -139,6 +139,8 @@ LEADERS = 4
 PARITY = 512
 #: Shingles before a shingle that its row carries, so that a pair that met at one of them does not meet again.
 BEFORE = 8
+#: Slots in which shingles are counted; four bytes each are sent to every executor.
+SLOTS = 1 << 22
 #: Members in one slice of a shingle that many texts share; slices meet two by two.
 SLICE = 256
 
@@ -223,26 +225,58 @@ def candidate_pairs(members: DataFrame, similarity: float, small: int = SMALL) -
     return pairs.select(*_ends()).unionByName(stars.select(*_ends())).distinct()
 
 
-def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def shingle_counts(each: DataFrame, slots: int) -> np.ndarray:
+    """How many of the sets' shingles (column `shingle`) fall on each of `slots` slots, at least 1. Only slots with more than one come to the driver, so no more than `slots` rows whatever the input."""
+    at = F.pmod("shingle", F.lit(slots)).cast("int")
+    met = each.groupBy(at.alias("slot")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n")).where("n > 1").toArrow()
+    counts = np.ones(slots, "i4")
+    counts[met.column("slot").to_numpy()] = met.column("n").to_numpy()
+    return counts
+
+
+def prefix_keys(texts: DataFrame, counts, similarity: float) -> DataFrame:
+    """One row for each shingle in the prefix of a text (content, size, bits, component, shingles) that another text may hold.
+
+    Shingles are ordered by the count of their slot, then by value: one order for all sets. A slot's count is never below a shingle's own, so
+    a shingle whose slot counts one is of this set only; it takes up a place but needs no row. `rest` counts the shingles from this one on.
+    """
+    own = ["content", "size", "bits", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = counts.value
+        for batch in batches:
+            row, shingle, rest, before = [], [], [], []
+            for i, held in enumerate(batch.column("shingles")):
+                s = held.values.to_numpy()
+                c = n[s % len(n)]
+                order = s[np.lexsort((s, c))]
+                alone, first = int((c == 1).sum()), len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+                keys = order[alone:first].tolist()
+                row += [i] * len(keys)
+                shingle += keys
+                rest += range(len(s) - alone, len(s) - alone - len(keys), -1)
+                before += [keys[max(k - BEFORE, 0) : k] for k in range(len(keys))]
+            kept = batch.select(own).take(pa.array(row, pa.int64()))
+            more = [pa.array(shingle, pa.int64()), pa.array(rest, pa.int32()), pa.array(before, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *more], names=[*own, "shingle", "rest", "before"])
+
+    return map_batches(texts.select(*own, "shingles"), run, "content long, size int, bits array<long>, component long, shingle long, rest int, before array<long>")
+
+
+def crowd_pairs(crowd: DataFrame, sets: DataFrame, groups: DataFrame, similarity: float, slots: int = SLOTS) -> DataFrame:
     """(a, b): every pair of the crowd (content, size, bits) that may reach the similarity and that `groups` (content, component) does not join yet.
 
-    With the shingles of each set in one order, rarest first, two sets of the similarity share one of their first size - similarity * size + 1
-    (rounded up to whole shingles), so a shingle that both have there finds them; shingles of one set only take up places. A shingle's members
+    With the shingles of each set in one order, rare ones first, two sets of the similarity share one of their first size - similarity * size + 1
+    (rounded up to whole shingles), so a shingle that both have there finds them. How rare a shingle is, is told by the count of its slot among
+    `slots`: any number of slots gives the same pairs, fewer only more rows. A shingle's members
     are cut into slices, and slices meet two by two: first those outside its largest component with each other, then with the largest one.
     A pair needs to meet only at the first shingle that both have: there the rest of both sets must be large enough for the similarity, and
     no shingle just before it is in both. So a pair whose prefixes agree is one row, not one for each shingle they share.
     """
     labelled = crowd.join(groups, "content", "left").select("content", "size", "bits", F.coalesce("component", "content").alias("component"))
-    each = sets.join(crowd.select("content"), "content", "left_semi").select("content", F.explode("shingles").alias("shingle"))
-    held = each.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
-    ranked = each.join(held, "shingle").groupBy("content").agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("ranked"))
-    first = F.col("size") - F.ceil(similarity * F.col("size") - 1e-6) + 1
-    own = F.col("size") - F.size("ranked")
-    keys = ranked.join(labelled, "content").withColumn("keys", F.slice("ranked", F.lit(1), F.greatest(first - own, F.lit(0)).cast("int")))
-    placed = keys.select("content", "size", "bits", "component", F.size("ranked").alias("shared"), "keys", F.posexplode("keys.shingle").alias("place", "shingle"))
-    before = F.slice(F.col("keys.shingle"), F.greatest(F.col("place") - BEFORE, F.lit(0)) + 1, F.least("place", F.lit(BEFORE)))
-    keyed = placed.select("content", "size", "bits", "component", "shingle", (F.col("shared") - F.col("place")).alias("rest"), before.alias("before"))
-    keyed = materialise(keyed, "prefixes")
+    texts = materialise(labelled.join(sets, "content"), "crowd-sets")
+    counts = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts.select(F.explode("shingles").alias("shingle")), slots))
+    keyed = materialise(prefix_keys(texts, counts, similarity), "prefixes")
     parts = keyed.groupBy("shingle", "component").agg(F.count("*").alias("n"))
     wide = parts.groupBy("shingle").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("top")).where(F.col("all") > F.col("top.n"))
     minor = F.ceil((F.col("all") - F.col("top.n")) / SLICE).cast("int")

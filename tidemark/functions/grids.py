@@ -69,6 +69,19 @@ def markets(grid: Column, lines: tuple[float, ...] = (1.5, 2.5, 3.5)) -> Column:
     return F.aggregate(grid, F.struct(*[F.lit(0.0).alias(n) for n in names]), add)
 
 
+def side_markets(grid: Column, most_total: int = 7, lines: int = 3) -> Column:
+    """A struct of double chance, draw no bet (null if a draw is certain), totals of either side over 0.5, 1.5, ... and the distribution of the total with `most_total` and more as its end; one pass over the cells."""
+    rules = {
+        "left_or_draw": lambda h, a: h >= a, "no_draw": lambda h, a: h != a, "right_or_draw": lambda h, a: h <= a, "right_clean": lambda h, a: h == 0, "__left": lambda h, a: h > a,
+        **{f"left_over_{k}_5": lambda h, a, k=k: h > k for k in range(lines)}, **{f"right_over_{k}_5": lambda h, a, k=k: a > k for k in range(lines)},
+        **{f"total_{k}": lambda h, a, k=k: h + a == k for k in range(most_total)}, f"total_{most_total}_up": lambda h, a: h + a >= most_total,
+    }
+    add = lambda s, c: F.struct(*[(s[n] + F.when(f(c.h, c.a), c.p).otherwise(0.0)).alias(n) for n, f in rules.items()])
+    wins = lambda m: F.try_divide(m["__left"], m["no_draw"])
+    told = lambda m: F.struct(*[m[n].alias(n) for n in rules if n != "__left"], wins(m).alias("left_if_no_draw"), (1 - wins(m)).alias("right_if_no_draw"))
+    return F.aggregate(grid, F.struct(*[F.lit(0.0).alias(n) for n in rules]), add, told)
+
+
 def rescale(grid: Column, target: Column) -> Column:
     """The grid with its three regions (left, draw, right) scaled to the target vector."""
     regions = {"l": lambda h, a: h > a, "d": lambda h, a: h == a, "r": lambda h, a: h < a}

@@ -190,10 +190,11 @@ def prior_weights(spark, sf):
     names = ["n", "h0", "h1", "h2"]
     t = grid.join(known, ["season", "pool"], "left").fillna(0, names).select("season", "pool", *[F.sum(c).over(run).alias(c) for c in names])
     t = t.withColumns({f"g{c}": F.sum(c).over(whole) for c in names}).where("n > 0")
-    rows = f.join(t, ["season", "pool"]).withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.0, 10.0, 50.0, 200.0)])))
+    tally = f.groupBy("season", "pool", "y").agg(F.count("*").alias("rows_n"))  # equal rows lose the same, so their losses are not added up one by one
+    rows = tally.join(t, ["season", "pool"]).withColumn("weight", F.explode(F.array(*[F.lit(w) for w in (0.0, 10.0, 50.0, 200.0)])))
     share = [(F.col(f"h{k}") + F.col("weight") * F.col(f"gh{k}") / F.col("gn")) / (F.col("n") + F.col("weight")) for k in range(3)]
     loss = -F.log(F.greatest(F.get(F.array(*share), F.col("y")), F.lit(1e-15)))
-    return rows.groupBy(F.date_format("season", "yyyy-MM-dd").alias("origin"), "weight").agg(F.count("*").alias("n"), F.avg(loss).alias("loss"))
+    return rows.groupBy(F.date_format("season", "yyyy-MM-dd").alias("origin"), "weight").agg(F.sum("rows_n").alias("n"), (F.sum(F.col("rows_n") * loss) / F.sum("rows_n")).alias("loss"))
 
 
 @query(f"""with {CONTESTS}, r as (select event_ts < timestamp '2024-01-15' as ref, case when contest_id % 13 <> 0 then left_n end as a, case when contest_id % 17 <> 0 then right_n end as b from contests),

@@ -45,3 +45,26 @@ def test_prior_weights_adds_counts_not_rows(spark, many_events):
                 parts.append(-k * math.log(max(share, 1e-15)))
                 n += k
         assert got.n == n and math.isclose(got.loss, math.fsum(parts) / n, rel_tol=5e-15)
+
+
+def test_logits_write_equal_rows_once(spark, monkeypatch):
+    """Steps run over distinct rows: twenty times the rows make no more of them, and the fit is that of single rows."""
+    from tidemark.operators import softmax
+
+    held = {}
+    write = softmax.written
+
+    def counted(df, name):
+        out = write(df, name)
+        held.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(softmax, "written", counted)
+    i = F.col("id")
+    rows = spark.range(4000).select(F.lit("k").alias("k"), (i % 3).cast("int").alias("y"), F.array(0.2 + 0.01 * (i % 10), F.lit(0.3), 0.5 - 0.01 * (i % 10)).alias("p"))
+    features, start = softmax.temperature(F.col("p"))
+    found = softmax.fit(rows, ["k"], F.col("y"), features, start, 1.0, steps=4).first()
+    counts = rows.groupBy("k", "y", "p").agg(F.count("*").alias("c"))
+    again = softmax.fit(counts, ["k"], F.col("y"), features, start, 1.0, steps=4, weight=F.col("c")).first()
+    assert found.n == again.n == 4000 and found.theta == pytest.approx(again.theta, abs=1e-12)
+    assert held["softmax-rows"] == [30, 30]

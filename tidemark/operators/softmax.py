@@ -1,6 +1,6 @@
 """Multinomial logits by Newton steps, many models at once: one aggregate a step over all keys, each key's small system solved beside its sums.
 
-A row's score of class c is base_c + sum over p of theta_p f_pc; calibrators and stacking differ only in their features f. A penalty draws theta to where it starts.
+Equal rows are counted once and enter every step with their number as a weight. A row's score of class c is base_c + sum over p of theta_p f_pc; calibrators and stacking differ only in their features f. A penalty draws theta to where it starts.
 """
 
 from __future__ import annotations
@@ -55,14 +55,14 @@ def probabilities(features: Sequence[Feature], theta: Column, base: Column | Non
 
 
 def fit(rows: DataFrame, keys: list[str], y: Column, features: Sequence[Feature], start: list[float], ridge: list[float] | float = 1e-6, base: Column | None = None, steps: int = 25,
-        least_rows: int = 100, tolerance: float = 1e-9) -> DataFrame:
-    """keys, theta, n, status: FITTED, TOO_FEW_ROWS or ONE_CLASS (some class does not occur); what is not fitted stays at `start`. Rows with a null label or feature are left out."""
+        least_rows: int = 100, tolerance: float = 1e-9, weight: Column | None = None) -> DataFrame:
+    """keys, theta, n (the sum of the whole-number weights, 1 a row if none), status: FITTED, TOO_FEW_ROWS or ONE_CLASS (some class does not occur); what is not fitted stays at `start`. Rows with a null label or feature are left out."""
     n_p, n_c = len(features), len(features[0])
     penalty, at = np.broadcast_to(np.asarray(ridge, float), n_p).copy(), np.asarray(start, float)
     table, held = _named(features)
-    data = rows.select(*keys, y.cast("int").alias("y_"), *held, *([] if base is None else [base.alias("base_")])).dropna(subset=["y_", *[f"f_{p}_{c}" for p, f in enumerate(features) for c, x in enumerate(f) if isinstance(x, Column)]])
-    data = written(data, "softmax-rows")
-    count = data.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum((F.col("y_") == c).cast("long")).alias(f"n{c}") for c in range(n_c)])
+    data = rows.select(*keys, y.cast("int").alias("y_"), *held, *([] if base is None else [base.alias("base_")]), (F.lit(1) if weight is None else weight).cast("long").alias("w_")).dropna(subset=["y_", *[f"f_{p}_{c}" for p, f in enumerate(features) for c, x in enumerate(f) if isinstance(x, Column)]])
+    data = written(data.groupBy(*[c for c in data.columns if c != "w_"]).agg(F.sum("w_").alias("w_")), "softmax-rows")  # equal rows are one with a weight
+    count = data.groupBy(*keys).agg(F.sum("w_").alias("n"), *[F.sum(F.when(F.col("y_") == c, F.col("w_")).otherwise(0)).alias(f"n{c}") for c in range(n_c)])
     status = F.when(F.col("n") < least_rows, "TOO_FEW_ROWS").when(F.least(*[F.col(f"n{c}") for c in range(n_c)]) == 0, "ONE_CLASS").otherwise("FITTED")
     state = written(count.select(*keys, "n", status.alias("status"), F.array(*[F.lit(float(x)) for x in at]).alias("theta")), "softmax")
     pairs = [(p, q) for p in range(n_p) for q in range(p, n_p)]
@@ -88,8 +88,8 @@ def fit(rows: DataFrame, keys: list[str], y: Column, features: Sequence[Feature]
         at_rows = at_rows.withColumn("p_", probabilities(table, F.col("theta"), None if base is None else F.col("base_")))
         mean = {f"m{p}": add([F.get("p_", c) * x for c, x in enumerate(f) if x is not None]) for p, f in enumerate(table)}
         at_rows = at_rows.withColumns(mean)
-        own = [F.sum(add([F.when(F.col("y_") == c, x).otherwise(0.0) for c, x in enumerate(f) if x is not None]) - F.col(f"m{p}")) for p, f in enumerate(table)]
-        curve = [F.sum(add([F.get("p_", c) * x * z for c, (x, z) in enumerate(zip(table[p], table[q])) if x is not None and z is not None]) - F.col(f"m{p}") * F.col(f"m{q}")) for p, q in pairs]
+        own = [F.sum(F.col("w_") * (add([F.when(F.col("y_") == c, x).otherwise(0.0) for c, x in enumerate(f) if x is not None]) - F.col(f"m{p}"))) for p, f in enumerate(table)]
+        curve = [F.sum(F.col("w_") * (add([F.get("p_", c) * x * z for c, (x, z) in enumerate(zip(table[p], table[q])) if x is not None and z is not None]) - F.col(f"m{p}") * F.col(f"m{q}"))) for p, q in pairs]
         sums = at_rows.groupBy(*keys).agg(F.first("theta").alias("theta"), F.array(*own).alias("g"), F.array(*curve).alias("h"))
         new = written(sums.mapInPandas(solve, schema), "softmax-step")
         parts = state.drop("theta").join(new, keys, "left") if keys else state.drop("theta").crossJoin(new)

@@ -12,6 +12,7 @@ from tidemark.operators.resampling import bootstrap_interval
 from tidemark.operators.suggest import suggestions
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import CONTESTS, contests, forecasts, models, read_table
+from tidemark.storage import written
 
 query = Registry()
 LEAST, OFTEN = 0.75, 20
@@ -53,15 +54,16 @@ def _windows(spark, sf):
 @query()
 def calibrators(spark, sf):
     """FIT9 and PRB11: four families of calibrators of every model, fitted on the earlier window and scored on the later one."""
-    m = _windows(spark, sf)
+    m = written(_windows(spark, sf).groupBy("model_id", "p", "y", "early").agg(F.count("*").alias("rows_n")), "calibrators")  # equal forecasts are one row
+    mean = lambda x: F.sum(F.col("rows_n") * x) / F.sum("rows_n")
     out = None
     for name, family in softmax.CALIBRATORS.items():
         features, start = family(F.col("p"))
-        fitted = softmax.fit(m.where("early"), ["model_id"], F.col("y"), features, start, ridge=1.0)
+        fitted = softmax.fit(m.where("early"), ["model_id"], F.col("y"), features, start, ridge=1.0, weight=F.col("rows_n"))
         q = m.where("not early").join(fitted, "model_id").withColumn("q", softmax.probabilities(features, F.col("theta")))
         part = q.groupBy("model_id").agg(
-            F.lit(name).alias("method"), F.first("status").alias("status"), F.first("n").alias("fit_n"), F.first("theta").alias("theta"), F.count("*").alias("n"),
-            F.avg(scores.log_loss(F.col("p"), F.col("y"))).alias("loss_before"), F.avg(scores.log_loss(F.col("q"), F.col("y"))).alias("loss_after"),
+            F.lit(name).alias("method"), F.first("status").alias("status"), F.first("n").alias("fit_n"), F.first("theta").alias("theta"), F.sum("rows_n").alias("n"),
+            mean(scores.log_loss(F.col("p"), F.col("y"))).alias("loss_before"), mean(scores.log_loss(F.col("q"), F.col("y"))).alias("loss_after"),
         )
         out = part if out is None else out.unionByName(part)
     return out

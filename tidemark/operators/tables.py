@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
 
 def prefer(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
     """All of primary, and of secondary the rows whose key primary lacks (null keys are never found, so they stay)."""
@@ -89,3 +93,18 @@ def spread(df: DataFrame) -> DataFrame:
     """df over all cores before costly row-wise maths, if its files give fewer partitions than there are cores; large tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once_per(df: DataFrame, keys: list[str], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that `build` adds to its distinct keys (null is a key): costly row-wise maths of few columns, done once for each combination of their values.
+
+    What was built is written first, so that Spark knows its size when it joins.
+    """
+    built = build(spread(df.select(*keys).distinct()))
+    added = [c for c in built.columns if c not in keys]
+    right = written(built, "once").select(*[F.col(k).alias(f"__{k}") for k in keys], *added)
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    on = same[0]
+    for one in same[1:]:
+        on = on & one
+    return df.join(right, on, "left").drop(*[f"__{k}" for k in keys])

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidemark.functions import grids
 from tidemark.operators.adjusted import adjusted_form, opponent_adjusted, side_means
 from tidemark.operators.asof import as_of
+from tidemark.operators.tables import once_per
 from tidemark.plans.asof_plans import ALL, ASK, LAST, OVER, _rows
 from tidemark.plans.registry import Registry
-from tidemark.plans.score_plans import _GRID, _grid
+from tidemark.plans.score_plans import _GRID, _grid, _rates
 from tidemark.sources.tables import CONTESTS, ENTITY
 
 query = Registry()
@@ -70,4 +71,5 @@ _TEAM = ", ".join(f"coalesce(sum(p) filter ({c} > {k}), 0) as {n}_over_{k}_5" fo
 sum(p) filter (h > a) / sum(p) filter (h <> a) as left_if_no_draw, sum(p) filter (h < a) / sum(p) filter (h <> a) as right_if_no_draw, {_TEAM}, {_TOTALS}, sum(p) filter (h + a >= 7) as total_7_up from cells group by 1""")
 def side_markets(spark, sf):
     """PRB5: double chance, draw no bet, totals of either side and the distribution of the total, read off the grid in one pass."""
-    return _grid(spark, sf).select("contest_id", grids.side_markets(F.col("grid")).alias("m")).select("contest_id", "m.*")
+    own = lambda r: _grid(r).select("x", "y", grids.side_markets(F.col("grid")).alias("m"))
+    return once_per(_rates(spark, sf).select("contest_id", "x", "y"), ["x", "y"], own).select("contest_id", "m.*")

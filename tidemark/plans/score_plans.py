@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import grids, scores
 from tidemark.operators import prices
 from tidemark.operators.resampling import block_bootstrap, holm
-from tidemark.operators.tables import spread
+from tidemark.operators.tables import once_per
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import CONTESTS, FORECASTS, MODELS, QUOTES, contests, forecasts, models, quotes
 
@@ -64,8 +64,9 @@ cells0 as (select contest_id, left_n, right_n, h, a, px[h + 1] * py[a + 1] * cas
 cells as (select contest_id, left_n, right_n, h, a, p / sum(p) over (partition by contest_id) as p from cells0)"""
 
 
-def _grid(spark, sf) -> DataFrame:
-    r, x, y = spread(_rates(spark, sf)), F.col("x"), F.col("y")
+def _grid(rates: DataFrame) -> DataFrame:
+    """px, py and grid of rates x and y."""
+    r, x, y = rates, F.col("x"), F.col("y")
     r = r.withColumns({"px": grids.poisson_pmf(x, 8), "py": grids.poisson_pmf(y, 8)})
     return r.withColumn("grid", grids.score_grid(F.col("px"), F.col("py"), F.lit(-0.05), (x, y)))
 
@@ -74,7 +75,8 @@ def _grid(spark, sf) -> DataFrame:
 sum(p) filter (h - a > 1) as handicap_left, sum(h * p) as mean_left, sum(a * p) as mean_right, sum(p) filter (h + a > 1.5) as over_1_5, sum(p) filter (h + a > 2.5) as over_2_5, sum(p) filter (h + a > 3.5) as over_3_5 from cells group by 1""")
 def grid_markets(spark, sf):
     """PRB3 to PRB5: Poisson pmfs, corrected score grid and the probabilities read off it, without a UDF."""
-    return _grid(spark, sf).select("contest_id", grids.markets(F.col("grid")).alias("m")).select("contest_id", "m.*")
+    own = lambda r: _grid(r).select("x", "y", grids.markets(F.col("grid")).alias("m"))
+    return once_per(_rates(spark, sf).select("contest_id", "x", "y"), ["x", "y"], own).select("contest_id", "m.*")
 
 
 @query(f"""with {_GRID}, o as (select *, row_number() over (partition by contest_id order by -round(p, 12), h, a) as k from cells),
@@ -82,26 +84,34 @@ t as (select contest_id, string_agg(h || '-' || a, ',' order by k) filter (k <=
 select contest_id, top3, hit_rank = 1 as top1, hit_rank <= 3 as in_top3, -ln(greatest(p_hit, 1e-15)) as exact_loss from t""")
 def exact_scores(spark, sf):
     """MET5 and SRT2: likeliest cells, exact-score hits and loss."""
-    g = _grid(spark, sf)
-    cell = F.concat_ws("-", "left_n", "right_n")
-    top = grids.top_cells(F.col("grid"), 3)
-    p = grids.region(F.col("grid"), lambda h, a: (h == F.col("left_n")) & (a == F.col("right_n")))
-    return g.select("contest_id", F.array_join(top, ",").alias("top3"), (F.get(top, 0) == cell).alias("top1"), F.array_contains(top, cell).alias("in_top3"), (-F.log(F.greatest(p, F.lit(1e-15)))).alias("exact_loss"))
+    def own(rates: DataFrame) -> DataFrame:
+        g = _grid(rates)
+        cell = F.concat_ws("-", "left_n", "right_n")
+        g = g.withColumn("top", grids.top_cells(F.col("grid"), 3))
+        p = grids.region(F.col("grid"), lambda h, a: (h == F.col("left_n")) & (a == F.col("right_n")))
+        return g.select(*keys, F.array_join("top", ",").alias("top3"), (F.get("top", 0) == cell).alias("top1"), F.array_contains("top", cell).alias("in_top3"), (-F.log(F.greatest(p, F.lit(1e-15)))).alias("exact_loss"))
+
+    keys = ["x", "y", "left_n", "right_n"]
+    return once_per(_rates(spark, sf), keys, own).select("contest_id", "top3", "top1", "in_top3", "exact_loss")
 
 
 @query(f"""with {_GRID}, r as (select contest_id, h, a, p, sum(case when h > a then p end) over w as l, sum(case when h = a then p end) over w as d, sum(case when h < a then p end) over w as g from cells window w as (partition by contest_id))
 select contest_id, sum(p * case when h > a then 0.5 / l when h = a then 0.3 / d else 0.2 / g end) filter (h + a > 2.5) as over_2_5, sum(p * case when h > a then 0.5 / l when h = a then 0.3 / d else 0.2 / g end) as mass from r group by 1""")
 def rescaled_grid(spark, sf):
     """PRB6: the grid scaled to a blended headline."""
-    g = _grid(spark, sf).withColumn("new", grids.rescale(F.col("grid"), F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))))
-    return g.select("contest_id", grids.region(F.col("new"), lambda h, a: h + a > 2.5).alias("over_2_5"), grids.region(F.col("new"), lambda h, a: F.lit(True)).alias("mass"))
+    def own(rates: DataFrame) -> DataFrame:
+        g = _grid(rates).withColumn("new", grids.rescale(F.col("grid"), F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))))
+        return g.select("x", "y", grids.region(F.col("new"), lambda h, a: h + a > 2.5).alias("over_2_5"), grids.region(F.col("new"), lambda h, a: F.lit(True)).alias("mass"))
+
+    return once_per(_rates(spark, sf).select("contest_id", "x", "y"), ["x", "y"], own).select("contest_id", "over_2_5", "mass")
 
 
 @query(f"""with {_GRID}, c as (select contest_id, h + a as k, sum(px[h + 1] * py[a + 1]) as p from pf, range(9) g(h), range(9) j(a) group by 1, 2) select contest_id, sum(p) filter (k <= 2) as under_2_5, sum(k * p) as mean_total from c group by 1""")
 def total_counts(spark, sf):
     """PRB7: distribution of the total by convolution."""
     t = grids.convolve(F.col("px"), F.col("py"))
-    return _grid(spark, sf).select("contest_id", prices.total(F.slice(t, 1, 3)).alias("under_2_5"), prices.total(F.transform(t, lambda p, k: k * p)).alias("mean_total"))
+    own = lambda r: _grid(r).select("x", "y", prices.total(F.slice(t, 1, 3)).alias("under_2_5"), prices.total(F.transform(t, lambda p, k: k * p)).alias("mean_total"))
+    return once_per(_rates(spark, sf).select("contest_id", "x", "y"), ["x", "y"], own).select("contest_id", "under_2_5", "mean_total")
 
 
 _M = f"with {CONTESTS}, {FORECASTS}, {MODELS}"

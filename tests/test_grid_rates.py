@@ -6,7 +6,7 @@ import pytest
 
 from tidemark.plans import catalog
 
-GRIDS = ["exact_scores", "side_markets", "rescaled_grid", "grid_markets", "total_counts"]
+GRIDS = ["exact_scores", "side_markets", "rescaled_grid", "grid_markets", "in_play", "total_counts"]
 
 
 @pytest.mark.parametrize("name", GRIDS)

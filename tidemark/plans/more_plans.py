@@ -104,10 +104,14 @@ def availability_block(spark, sf):
 select contest_id, sum(p) filter (1 + h > a) / sum(p) as p_left, sum(p) filter (1 + h = a) / sum(p) as p_draw from g group by 1""")
 def in_play(spark, sf):
     """PRB8: chances at minute 30 with the left side one ahead, from the rates of the time that is left."""
-    r = tables.spread(_rates(spark, sf).select("contest_id", (F.col("x") * 60 / 90).alias("x"), (F.col("y") * 60 / 90).alias("y")))
+    r = _rates(spark, sf).select("contest_id", (F.col("x") * 60 / 90).alias("x"), (F.col("y") * 60 / 90).alias("y"))
     head = lambda c: F.slice(grids.poisson_pmf(F.col(c), 8), 1, 8)
-    g = r.select("contest_id", grids.score_grid(head("x"), head("y")).alias("g"))
-    return g.select("contest_id", grids.region(F.col("g"), lambda h, a: h + 1 > a).alias("p_left"), grids.region(F.col("g"), lambda h, a: h + 1 == a).alias("p_draw"))
+
+    def own(rates: DataFrame) -> DataFrame:
+        g = rates.withColumn("g", grids.score_grid(head("x"), head("y")))
+        return g.select("x", "y", grids.region(F.col("g"), lambda h, a: h + 1 > a).alias("p_left"), grids.region(F.col("g"), lambda h, a: h + 1 == a).alias("p_draw"))
+
+    return tables.once_per(r, ["x", "y"], own).select("contest_id", "p_left", "p_draw")
 
 
 @query(f"""{_M}, l as (select contest_id, model_id, unnest(['log_loss', 'brier', 'abs_first']) as target, unnest([{_LOSS}, {_BRIER}, abs(p0 - cast(y = 0 as int))]) as v from models)

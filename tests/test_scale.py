@@ -68,3 +68,34 @@ def test_logits_write_equal_rows_once(spark, monkeypatch):
     again = softmax.fit(counts, ["k"], F.col("y"), features, start, 1.0, steps=4, weight=F.col("c")).first()
     assert found.n == again.n == 4000 and found.theta == pytest.approx(again.theta, abs=1e-12)
     assert held["softmax-rows"] == [30, 30]
+
+
+def test_names_meet_few_others(spark):
+    """Only similar pairs leave the join, and none of them is lost, long names included."""
+    import random
+
+    from tidemark.operators import suggest
+
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(1, 14))) for _ in range(700)} | {"".join(rng.choices("abc", k=k)) for k in (30, 33, 40)})
+    names = set()
+    for w in rng.sample(known, 150) + known[-3:] + [x for x in known if len(x) >= 30]:
+        w = list(w)
+        for _ in range(rng.randint(1, 1 + len(w) // 4)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at : at + (kind > 0)] = [rng.choice("abcdefgh")] if kind < 2 else []
+        names.add("".join(w))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    left, right = spark.createDataFrame([(n,) for n in names], "a string"), spark.createDataFrame([(k,) for k in known], "b string")
+    for least in (0.55, 0.75):
+        wanted = {(a, b) for a in names for b in known if a and 1 - edits(a, b) / max(len(a), len(b)) >= least - 1e-12}
+        assert {(r.a, r.b) for r in suggest.similar_names(left, right, "a", "b", least).collect()} == wanted
+    assert suggest.segment_pairs(left, right, 0.75).count() <= len(wanted) < suggest.bigram_pairs(left, right, 0.75).count() / 12  # what met before

@@ -1,10 +1,14 @@
-"""Suggestions for names that are not known: every known name above a similarity, found over rare bigrams, the best few for each name."""
+"""Suggestions for names that are not known: every known name above a similarity, found over segments or (long names) rare bigrams, the best few for each name."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import written
+
+#: Names of more letters than this are paired over bigrams, as their segments have too many places.
+LONG = 32
 #: Bigrams are taken of a name with this before and after it.
 EDGE = "\x02"
 
@@ -21,17 +25,51 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
-def similar_names(names: DataFrame, known: DataFrame, name: str, other: str, least: float) -> DataFrame:
-    """(name, other, similarity) of all pairs with at least this similarity (over one half).
+def _segment(m: Column, d: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of part i of a name of m letters that is cut into d + 1 parts."""
+    cut = lambda k: F.floor(k * m / (d + 1)).cast("int")
+    return cut(i), cut(i + 1) - cut(i)
+
+
+def letters(name: Column) -> Column:
+    """64 bits: one is set for each letter (code modulo 64) that occurs an odd number of times; an edit changes at most two."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.ascii(c), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda s, c: F.when(c == "", s).otherwise(s.bitwiseXOR(bit(c))))
+
+
+def segment_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of the similarity among the names a and b.
+
+    The longer name's length gives the edits d that the similarity allows. Of d + 1 parts of b one stands in a unchanged, with at most i edits before part i and d - i
+    after it, so it starts there at one of few places.
+    Of the pairs that meet there, those whose letters allow d edits are verified.
+    """
+    whole = lambda c: F.floor(c + 1e-9).cast("int")
+    share, n, m, d, i = 1 - least, F.length("a"), F.length("b"), F.col("d"), F.col("i")
+    each = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+    start, size = _segment(F.col("m"), d, i)
+    parts = each(right.select("b", letters(F.col("b")).alias("of_b"), m.alias("m"), F.explode(F.sequence(whole(share * m), whole(share * whole(m / least)))).alias("d"))).select("b", "of_b", "m", "d", "i", F.substring(F.col("b"), start + 1, size).alias("part"))
+    lengths = left.select("a", letters(F.col("a")).alias("of_a"), n.alias("n"), F.explode(F.sequence(F.ceil(least * n - 1e-9).cast("int"), whole(n / least))).alias("m"))
+    asked = each(lengths.withColumn("d", whole(share * F.greatest("n", "m")))).withColumns({"start": start, "size": size, "more": F.col("n") - F.col("m")})
+    low = F.greatest(F.col("start") - i, F.col("start") + F.col("more") - (d - i), F.lit(0))
+    high = F.least(F.col("start") + i, F.col("start") + F.col("more") + (d - i), F.col("n") - F.col("size"))
+    asked = asked.withColumns({"low": low, "high": high}).where("low <= high").withColumn("at", F.explode(F.sequence("low", "high")))
+    keys = ["m", "d", "i", "part"]
+    asked = asked.select("a", "of_a", "m", "d", "i", F.substring(F.col("a"), F.col("at") + 1, F.col("size")).alias("part"))
+    asked = asked.repartition(8 * left.sparkSession.sparkContext.defaultParallelism, *keys)  # few bytes, much work: not to be merged into few tasks
+    x, y = asked.alias("x"), parts.alias("y")
+    may = F.bit_count(F.col("of_a").bitwiseXOR(F.col("of_b"))) <= 2 * F.col("x.d")
+    meet = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+    verified = F.when(may, similarity(F.col("a"), F.col("b")) >= least - 1e-12).otherwise(False)  # the dear test only where the cheap one holds
+    return x.join(y, meet[0] & meet[1] & meet[2] & meet[3] & verified).select("a", "b").distinct()
+
+
+def bigram_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b): candidates for the similarity, over bigrams; none is lost.
 
     Edits change two bigrams each, so names of n and m letters that similar share at least 1 + (2 least - 1) max(n, m) bigrams. A pair then shares one of the rarest
-    few of each side, in one order of rarity for both: only those meet, within the lengths that the similarity allows, and every pair is verified. Null and empty names
-    have no partners; repeated names count once.
+    few of each side, in one order of rarity for both: only those meet, within the lengths that the similarity allows.
     """
-    if not 0.5 < least <= 1:
-        raise ValueError("the similarity must be over one half")
-    text = lambda df, c, to: df.select(F.col(c).alias(to)).where(F.length(to) > 0).distinct()
-    left, right = text(names, name, "a"), text(known, other, "b")
     spread = lambda df, c: df.select(c, F.explode(bigrams(F.col(c))).alias("gram"))
     lg, rg = spread(left, "a"), spread(right, "b")
     count = lg.select("gram").unionByName(rg.select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
@@ -42,12 +80,25 @@ def similar_names(names: DataFrame, known: DataFrame, name: str, other: str, lea
         return df.join(count, "gram").withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.length(c) + 1 - shared + 1).select(c, "gram", F.length(c).alias(f"n{c}"))
 
     near = (F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
-    pairs = rare(lg, "a").join(rare(rg, "b"), "gram").where(near).select("a", "b").distinct()
+    return rare(lg, "a").join(rare(rg, "b"), "gram").where(near).select("a", "b").distinct()
+
+
+def similar_names(names: DataFrame, known: DataFrame, name: str, other: str, least: float) -> DataFrame:
+    """(name, other, similarity) of all pairs with at least this similarity (over one half), every pair verified. Null and empty names have no partners; repeated names count once."""
+    if not 0.5 < least <= 1:
+        raise ValueError("the similarity must be over one half")
+    text = lambda df, c, to: df.select(F.col(c).alias(to)).where(F.length(to) > 0).distinct()
+    left, right = written(text(names, name, "a"), "names"), written(text(known, other, "b"), "known")
+    pairs = segment_pairs(left.where(F.length("a") <= LONG), right, least)
+    long = left.where(F.length("a") > LONG)
+    if not long.isEmpty():
+        pairs = pairs.unionByName(bigram_pairs(long, right.where(F.length("b") >= least * LONG), least))
     return pairs.withColumn("similarity", similarity(F.col("a"), F.col("b"))).where(F.col("similarity") >= least - 1e-12).select(F.col("a").alias(name), F.col("b").alias(other), "similarity")
 
 
 def suggestions(names: DataFrame, known: DataFrame, name: str, other: str, least: float = 0.75, most: int = 3) -> DataFrame:
     """(name, other, similarity, rank): the best `most` known names of each unresolved one; ties by the known name. Names that are known need none and are left out."""
+    known = written(known.select(other), "known-names")
     open_names = names.join(known.select(F.col(other).alias(name)), name, "left_anti")
     best = Window.partitionBy(name).orderBy(F.desc("similarity"), other)
     return similar_names(open_names, known, name, other, least).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= most)

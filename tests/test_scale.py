@@ -99,3 +99,15 @@ def test_names_meet_few_others(spark):
         wanted = {(a, b) for a in names for b in known if a and 1 - edits(a, b) / max(len(a), len(b)) >= least - 1e-12}
         assert {(r.a, r.b) for r in suggest.similar_names(left, right, "a", "b", least).collect()} == wanted
     assert suggest.segment_pairs(left, right, 0.75).count() <= len(wanted) < suggest.bigram_pairs(left, right, 0.75).count() / 12  # what met before
+
+
+def test_price_tasks_grow_in_number_not_in_size(spark, sf, duck, monkeypatch):
+    """Prices are numbered in tasks of a bounded number of rows, and give the same triples."""
+    from tests.compare import check
+    from tidemark.sources import tables
+
+    monkeypatch.setattr(tables, "QUOTE_ROWS", 100)
+    rows = tables.read_table(spark, sf, "lineitem").count()
+    q = tables.quotes(spark, sf)
+    assert q.rdd.getNumPartitions() == rows // 100
+    check(catalog.QUERIES["fair_prices"](spark, sf), duck.sql(catalog.ORACLES["fair_prices"]))

@@ -63,11 +63,18 @@ ENTITY = """entity_rows as (
         union all select *, 'R', right_id, left_id, right_n, left_n from contests))"""
 
 
+#: Rows of prices that one task numbers, about; what it holds does not grow with the table.
+QUOTE_ROWS = 250_000
+
+
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices of three outcomes by five makers; the files have no key, so rows are numbered over all columns."""
     from pyspark.sql import Window
 
     l = read_table(spark, sf_dir, "lineitem")  # noqa: E741
+    tasks = l.count() // QUOTE_ROWS
+    if tasks > 1:  # a set number, as merged tasks would each sort a share of the table
+        l = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax").repartition(tasks, "l_orderkey")  # noqa: E741
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
     seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long")
     return l.select(

@@ -80,3 +80,19 @@ def test_triples_meet_over_batches(spark, tmp_path):
     s = files(spark, tmp_path, "contest int, maker string, outcome int, price double, stated_at timestamp, seen_at timestamp", batches)
     found = run_once(stateful.quote_triples(s, "10 minutes"), "triples").collect()
     assert sorted((r.maker, r["at"], r.a, r.b, r.c) for r in found) == [("m", at(5), 2.0, 3.0, 4.0), ("m", at(7), 2.0, 3.0, 4.0)]
+
+
+def test_keys_share_lots(spark, tmp_path):
+    """Many keys to a lot give what a lot for each key gives, keys of no value included; before, each key had a call and four timers of its own."""
+    stateful.state_store(spark)
+    key = lambda i: None if i == 7 else i
+    facts = [[(key(i), at(i % 50 + 60 * b), at(100 + i) if b != 1 or i % 3 else None, float(i + b)) for i in range(40) for _ in range(1 + i % 3)] for b in range(3)] + [[(99, at(400), at(900), 0.0)]]
+    polls = [[(key(i), at(20 * b + i % 7), T0, "IN_PLAY" if i % 5 else "FINISHED", (i + b) % 2, i if i % 4 == 0 else None, 30 + b if i % 3 else None) for i in range(40)] for b in range(3)]
+    found = []
+    for lots in (1, 4096):
+        (tmp_path / f"f{lots}").mkdir(), (tmp_path / f"p{lots}").mkdir()
+        s = files(spark, tmp_path / f"f{lots}", "key long, at timestamp, event_at timestamp, value double", facts)
+        p = files(spark, tmp_path / f"p{lots}", "key long, at timestamp, start_at timestamp, status string, total long, reported int, event_minute int", polls)
+        frozen = run_once(stateful.freeze_stages(s, "key", "at", "event_at", "value", {"early": 90, "late": 20}, "10 minutes", lots), "stages").drop("late_minutes", "missed")
+        found.append([sorted(map(repr, d.collect())) for d in (frozen, run_once(stateful.changed_states(p, "key", lots=lots), "states"))])
+    assert found[0] == found[1] and len(found[0][0]) == 80 and len(found[0][1]) >= 40

@@ -13,7 +13,6 @@ from tidemark.operators import fits
 from tidemark.plans.registry import Registry
 from tidemark.plans.score_plans import _M
 from tidemark.sources.tables import CONTESTS, FORECASTS, contests, forecasts, models, outcome
-from tidemark.storage import written
 
 query = Registry()
 
@@ -66,8 +65,9 @@ def temperature_grid(spark, sf):
     """FIT9 (grid): a temperature of least loss for each model, the whole grid in one aggregate."""
     p = F.array("p0", "p1", "p2")
     m = models(forecasts(contests(spark, sf)))
+    m = m.groupBy("model_id", "p0", "p1", "p2", "y").agg(F.count("*").alias("n"))  # equal rows lose the same
     losses = {f"t{int(t * 100):04d}": scores.log_loss(scores.temperature(p, t), F.col("y")) for t in (0.6, 0.8, 1.0, 1.25, 1.6, 2.0, 3.0)}
-    means = m.groupBy("model_id").agg(*[F.round(F.avg(c), 9).alias(n) for n, c in losses.items()])
+    means = m.groupBy("model_id").agg(*[F.round(F.sum(F.col("n") * c) / F.sum(F.when(c.isNotNull(), F.col("n"))), 9).alias(n) for n, c in losses.items()])
     best = fits.best_of_grid(means, {n: F.col(n) for n in losses}, ["model_id"])
     return best.select("model_id", (F.substring("name", 2, 4).cast("double") / 100).alias("temperature"), F.round("loss", 9).alias("loss"))
 

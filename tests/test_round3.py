@@ -15,3 +15,19 @@ def test_temperatures_are_tried_on_distinct_rows(spark, sf):
     """Equal vectors with equal outcomes are one row with a number; before, every row was raised to every temperature."""
     inner = [a for a in re.findall(r"Aggregate \[([^\]]*)\]", plan(QUERIES["temperature_grid"](spark, sf))) if "p0#" in a and "y#" in a]
     assert inner
+
+
+def test_met_opponents_carry_little(spark, sf):
+    """The rows of opponents met (ten for each row asking) carry a number, a time, the opponent and a count; before, they carried all columns of the row asking and its level."""
+    exploded = [g for g in re.findall(r"Project \[([^\]]*)\]\s*\n[^\n]*Generate explode\(held", plan(QUERIES["opponent_adjusted_mean"](spark, sf)))]
+    assert exploded and all("contest_id#" not in g and "entity_id#" not in g for g in exploded)
+
+
+def test_trees_read_written_rows(spark, sf, monkeypatch):
+    """The fit reads its rows several times, so they are written once; before, each pass made both as-of joins again."""
+    from tidemark.plans import fit_plans
+
+    names = []
+    kept = fit_plans.written
+    monkeypatch.setattr(fit_plans, "written", lambda df, name: names.append(name) or kept(df, name))
+    assert QUERIES["tree_forecast"](spark, sf).count() == 1000 and names == ["tree-rows"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import as_of, last_state
 from tidemark.operators.features import running
+from tidemark.storage import written
 
 
 def overall_as_of(asking: DataFrame, facts: DataFrame, ask_at: str, known_at: str, value: str, strict: bool = False) -> DataFrame:
@@ -60,11 +61,13 @@ def opponent_adjusted(asking: DataFrame, rows: DataFrame, last: int = 10, least:
     known = _settled(rows).withColumn("met", F.struct("opp_id", "own_n"))
     state = _state(known, ["entity_id"], {"held": (F.collect_list, "met", last, least), "conceded": (F.avg, "opp_n", None, least)})
     asked = as_of(asking.withColumn("ask", F.monotonically_increasing_id()), state, ["entity_id"], "cutoff", "available_at", ["held"]).drop("available_at")
-    each = asked.select("*", F.explode_outer("held").alias("one")).select(*asking.columns, "ask", F.col("one.opp_id").alias("met_id"), F.col("one.own_n").alias("scored"))
+    asked = written(asked, "asked")  # both sides below go by its numbers; the rows of opponents met carry nothing but these
+    each = asked.select("ask", "cutoff", F.explode("held").alias("one")).select("ask", "cutoff", F.col("one.opp_id").alias("met_id"), F.col("one.own_n").alias("scored"))
     rated = as_of(each, state.select(F.col("entity_id").alias("met_id"), "available_at", "conceded"), ["met_id"], "cutoff", "available_at", ["conceded"])
-    level = overall_as_of(rated.drop("available_at"), known, "cutoff", "available_at", "own_n")
-    gain = F.col("scored") - F.coalesce("conceded", F.col("overall_sum") / F.col("overall_n"))
-    return level.groupBy("ask", *asking.columns).agg(F.avg(gain).alias("adjusted")).drop("ask")
+    found = rated.groupBy("ask").agg(F.sum(F.col("scored") - F.coalesce("conceded", F.lit(0.0))).alias("gain"), F.sum(F.col("conceded").isNull().cast("long")).alias("unknown"), F.count("*").alias("met"))
+    level = overall_as_of(asked.drop("held"), known, "cutoff", "available_at", "own_n").join(found, "ask", "left")
+    gain = F.when(F.col("unknown") > 0, F.col("gain") - F.col("unknown") * F.col("overall_sum") / F.col("overall_n")).otherwise(F.col("gain"))
+    return level.select(*asking.columns, (gain / F.col("met")).alias("adjusted"))
 
 
 def adjusted_form(rows: DataFrame, shrink: float = 5.0, last: int = 10, least: int = 3, prior: float = 1.3) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.operators import fits
 from tidemark.plans.registry import Registry
 from tidemark.plans.score_plans import _M
 from tidemark.sources.tables import CONTESTS, FORECASTS, contests, forecasts, models, outcome
+from tidemark.storage import written
 
 query = Registry()
 
@@ -101,6 +102,7 @@ def tree_forecast(spark, sf):
     c = contests(spark, sf)
     f = form_last_n(spark, sf).where("side = 'L'").join(rest_days(spark, sf).where("side = 'L'").select("contest_id", "rest_capped"), "contest_id")
     f = f.join(c.select("contest_id", "event_ts", (outcome() == 0).cast("double").alias("label")), "contest_id").withColumn("has_form", F.col("form5").isNotNull().cast("double")).fillna(5, ["form3", "form5", "form10"])
+    f = written(f.select("contest_id", "event_ts", "label", "form3", "form5", "form10", "has_form", "rest_capped"), "tree-rows")  # the fit reads its rows several times
     x = VectorAssembler(inputCols=["form3", "form5", "form10", "has_form", "rest_capped"], outputCol="x").transform(f)
     model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=1).fit(x.where("event_ts < timestamp '2024-01-15'"))
     return model.transform(x).select("contest_id", F.round(vector_to_array("probability").getItem(1), 6).alias("p0"))

@@ -96,3 +96,15 @@ def test_weights_priors_neutral_and_several_models(spark):
     one = {r.entity: r for r in p.where("model = 'm1'").collect()}
     (level,) = levels.where("model = 'm1'").collect()
     assert new.left_rate == pytest.approx(np.exp(level.level - one["e1"].defence + level.edge)) and next(r for r in told if r.model == "m9").left_rate is None
+
+
+def test_cells_meet_both_sides_once(spark, monkeypatch):
+    """Level, edge and gradient come from the entities' sums, so only the last levels join both sides to the cells; before, each sweep and each look at the gradient did."""
+    from tidemark.operators import ridge_rates
+
+    calls, kept = [], ridge_rates._sides
+    monkeypatch.setattr(ridge_rates, "_sides", lambda *a: calls.append(1) or kept(*a))
+    rows = spark.createDataFrame([("m", i % 5, (i + 1 + i // 5) % 5, i % 4, (i * 3) % 3) for i in range(60) if i % 5 != (i + 1 + i // 5) % 5], "model string, l long, r long, a long, b long")
+    _, levels = ridge_rates.fit(rows, "l", "r", "a", "b", F.col("model"))
+    found = levels.first()
+    assert len(calls) == 1 and found.gradient < 1e-6

@@ -3,8 +3,8 @@
 A side's count has the rate exp(attack of its entity - defence of the other + x h): x is 1 for the left side, 0 for the right one and one half for
 both where the venue is neutral; h is the model's edge. Attacks are drawn to the model's level plus their group's term (plus a prior, if
 given), defences to their group's term (less the prior), group terms to zero. The penalised likelihood is convex, and each of its blocks
-(attacks, defences, edge with level, levels with group terms) has its exact minimum from one sum a key, so a sweep is three aggregates over cells of rows
-that share model, sides and venue, and a few over parameters.
+(attacks, defences, edge with level, levels with group terms) has its exact minimum from one sum a key. A sweep is two joins and aggregates over cells of rows
+that share model, sides and venue; level, edge and gradient come from the entities' sums of these.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _means(p: DataFrame, ridge: dict[str, float]) -> DataFrame:
     attack_term = ra * F.col("n") * (F.col("a") - F.col("level")) / (ra * F.col("n") + ga)
     defence_term = rd * F.col("n") * (F.col("s") - F.col("shift")) / (rd * F.col("n") + gd)
     g = g.select("model", "grp", (F.col("level") - F.col("shift")).alias("level"), "shift", attack_term.alias("attack_term"), defence_term.alias("defence_term"))
-    own = p.select("model", "entity", "grp", "prior", "attack", "defence").join(g, ["model", "grp"])
+    own = p.drop("level", "attack_term", "defence_term").join(g, ["model", "grp"])
     return own.withColumn("attack", F.col("attack") - F.col("shift")).withColumn("defence", F.col("defence") - F.col("shift")).drop("shift")
 
 
@@ -72,33 +72,39 @@ def fit(rows: DataFrame, left: str, right: str, left_n: str, right_n: str, model
     """
     none = F.lit(False)
     data = written(cells(rows, model, left, right, left_n, right_n, none if neutral is None else neutral, F.lit(1.0) if weight is None else weight), "rate-cells")
-    p = data.select("model", F.col("own").alias("entity")).union(data.select("model", "opp")).distinct().withColumn("grp", F.lit("all") if group is None else group.cast("string"))
+    end = lambda e, t, f: F.struct(F.col(e).alias("entity"), t.alias("own_y"), f.alias("opp_y"))
+    ends = data.select("model", F.explode(F.array(end("own", F.col("y"), F.lit(0.0)), end("opp", F.lit(0.0), F.col("y")))).alias("s")).select("model", "s.*")
+    p = ends.groupBy("model", "entity").agg(F.sum("own_y").alias("own_y"), F.sum("opp_y").alias("opp_y")).withColumn("grp", F.lit("all") if group is None else group.cast("string"))
     p = p.join(prior, "entity", "left").fillna(0.0, ["prior"]) if prior is not None else p.withColumn("prior", F.lit(0.0))
-    start = data.groupBy("model").agg(F.log(F.greatest(F.sum("y") / F.sum("w"), F.lit(1e-3))).alias("start"))
-    p = p.join(start, "model").select("model", "entity", "grp", "prior", F.col("start").alias("attack"), F.lit(0.0).alias("defence"))
-    edge = written(start.select("model", F.lit(0.0).alias("edge")), "edges")
+    at = lambda x: F.sum(F.when(F.col("x") == x, F.col("y")).otherwise(0.0))
+    of_model = written(data.groupBy("model").agg(F.log(F.greatest(F.sum("y") / F.sum("w"), F.lit(1e-3))).alias("start"), F.sum("y").alias("total"), (at(1.0) + at(0.5) / 2).alias("tilt")), "rate-models")
+    p = p.join(of_model.select("model", "start"), "model").withColumns({"attack": F.col("start"), "defence": F.lit(0.0), "edge": F.lit(0.0), "steep": F.lit(None).cast("double")}).drop("start")
     p = written(_means(p, ridge), "rates")
-    for k in range(sweeps):
-        at = data.join(edge, "model").withColumn("lift", F.col("w") * F.exp(F.col("x") * F.col("edge")))
-        sums = at.join(p.select("model", F.col("entity").alias("opp"), "defence"), ["model", "opp"]).groupBy("model", F.col("own").alias("entity")).agg(F.sum(F.col("lift") * F.exp(-F.col("defence"))).alias("e"), F.sum("y").alias("t"))
+    for _ in range(sweeps):
+        # what the attacks meet, which also tells the gradient where the last sweep ended
+        sums = data.join(p.select("model", F.col("entity").alias("opp"), "defence", "edge"), ["model", "opp"]).groupBy("model", F.col("own").alias("entity")).agg(F.sum(F.col("w") * F.exp(F.col("x") * F.col("edge") - F.col("defence"))).alias("e"))
         mean = F.col("level") + F.col("attack_term") + F.col("prior")
-        p = p.join(sums, ["model", "entity"], "left").fillna(0.0, ["e", "t"]).withColumn("attack", _root(F.col("attack"), F.col("e"), F.col("t"), ridge["attack"], mean)).drop("e", "t")
-        p = written(p, "rates-attack")
-        sums = at.join(p.select("model", F.col("entity").alias("own"), "attack"), ["model", "own"]).groupBy("model", F.col("opp").alias("entity")).agg(F.sum(F.col("lift") * F.exp("attack")).alias("e"), F.sum("y").alias("t"))
-        mean = F.col("prior") - F.col("defence_term")
-        p = p.join(sums, ["model", "entity"], "left").fillna(0.0, ["e", "t"]).withColumn("defence", -_root(-F.col("defence"), F.col("e"), F.col("t"), ridge["defence"], mean)).drop("e", "t")
-        p = written(_means(p, ridge), "rates-defence")
-        base = F.col("w") * F.exp(F.col("attack") - F.col("defence"))
-        of = lambda c, x: F.sum(F.when(F.col("x") == x, c).otherwise(0.0))
-        sums = _sides(data, p).groupBy("model").agg(of(base, 1.0).alias("home"), of(base, 0.0).alias("away"), of(base, 0.5).alias("half"), F.sum("y").alias("total"), (of(F.col("y"), 1.0) + of(F.col("y"), 0.5) / 2).alias("tilt"))
-        both = _level_and_edge(F.col("edge"), *(F.col(c) for c in ("home", "away", "half", "total", "tilt")), ridge["edge"])
-        edge = written(edge.join(sums, "model").select("model", both.alias("b")).select("model", "b.edge", "b.rise"), "edges")
-        p = p.join(edge.select("model", "rise"), "model").withColumn("attack", F.col("attack") + F.col("rise")).withColumn("level", F.col("level") + F.col("rise")).drop("rise")
-        edge = edge.drop("rise")
-        if k % 3 == 2 or k == sweeps - 1:
-            levels = written(_levels(data, p, edge, ridge), "levels")
-            if levels.where(F.col("gradient") > tolerance * F.col("curvature")).isEmpty():
-                break
+        met = p.join(sums, ["model", "entity"], "left").fillna(0.0, ["e"]).withColumn("m", F.col("e") * F.exp("attack"))
+        steep = F.greatest(F.abs(F.col("m") - F.col("own_y") + ridge["attack"] * (F.col("attack") - mean)), F.col("steep"))
+        moved = written(met.withColumn("steep", F.when(F.col("steep").isNotNull(), steep)).withColumn("attack", _root(F.col("attack"), F.col("e"), F.col("own_y"), ridge["attack"], mean)).drop("e"), "rates-attack")
+        if moved.groupBy("model").agg(F.max("steep").alias("g"), F.sum("m").alias("m")).where(F.col("g").isNull() | (F.col("g") > tolerance * F.col("m"))).isEmpty():
+            break
+        # what the defences meet by venue: with the new defences these are the sums that level and edge need
+        by = lambda x, n: F.sum(F.when(F.col("x") == x, F.col("w") * F.exp("attack")).otherwise(0.0)).alias(n)
+        sums = data.join(moved.select("model", F.col("entity").alias("own"), "attack"), ["model", "own"]).groupBy("model", F.col("opp").alias("entity")).agg(by(1.0, "home"), by(0.0, "away"), by(0.5, "half"))
+        venues = ["home", "away", "half"]
+        p = moved.drop("m", "steep").join(sums, ["model", "entity"], "left").fillna(0.0, venues)
+        e = F.col("home") * F.exp("edge") + F.col("away") + F.col("half") * F.exp(F.col("edge") / 2)
+        p = p.withColumn("defence", -_root(-F.col("defence"), e, F.col("opp_y"), ridge["defence"], F.col("prior") - F.col("defence_term")))
+        p = written(p.withColumns({v: F.col(v) * F.exp(-F.col("defence")) for v in venues}), "rates-defence")
+        whole = p.groupBy("model").agg(*[F.sum(v).alias(v) for v in venues], F.first("edge").alias("edge")).join(of_model, "model")
+        both = whole.select("model", *venues, "tilt", _level_and_edge(F.col("edge"), *(F.col(c) for c in (*venues, "total", "tilt")), ridge["edge"]).alias("b"))
+        both = both.select("model", "b.rise", "b.edge", F.abs(F.exp("b.rise") * (F.col("home") * F.exp("b.edge") + F.col("half") * F.exp(F.col("b.edge") / 2) / 2) - F.col("tilt") + ridge["edge"] * F.col("b.edge")).alias("tilted"))
+        p = _means(p.drop("edge"), ridge).join(both, "model").withColumn("attack", F.col("attack") + F.col("rise")).withColumn("level", F.col("level") + F.col("rise"))
+        m = F.exp("rise") * (F.col("home") * F.exp("edge") + F.col("away") + F.col("half") * F.exp(F.col("edge") / 2))
+        steep = F.greatest(F.abs(F.col("opp_y") - m + ridge["defence"] * (F.col("defence") - F.col("defence_term") + F.col("prior"))), "tilted")
+        p = written(p.withColumn("steep", steep).drop("rise", "tilted", *venues), "rates")
+    levels = written(_levels(data, p.drop("edge"), p.groupBy("model").agg(F.first("edge").alias("edge")), ridge), "levels")
     return p.select("model", "entity", "grp", "attack", "defence", "attack_term", "defence_term"), levels.drop("curvature")
 
 

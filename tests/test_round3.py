@@ -31,3 +31,18 @@ def test_trees_read_written_rows(spark, sf, monkeypatch):
     kept = fit_plans.written
     monkeypatch.setattr(fit_plans, "written", lambda df, name: names.append(name) or kept(df, name))
     assert QUERIES["tree_forecast"](spark, sf).count() == 1000 and names == ["tree-rows"]
+
+
+def test_an_entity_is_one_row_under_all_variants(spark, monkeypatch):
+    """State and joins hold an entity and a contest once, with a column a variant, and a large block is several files; before, both were one row a variant and a block was one file."""
+    from tidemark.operators import ratings
+
+    held, kept, rows = [], ratings.written, spark.range(60).selectExpr(
+        "id contest", "id div 30 block", "id div 30 + 1 known", "id % 7 l", "(id + 3) % 7 r", "id % 2 lg", "(id + 1) % 2 rg", "'s' season", "id % 3 = 0 bridge", "cast(id % 3 as int) y", "1 margin"
+    )
+    monkeypatch.setattr(ratings, "written", lambda df, name: held.append((name, kept(df, name))) or held[-1][1])
+    monkeypatch.setattr(ratings, "LOT_ROWS", 5)
+    found = ratings.replay(rows, {"a": ratings.Rules(), "b": ratings.Rules(k=40.0)}, ("y",)).collect()
+    assert len(found) == 120 and len({(r.variant, r.contest) for r in found}) == 120
+    states = [df for name, df in held if name == "rating-state"]
+    assert len(states) == 2 and all(df.count() == 7 and {"r0", "r1"} <= set(df.columns) for df in states)

@@ -34,8 +34,7 @@ def block_ratings(spark, sf):
 @query()
 def tuned_ratings(spark, sf):
     """FIT16: steps and reversions as a table of variants, all in one replay; each fold takes the best of the folds before it."""
-    c = rated_contests(spark, sf)
-    scored = ratings.replay(c, VARIANTS).join(c.select("contest", "y"), "contest").select("variant", "block", ratings.loss(F.col("expected"), F.col("y")).alias("loss"))
+    scored = ratings.replay(rated_contests(spark, sf), VARIANTS, ("y",)).select("variant", "block", ratings.loss(F.col("expected"), F.col("y")).alias("loss"))
     return ratings.tuned(scored, "block")
 
 

@@ -46,3 +46,9 @@ def test_an_entity_is_one_row_under_all_variants(spark, monkeypatch):
     assert len(found) == 120 and len({(r.variant, r.contest) for r in found}) == 120
     states = [df for name, df in held if name == "rating-state"]
     assert len(states) == 2 and all(df.count() == 7 and {"r0", "r1"} <= set(df.columns) for df in states)
+
+
+def test_plug_ins_read_the_frame_once(spark, sf):
+    """All plug-ins read one pass over the common frame; before, each made its own, joins and windows included."""
+    for name in ("plugin_statuses", "stage_snapshots"):
+        assert "Union" not in plan(QUERIES[name](spark, sf)).split("Join LeftOuter")[0]

@@ -141,21 +141,21 @@ def snapshot_frame(spark, sf):
     asks = rows.select("contest_id", "side", "entity_id", "event_ts", F.explode(stages).alias("s")).select("contest_id", "side", "entity_id", "s.stage", (F.col("event_ts") - F.make_dt_interval(mins=F.col("s.minutes"))).alias("at"))
     state = last_state(running(rows, ["entity_id"], ["available_at", "contest_id"], {"form": (F.avg, "pts", 5, 5)}), ["entity_id"], "available_at", ["contest_id"])
     sides = as_of(asks, state, ["entity_id"], "at", "available_at", ["form"])
-    snap = sides.groupBy("contest_id", "stage").agg(F.max(F.when(F.col("side") == "L", F.col("form"))).alias("lf"), F.max(F.when(F.col("side") == "R", F.col("form"))).alias("rf"))
+    snap = sides.repartition("contest_id").groupBy("contest_id", "stage").agg(F.max(F.when(F.col("side") == "L", F.col("form"))).alias("lf"), F.max(F.when(F.col("side") == "R", F.col("form"))).alias("rf"))
     history = F.when(F.col("lf").isNull() | F.col("rf").isNull(), "UNKNOWN").otherwise("KNOWN")
     return snap.withColumn("history", history).join(best_triples(spark, sf).withColumnRenamed("contest", "contest_id"), "contest_id", "left")
 
 
-def _form(frame):
+def _form():
     total = F.col("lf") + F.col("rf") + 3
-    return frame.withColumns({"p0": (F.col("lf") + 1) / total, "p1": 1 / total, "p2": (F.col("rf") + 1) / total})
+    return (F.col("lf") + 1) / total, 1 / total, (F.col("rf") + 1) / total
 
 
 PLUGINS = {
-    "prior": lambda frame: frame.withColumns({"p0": F.lit(0.45), "p1": F.lit(0.27), "p2": F.lit(0.28)}),
+    "prior": lambda: (F.lit(0.45), F.lit(0.27), F.lit(0.28)),
     "form": _form,
-    "market": lambda frame: frame.withColumns({f"p{k}": 1 / F.col(f"q{k}") / F.col("over") for k in range(3)}),
-    "broken": lambda frame: frame.withColumns({"p0": F.when(F.col("contest_id") % 3 != 0, 0.5), "p1": F.when(F.col("contest_id") % 3 == 1, 0.9).otherwise(0.25), "p2": F.lit(0.25)}),
+    "market": lambda: [1 / F.col(f"q{k}") / F.col("over") for k in range(3)],
+    "broken": lambda: (F.when(F.col("contest_id") % 3 != 0, 0.5), F.when(F.col("contest_id") % 3 == 1, 0.9).otherwise(0.25), F.lit(0.25)),
 }
 
 

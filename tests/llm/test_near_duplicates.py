@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash_pivots as sh
 from tidemark.llm.common import connected_components
@@ -164,3 +166,50 @@ def test_pairs_at_the_similarity_share_a_band():
         a = rng.integers(0, 2**63, 196, dtype="u8")
         b = np.append(a[20:], rng.integers(0, 2**63, 20, dtype="u8"))
         assert any(x == y for x, y in zip(sh.minhash_bands(a), sh.minhash_bands(b)))
+
+
+def test_a_pair_that_shares_no_band_of_minima_is_found(spark):
+    rng = random.Random(236986)  # one of some 100,000 at this similarity
+    a = [f"v{rng.randrange(10**6)}" for _ in range(103)]
+    b = a[:92] + [f"n{rng.randrange(10**6)}" for _ in range(11)]
+    x, y = (np.unique(sh.shingle_hashes(" ".join(t).encode(), 5)) for t in (a, b))
+    assert len(np.intersect1d(x, y)) == 88 and len(np.union1d(x, y)) == 110
+    assert not any(p == q for p, q in zip(sh.minhash_bands(x), sh.minhash_bands(y)))
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "other words")], "doc_id long, text string")
+    assert {r.doc_id for r in sh.drop_near_duplicates(docs).collect()} == {1, 3}
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """Copies with some changed words go by SimHashes within two bits; the pivot table sees the fingerprints of the shingle sets."""
+    rng, rows = random.Random(2), []
+    for k in range(20):
+        t = [f"v{rng.randrange(10**6)}" for _ in range(400)]
+        rows += [(3 * k + i, " ".join(t[: 400 - i])) for i in range(3)]
+    calls, real = [], sh.fingerprint_pairs
+    monkeypatch.setattr(sh, "fingerprint_pairs", lambda *a: calls.append(real(*a)) or calls[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in sh.drop_near_duplicates(docs).collect()} == {3 * k for k in range(20)}
+    sets = [np.unique(sh.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    fps = [sh.fingerprint(s) for s in sets]
+    groups = components(list(range(60)), lambda i, j: i // 3 == j // 3 and bin(fps[i] ^ fps[j]).count("1") <= 2)
+    found = connected_components(calls[0]).agg(F.count("*"), F.count_distinct("component")).first()
+    assert found[0] - found[1] == 60 - len(set(groups)) > 20
+
+
+def test_slots_count_every_row_once(spark):
+    docs = spark.createDataFrame([("a b c d e f",), ("a b c d e f a b c d e",), (None,)], "text string")
+    counts = sh.slot_counts(docs, 5, "text", 1 << 17)
+    each = [sh.shingle_hashes(t, 5).view("i8") % (1 << 17) for t in (b"a b c d e f", b"a b c d e f a b c d e")]
+    want = sum(np.bincount(np.unique(e), minlength=1 << 17) for e in each)
+    assert (counts == want).all() and counts.max() == 2
+
+
+def test_rows_of_several_whatever_the_batches():
+    rng = np.random.default_rng(1)
+    rows = sorted((int(k), int(h)) for k, h in zip(rng.integers(0, 60, 300), rng.integers(0, 3, 300)))
+    rows += [(100, 1)] * 5 + [(101, k) for k in range(9)] + [(102, 7)]
+    want = sorted({r for r in rows if len({h for k, h in rows if k == r[0]}) > 1})
+    for n in (1, 2, 3, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + n]], pa.int64()) for c in (0, 1)], names=["key", "half"]) for i in range(0, len(rows), n)]
+        got = [(r["key"], r["half"]) for b in sh.of_several(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert got == want

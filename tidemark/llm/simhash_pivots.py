@@ -5,22 +5,23 @@ Two modes share the shingle hashes:
 * `link_fingerprints`: every pair of fingerprints within `radius` (at most 2) bits, exactly.
 * `drop_near_duplicates`: documents whose five-word shingle sets have a Jaccard similarity of at least 0.8.
 
-Pivot distances alone discard pairs but do not find them without trying all, so pairs first share a key: for the exact radius two of
-four 16-bit blocks (two differing bits leave at least two blocks untouched), for the similarity a band of shingle minima. For the exact
-radius the pivot table then discards pairs by their largest coordinate difference (by the triangle inequality no pair within the radius is
+Pivot distances alone discard pairs but do not find them without trying all, so pairs first share a key: two of four 16-bit blocks (two
+differing bits leave at least two blocks untouched). The pivot table then discards pairs by their largest coordinate difference (by the triangle inequality no pair within the radius is
 lost), and the survivors are verified. Blocks with more than `SMALL` members are not paired at all: each member joins the 65 centres within
 one bit of it; members that meet at a centre are within two bits of each other, and any two within two bits meet at one. A centre has at
 most 65 members, so a group of copies of any size costs a fixed number of rows per member.
 
-For the similarity neither pivots nor SimHashes discard anything: a distance of fingerprints bounds no Jaccard similarity. The sizes and
-parity vectors of the shingle sets do bound it, and what they leave is verified on the sets. In bands with more than `SMALL` members a few
-leaders join most of a group, and what is not joined yet is paired by the rarest shingles, which find every pair of the similarity.
+For the similarity the same links come first, on SimHashes of the shingle sets, and those that have the similarity join their texts. A
+distance of fingerprints bounds no Jaccard similarity (at 0.8 some ten bits differ), so what they leave apart is paired by the rarest
+shingles of each set, of which any two sets of the similarity share one. Sizes and parity vectors of the sets bound the similarity, and
+what they leave is verified on the sets. At shingles of more than `SMALL` texts a few leaders join most of a group before all others meet.
 
 Texts of equal words are one class, numbered by one of its rows. Null texts count as empty. A text without words has fingerprint zero and links like any other. Equal rows stay separate rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import connected_components, map_batches, materialise, own_names
 
@@ -133,20 +135,25 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, id_col:
 
 
 BANDS, ROWS = 16, 3
-#: Members of a large band that all others of it are compared with first, besides its most central one.
-LEADERS = 4
+#: Members of a shingle of many texts that others of it are compared with first, besides its most central one, and such shingles of a text at which it meets them.
+LEADERS, LED = 4, 2
 #: Bits of the parity vectors that bound how far two shingle sets differ.
 PARITY = 512
 #: Shingles before a shingle that its row carries, so that a pair that met at one of them does not meet again.
 BEFORE = 8
 #: Slots in which shingles are counted; four bytes each are sent to every executor.
 SLOTS = 1 << 22
+#: Slots that travel in one row, and copies of texts that a task remembers.
+PIECE, REMEMBERED = 1 << 16, 1 << 17
 #: Members in one slice of a shingle that many texts share; slices meet two by two.
 SLICE = 256
 
 
 def minhash_bands(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> list[int]:
-    """One signed key for each band of minima over a set of shingle hashes; each minimum is of its own mixed hash, as minima of linear ones go together."""
+    """One signed key for each band of minima over a set of shingle hashes; each minimum is of its own mixed hash, as minima of linear ones go together.
+
+    No step uses them: pairs come from SimHashes and prefixes. Tests hold what such bands find, and miss, against those.
+    """
     least = np.zeros(bands * rows, "u8")
     if len(hashes):
         for k in range(bands * rows):
@@ -171,22 +178,22 @@ def parity(hashes: np.ndarray) -> list[int]:
 
 
 def signed_documents(docs: DataFrame, words: int, text_col: str) -> DataFrame:
-    """docs with __uid, __content, __size and __bits of the shingle set and __bands, written once so that later steps agree about the rows."""
+    """docs with __uid, __content, and __size, __bits and SimHash __fp of the shingle set, written once so that later steps agree about the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content, size, bits, bands = [], [], [], []
+            content, size, bits, fps = [], [], [], []
             for t in _texts(batch, text_col):
                 h = np.unique(shingle_hashes(t, words))
                 content.append(content_key(t))
                 size.append(len(h))
                 bits.append(parity(h))
-                bands.append(minhash_bands(h))
-            more = [pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__content", "__size", "__bits", "__bands"])
+                fps.append(fingerprint(h))
+            more = [pa.array(content, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.list_(pa.int64())), pa.array(np.array(fps, "u8").view("i8"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__content", "__size", "__bits", "__fp"])
 
     rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    added = [T.StructField("__content", T.BinaryType()), T.StructField("__size", T.IntegerType()), T.StructField("__bits", T.ArrayType(T.LongType())), T.StructField("__bands", T.ArrayType(T.LongType()))]
+    added = [T.StructField("__content", T.BinaryType()), T.StructField("__size", T.IntegerType()), T.StructField("__bits", T.ArrayType(T.LongType())), T.StructField("__fp", T.LongType())]
     return materialise(map_batches(rows, run, T.StructType([*rows.schema.fields, *added])), "signed")
 
 
@@ -201,27 +208,119 @@ def _ends() -> list[Column]:
     return [F.least("x.content", "y.content").alias("a"), F.greatest("x.content", "y.content").alias("b")]
 
 
-def band_members(classes: DataFrame) -> DataFrame:
-    """(content, size, bits, band, key, n) of the classes (content, size, bits, bands) that share a band with others; n counts the band's members."""
-    keyed = classes.select("content", "size", "bits", F.posexplode("bands").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(keyed.join(sizes, ["band", "key"]), "bands")
+def fingerprint_pairs(classes: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """(a, b) of the classes (content, size, bits, fp) whose SimHashes `link_fingerprints` links and that may reach the similarity.
+
+    Of texts with one fingerprint all meet the first, so a pair costs a row a text or a link, whatever the group's size.
+    """
+    who = F.struct("content", "size", "bits")
+    first = materialise(classes.groupBy("fp").agg(F.min(who).alias("who")).select("fp", "who.*"), "fingerprints")
+    same = classes.alias("x").join(first.alias("y"), (F.col("x.fp") == F.col("y.fp")) & (F.col("x.content") != F.col("y.content")) & _may_reach(similarity))
+    links = link_fingerprints(first, radius).join(first.alias("x"), F.col("a") == F.col("x.fp")).join(first.alias("y"), (F.col("b") == F.col("y.fp")) & _may_reach(similarity))
+    return same.select(*_ends()).unionByName(links.select(*_ends())).distinct()
+
+
+def slot_counts(rows: DataFrame, words: int, text_col: str, slots: int = SLOTS) -> np.ndarray:
+    """How many rows' shingles fall on each of `slots` slots, up to 65,535. Tasks add up their texts; two bytes a slot come to the driver whatever the input."""
+    row = "part int, counts binary"
+
+    def pieces(part: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([zlib.compress(np.minimum(c, 65535).astype("u2").tobytes(), 1) for c in counts], pa.binary())], names=["part", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(slots, "u4")
+        for batch in batches:
+            for t in _texts(batch, text_col):
+                np.add.at(n, np.unique(shingle_hashes(t, words)).view("i8") % slots, 1)
+        if n.any():
+            yield pieces(list(range(-(-slots // PIECE))), [n[i : i + PIECE] for i in range(0, slots, PIECE)])
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, "u8")
+        for table in batches:
+            for c in table.column("counts").to_pylist():
+                total = total + np.frombuffer(zlib.decompress(c), "u2")
+        yield pieces([key[0].as_py()], [total])
+
+    counts = np.ones(slots, "u2")
+    for r in map_batches(rows.select(text_col), run, row).groupBy("part").applyInArrow(add, row).collect():
+        counts[r["part"] * PIECE : (r["part"] + 1) * PIECE] = np.frombuffer(zlib.decompress(r["counts"]), "u2")
+    return counts
+
+
+def prefix_of(s: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, int, int]:
+    """The set's shingles (signed) ordered by the count of their slot, then by value; how many of them are of this set only, as their slot counts one; and the length of its prefix."""
+    c = counts[s % len(counts)]
+    return s[np.lexsort((s, c))], int((c == 1).sum()), len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+
+
+def of_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct rows (key, half), in this order, of keys with several halves. Between batches only the last row is held, and whether its key has given rows."""
+    last, given = None, False
+    for batch in batches:
+        key, half = (batch.column(c).to_numpy() for c in ("key", "half"))
+        if last is not None:
+            key, half = np.append(last[0], key), np.append(last[1], half)
+        if not len(key):
+            continue
+        fresh = np.append(True, (key[1:] != key[:-1]) | (half[1:] != half[:-1]))
+        key, half = key[fresh], half[fresh]
+        again = key[1:] == key[:-1]
+        kept = np.append(False, again) | np.append(again, False)
+        last, held = (key[-1:], half[-1:]), bool(kept[-1]) or (given and len(key) == 1)
+        kept[0] &= not given
+        given = held
+        yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(half[kept])], names=["key", "half"])
+
+
+def shared_prefixes(rows: DataFrame, counts, similarity: float, words: int, text_col: str) -> DataFrame:
+    """(key, half): the prefix shingles that texts of different __content hold, and a hash of the content. A task passes over copies that it has read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = counts.value, set()
+        for batch in batches:
+            keys, row = [np.zeros(0, "i8")], []
+            for i, (t, content) in enumerate(zip(_texts(batch, text_col), batch.column("__content").to_pylist())):
+                if content in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(content)
+                order, alone, first = prefix_of(np.unique(shingle_hashes(t, words)).view("i8"), n, similarity)
+                keys.append(order[alone:first])
+                row.append(np.full(len(keys[-1]), i))
+            own = batch.column("half").take(pa.array(np.concatenate(row) if row else [], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), own], names=["key", "half"])
+
+    keyed = map_batches(rows.select(text_col, "__content", F.xxhash64("__content").alias("half")), run, "key long, half long")
+    return materialise(map_batches(keyed.repartition("key").sortWithinPartitions("key", "half"), of_several, "key long, half long"), "shared")
+
+
+def prefix_members(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, n, before, content, size, bits) of the classes that share a prefix shingle; n counts its members, before holds the text's shared shingles just before this one."""
+    sized = shared.join(shared.groupBy("key").agg(F.count("*").alias("n")), "key")
+    sized = sized.withColumn("before", F.collect_list("key").over(Window.partitionBy("half").orderBy("key").rowsBetween(-BEFORE, -1)))
+    return materialise(sized.join(classes.select("half", "content", "size", "bits"), "half").drop("half"), "members")
 
 
 def candidate_pairs(members: DataFrame, similarity: float, small: int = SMALL) -> DataFrame:
-    """(a, b) of members that share a band of up to `small` members; in larger bands, each member with a few leaders only.
+    """(a, b) of members that share a shingle of up to `small` members; of larger ones, each member with a few leaders of its LED largest only.
 
-    The leaders are the member that meets most others over all its bands, and LEADERS drawn by hash. They join most of a group at a cost in
-    proportion to its members; `crowd_pairs` gives the pairs of large bands that are still to be compared.
+    The leaders are the member that meets most others over all its shingles, and LEADERS drawn by hash. They join most of a group at a cost in
+    proportion to its members; `crowd_pairs` gives the pairs of large shingles that are still to be compared. A pair is one row, not one for
+    each shingle it shares: it does not meet where both hold one of the shingles just before.
     """
-    few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small)
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key"))
-    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.content") < F.col("y.content")) & _may_reach(similarity))
+    few, many = members.where(F.col("n") <= small), members.where(F.col("n") > small).select("key", "n", "content", "size", "bits")
+    same = F.col("x.key") == F.col("y.key")
+    first_met = ~F.arrays_overlap("x.before", "y.before")
+    pairs = few.alias("x").join(few.alias("y"), same & (F.col("x.content") < F.col("y.content")) & _may_reach(similarity) & first_met)
     met = many.join(many.groupBy("content").agg(F.sum("n").alias("met")), "content")
     who = F.struct("content", "size", "bits")
     drawn = [F.max_by(who, F.struct("met", "content")), *[F.min_by(who, F.xxhash64(F.lit(k), "content")) for k in range(LEADERS)]]
-    leaders = met.groupBy("band", "key").agg(F.array(*drawn).alias("drawn")).select("band", "key", F.explode(F.array_distinct("drawn")).alias("leader")).select("band", "key", "leader.*")
-    stars = many.alias("x").join(leaders.alias("y"), same & (F.col("x.content") != F.col("y.content")) & _may_reach(similarity))
+    leaders = met.groupBy("key").agg(F.array(*drawn).alias("drawn")).select("key", F.explode(F.array_distinct("drawn")).alias("leader")).select("key", "leader.*")
+    place = F.row_number().over(Window.partitionBy("content").orderBy(F.desc("n"), "key"))
+    led = many.withColumn("place", place).where(F.col("place") <= LED)
+    stars = led.alias("x").join(leaders.alias("y"), same & (F.col("x.content") != F.col("y.content")) & _may_reach(similarity))
     return pairs.select(*_ends()).unionByName(stars.select(*_ends())).distinct()
 
 
@@ -248,9 +347,7 @@ def prefix_keys(texts: DataFrame, counts, similarity: float) -> DataFrame:
             row, shingle, rest, before = [], [], [], []
             for i, held in enumerate(batch.column("shingles")):
                 s = held.values.to_numpy()
-                c = n[s % len(n)]
-                order = s[np.lexsort((s, c))]
-                alone, first = int((c == 1).sum()), len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1
+                order, alone, first = prefix_of(s, n, similarity)
                 keys = order[alone:first].tolist()
                 row += [i] * len(keys)
                 shingle += keys
@@ -307,20 +404,24 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
     """The rows of docs without near duplicates: of each group of linked texts the row with the smallest id stays (rows without id last).
 
-    Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`, verified exactly on every pair that shares
-    one of 16 bands of three minima: at 0.8 a pair shares none once in 100,000. In bands over `small` members pairs that the links found so
-    far join already are not verified again.
+    Texts link if the Jaccard similarity of their sets of word shingles is at least `similarity`, verified exactly. Links of SimHashes come
+    first; pairs that share a shingle of their prefixes follow where those left them apart, so that no pair is missed. At shingles of over
+    `small` texts pairs that the links found so far join already are not verified again.
     """
     names = docs.columns
     rows = signed_documents(docs, words, text_col)
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__uid").alias("uid"))
-    classes = rows.groupBy("__content").agg(F.min("__uid").alias("content"), F.min(rank).alias("best"), *[F.first(f"__{c}").alias(c) for c in ("size", "bits", "bands")])
-    classes = materialise(classes.drop("__content"), "contents")
-    members = band_members(classes)
+    classes = rows.groupBy("__content").agg(F.min("__uid").alias("content"), F.min(rank).alias("best"), *[F.first(f"__{c}").alias(c) for c in ("size", "bits", "fp")])
+    classes = materialise(classes.withColumn("half", F.xxhash64("__content")).drop("__content"), "contents")
+    linked = materialise(fingerprint_pairs(classes, similarity), "linked")
+    counts = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, words, text_col))
+    shared = shared_prefixes(rows, counts, similarity, words, text_col)
+    counts.unpersist()
+    members = prefix_members(shared, classes)
     pairs = materialise(candidate_pairs(members, similarity, small), "pairs")
     crowd = materialise(members.where(F.col("n") > small).select("content", "size", "bits").dropDuplicates(["content"]), "crowd")
-    wanted = pairs.select(F.col("a").alias("content")).unionByName(pairs.select(F.col("b").alias("content"))).unionByName(crowd.select("content")).distinct()
-    wanted = classes.join(wanted, "content").select("content", F.col("best.uid").alias("__uid"))
+    ends = pairs.unionByName(linked).select(F.explode(F.array("a", "b")).alias("content"))
+    wanted = classes.join(ends.unionByName(crowd.select("content")).distinct(), "content").select("content", F.col("best.uid").alias("__uid"))
 
     def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,7 +430,13 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int =
 
     texts = rows.select("__uid", F.col(text_col).alias("__text")).join(wanted, "__uid").select("content", "__text")
     sets = materialise(map_batches(texts, shingle_sets, "content long, shingles array<long>"), "shingle-sets")
-    edges = materialise(verified(pairs, sets, similarity), "edges")
+    near = materialise(verified(linked, sets, similarity), "near")
+    joined = connected_components(near, "simhash").withColumnRenamed("node", "content")
+    apart = pairs
+    for end in ("a", "b"):
+        apart = apart.join(joined.select(F.col("content").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    apart = apart.where(~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))).select("a", "b")
+    edges = materialise(near.unionByName(verified(apart, sets, similarity)), "edges")
     groups = connected_components(edges, "near").withColumnRenamed("node", "content")
     if crowd.limit(1).count():
         more = materialise(verified(materialise(crowd_pairs(crowd, sets, groups, similarity), "crowd-pairs"), sets, similarity), "crowd-edges")

@@ -9,7 +9,7 @@ from tidemark.functions import grids, scores
 from tidemark.operators import softmax
 from tidemark.operators.features import usual_members
 from tidemark.operators.resampling import bootstrap_interval
-from tidemark.operators.suggest import suggestions
+from tidemark.operators.suggest import suggestions, word_counts
 from tidemark.plans.registry import Registry
 from tidemark.sources.tables import CONTESTS, contests, forecasts, models, read_table
 from tidemark.storage import written
@@ -24,9 +24,9 @@ p as (select name, other, 1 - levenshtein(name, other) / greatest(length(name),
 select name, other, similarity, row_number() over (partition by name order by similarity desc, other) as rank from p where similarity >= {LEAST} - 1e-12 qualify row_number() over (partition by name order by similarity desc, other) <= 3""")
 def name_suggestions(spark, sf):
     """RES4: words of two tables that the documents' frequent words lack, each with the three most similar of those."""
-    words = lambda t: read_table(spark, sf, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("name"))
-    known = words("documents").groupBy(F.col("name").alias("other")).agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).select("other")
-    return suggestions(words("benchmark").union(words("conversations")).distinct(), known, "name", "other", LEAST)
+    text = lambda t: read_table(spark, sf, t).select("text")
+    known = word_counts(text("documents"), "text", 5).where(F.col("n") >= OFTEN).select(F.col("word").alias("other"))
+    return suggestions(word_counts(text("benchmark").union(text("conversations")), "text", 5).select(F.col("word").alias("name")), known, "name", "other", LEAST)
 
 
 @query("""with b as (select o_custkey as c, o_orderkey as k, cast(o_orderdate as date) as d, list_sort(list_distinct(list(l_partkey))) as m from orders join lineitem on o_orderkey = l_orderkey group by 1, 2, 3),
